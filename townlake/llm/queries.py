@@ -9,6 +9,7 @@ from townlake.llm.fingerprints import edited_fingerprints
 from townlake.llm.mixing import mix_sources
 from townlake.llm.quality import score_quality
 from townlake.llm.sharding import shard_documents
+from townlake.llm.toxicity import score_toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,12 +40,17 @@ def op9_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_documents(spark, sf_dir))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(_documents(spark, sf_dir), _labels(spark, sf_dir))
+
+
 QUERIES = {
     "op3_mix_sources": op3_mix_sources,
     "op4_fingerprints": op4_fingerprints,
     "op5_quality": op5_quality,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_shard": op9_shard,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLES = {
