@@ -7,8 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from townlake.llm.exact_dedup import exact_duplicates
 from townlake.llm.fingerprints import edited_fingerprints
 from townlake.llm.mixing import mix_sources
+from townlake.llm.packing import pack_documents
 from townlake.llm.quality import score_quality
 from townlake.llm.sharding import shard_documents
+from townlake.llm.simhash import near_duplicates
 from townlake.llm.toxicity import score_toxicity
 
 
@@ -20,6 +22,17 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def tokenizer_path() -> str:
+    """Where the public tokenizer of the packing query lies on this machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_documents(spark, sf_dir))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_documents(spark, sf_dir)).drop("source")
 
@@ -32,6 +45,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(_documents(spark, sf_dir), _labels(spark, sf_dir))
 
 
+def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_documents(spark, sf_dir), tokenizer_path())
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_documents(spark, sf_dir))
 
@@ -45,9 +62,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_simhash": op1_simhash,
     "op3_mix_sources": op3_mix_sources,
     "op4_fingerprints": op4_fingerprints,
     "op5_quality": op5_quality,
+    "op7_pack": op7_pack,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_shard": op9_shard,
     "op10_toxicity": op10_toxicity,
