@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from townlake.llm.exact_dedup import exact_duplicates
 from townlake.llm.fingerprints import edited_fingerprints
+from townlake.llm.lm_scoring import score_documents
 from townlake.llm.mixing import mix_sources
 from townlake.llm.packing import pack_documents
 from townlake.llm.quality import score_quality
@@ -33,6 +34,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir))
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(_documents(spark, sf_dir))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_documents(spark, sf_dir)).drop("source")
 
@@ -63,6 +68,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_lm_score": op2_lm_score,
     "op3_mix_sources": op3_mix_sources,
     "op4_fingerprints": op4_fingerprints,
     "op5_quality": op5_quality,
