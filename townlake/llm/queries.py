@@ -10,6 +10,7 @@ from townlake.llm.lm_scoring import score_documents
 from townlake.llm.mixing import mix_sources
 from townlake.llm.packing import pack_documents
 from townlake.llm.quality import score_quality
+from townlake.llm.repeats import remove_repeats
 from townlake.llm.sharding import shard_documents
 from townlake.llm.simhash import near_duplicates
 from townlake.llm.toxicity import score_toxicity
@@ -50,6 +51,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(_documents(spark, sf_dir), _labels(spark, sf_dir))
 
 
+def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_documents(spark, sf_dir))
+
+
 def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_documents(spark, sf_dir), tokenizer_path())
 
@@ -72,6 +77,7 @@ QUERIES = {
     "op3_mix_sources": op3_mix_sources,
     "op4_fingerprints": op4_fingerprints,
     "op5_quality": op5_quality,
+    "op6_repeats": op6_repeats,
     "op7_pack": op7_pack,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_shard": op9_shard,
