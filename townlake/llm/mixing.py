@@ -36,15 +36,18 @@ def source_targets(sources: DataFrame, weights=WEIGHTS, most_passes: int = MOST_
     total = F.sum("source_size").over(whole).cast("double")
     left = total - F.coalesce(F.sum("limit").over(earlier), F.lit(0.0))
     weight_left = F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(earlier), F.lit(0.0))
-    level = limited.withColumn("level", left / weight_left).withColumn(
-        "stopped", F.col("limit") <= F.col("level") * F.col("weight")
-    )
-    # The level of the first source that has not stopped holds for all that have not.
-    final = F.min(F.when(~F.col("stopped"), F.col("level"))).over(whole)
-    return level.select(
+    ratio = F.col("limit") / F.col("weight")
+    level = limited.withColumn("level", left / weight_left)
+    # The level of the first source that does not stop holds for it and for all after it.
+    first_open = F.min(
+        F.when(ratio > F.col("level"), F.struct(ratio.alias("ratio"), F.col("source").isNull().alias("no_name"), "source", "level"))
+    ).over(whole)
+    final = level.withColumn("final", first_open["level"])
+    stopped = F.col("final").isNull() | (ratio <= F.col("final"))
+    return final.select(
         "source",
         "source_size",
-        F.when(F.col("stopped"), F.col("limit")).otherwise(final * F.col("weight")).alias("target"),
+        F.when(stopped, F.col("limit")).otherwise(F.col("final") * F.col("weight")).alias("target"),
     )
 
 

@@ -101,10 +101,12 @@ WITH sized AS (
   FROM sources
   WINDOW w AS (ORDER BY CAST(source_size AS DOUBLE) * 3 / weight, source NULLS LAST
                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), final AS (
+  SELECT level FROM levels WHERE cap / weight > level ORDER BY cap / weight, source NULLS LAST LIMIT 1
 ), targets AS (
   SELECT source, source_size,
-         CASE WHEN cap <= level * weight THEN cap
-              ELSE min(level) FILTER (WHERE cap > level * weight) OVER () * weight END AS target
+         CASE WHEN cap / weight <= coalesce((SELECT level FROM final), cap / weight) THEN cap
+              ELSE (SELECT level FROM final) * weight END AS target
   FROM levels
 ), placed AS (
   SELECT s.doc_id, s.size, t.source_size, t.target, CAST(round(t.target) AS BIGINT) AS budget,
