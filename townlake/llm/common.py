@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -17,14 +18,12 @@ def session(df: DataFrame) -> SparkSession:
     return df.sparkSession
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder that all executors share, and cut its lineage there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for tables that outlive an executor: ``spark.checkpoint.dir`` of the session.
 
-    The folder is ``spark.checkpoint.dir`` of the session. Where that is unset (a local session,
-    as in tests) a temporary folder serves; on a cluster that would be a machine's own disk, so
-    there the setting is asked for.
+    Where that is unset (a local session, as in tests) a temporary folder serves; on a cluster
+    that would be a machine's own disk, so there the setting is asked for.
     """
-    spark = session(df)
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -33,9 +32,22 @@ def durable(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="townlake-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder, and cut its lineage there."""
+    shared_folder(session(df))
     return df.checkpoint()
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it again."""
+    path = f"{shared_folder(session(df))}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return session(df).read.parquet(path)
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
