@@ -31,7 +31,8 @@ POWER = 8.0
 THRESHOLD = 0.7
 #: Words whose features a task remembers.
 REMEMBERED = 200_000
-BLOCK = 512
+#: Texts folded and compared at once.
+BLOCK = 128
 
 _LETTERS = [(re.compile(p), r) for p, r in (("[^\\W\\d_]", "a"), ("\\d", "0"), ("(.)\\1+", "\\1"))]
 
@@ -140,7 +141,8 @@ def fit(texts: list[str], good: np.ndarray, class_counts: dict[int, int], seed:
     projection = (rarity[:, None] * (basis @ right[:rank].T)).astype(np.float32)
     sampled = Counter(int(x) for x in good)
     votes = np.array([class_counts[int(x)] / sampled[int(x)] for x in good], np.float32)
-    vectors = folded(texts, projection, featurise).astype(np.float32)
+    parts = [folded(texts[a : a + BLOCK], projection, featurise) for a in range(0, len(texts), BLOCK)]
+    vectors = np.concatenate(parts).astype(np.float32)
     return QualityModel(projection, vectors, votes, good.astype(np.float32))
 
 
