@@ -1,0 +1,8 @@
+"""Queries over the test tables, each with SQL that gives the same rows."""
+
+from townlake.plans import access, relational
+
+_PARTS = [access, relational]
+
+CITY_QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
+CITY_ORACLES = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}
