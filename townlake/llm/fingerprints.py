@@ -62,7 +62,7 @@ def bin_minima(hashes: Column) -> Column:
         F.sort_array(hashes), lambda s: let(first_of_bin(s), lambda f: F.map_from_arrays(F.transform(f, _bin), f))
     )
     return let(
-        by_bin, lambda m: F.transform(F.sequence(F.lit(-BINS // 2), F.lit(BINS // 2 - 1)), lambda b: F.get(F.array(m[b.cast("bigint")]), F.lit(0)))
+        by_bin, lambda m: F.transform(F.sequence(F.lit(-BINS // 2), F.lit(BINS // 2 - 1)), lambda b: m[b.cast("bigint")])
     )
 
 
@@ -141,9 +141,11 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     empty table gives no rows.
     """
     text = text_or_empty()
+    no_id = F.lit("9223372036854775808").cast("decimal(20,0)")
+    id_type = docs.schema["doc_id"].dataType
+    # Both uses of the texts below take these same columns, so they are shuffled once.
     texts = docs.select(
-        "doc_id",
-        F.coalesce(F.col("doc_id").cast("decimal(20,0)"), F.lit("9223372036854775808").cast("decimal(20,0)")).alias("key"),
+        F.coalesce(F.col("doc_id").cast("decimal(20,0)"), no_id).alias("key"),
         F.md5(text).alias("tag"),
         text.alias("text"),
     )
@@ -165,7 +167,7 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
         .withColumn("n_chars", F.length("text").cast("long"))
         .withColumn("edited", F.expr("concat(substring(text, 1, cast(n_chars - n_chars div 2 as int)), head)"))
         .select(
-            "doc_id",
+            F.when(F.col("key") != no_id, F.col("key").cast(id_type)).alias("doc_id"),
             "n_chars",
             F.sha2("edited", 256).alias("edited_sha256"),
             fingerprint(F.col("text")).alias("fingerprint"),
