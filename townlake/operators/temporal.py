@@ -39,7 +39,7 @@ def expand_timetable(trips: DataFrame, calls: DataFrame, days: DataFrame) -> Dat
     departure_time as text, hours may exceed 23), ``days`` (service_id, day). A trip's last call
     is no departure. Returns (day, trip_id, stop_id, departs_at) with departs_at on ``day``.
     """
-    last = Window.partitionBy("trip_id").orderBy(F.col("stop_sequence").desc())
+    last = Window.partitionBy("trip_id").orderBy(F.col("stop_sequence").desc(), F.col("stop_id").desc())
     departures = calls.withColumn("_from_end", F.row_number().over(last)).where("_from_end > 1")
     asked = days.select("day").distinct()
     served = trips.join(days, "service_id").select("trip_id", F.col("day").alias("service_day"))

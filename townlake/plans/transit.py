@@ -73,7 +73,7 @@ QUERIES = {f.__name__: f for f in (stop_hours, window_departures, trips_near_bui
 
 _DEPARTURES = """calls AS (
   SELECT l_orderkey AS trip_id, l_suppkey AS stop_id, (l_orderkey * 97 + l_linenumber * 1300) % 97200 AS s,
-         row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC) AS from_end FROM lineitem
+         row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_suppkey DESC) AS from_end FROM lineitem
 ), days(service_id, day) AS (VALUES (0, DATE '2024-03-04'), (0, DATE '2024-03-05'), (1, DATE '2024-03-05'), (1, DATE '2024-03-03')),
 dep AS (SELECT trip_id, stop_id, day + to_seconds(s) AS leaves FROM calls JOIN days ON trip_id % 3 = service_id WHERE from_end > 1),
 d AS (SELECT *, CAST(leaves AS DATE) AS day FROM dep WHERE CAST(leaves AS DATE) IN (SELECT day FROM days))"""

@@ -91,7 +91,7 @@ def follow_arrivals(stream: DataFrame) -> DataFrame:
     """The stream form of ``first_and_last``: a row with the new state for each key of a batch."""
     key = "service_date date, trip_id string, stop_id string"
     kept = "first_predicted timestamp, first_seen timestamp, last_predicted timestamp, last_seen timestamp, updates long"
-    return stream.groupBy(*ARRIVAL_KEY).transformWithStateInPandas(FirstLast(), f"{key}, {kept}", "Update", "None")
+    return stream.groupBy(*ARRIVAL_KEY).transformWithStateInPandas(FirstLast(), f"{key}, {kept}", "Update", "ProcessingTime")
 
 
 def passed(arrivals: DataFrame, fetches: DataFrame) -> DataFrame:
