@@ -25,16 +25,18 @@ from townlake.llm.fingerprints import words
 from townlake.llm.labelled import held_out
 
 #: Words that the network tells apart, with the end of a text; all others go by classes.
-FREQUENT = 512
-RARE_CLASSES = 48
-#: Words whose counts every task gets, of at most WORD_BYTES bytes each: some megabytes.
-SHARED = 100_000
+FREQUENT = 256
+RARE_CLASSES = 28
+#: Words, at most, whose counts every task gets, the most frequent, of at most WORD_BYTES bytes each: some megabytes.
+SHARED = 60_000
 WORD_BYTES = 40
 RATE = 0.01
 #: Networks that one task averages.
 GROUP = 16
 #: Words of the documents that are trained or scored together.
-BLOCK_WORDS = 3_000_000
+BLOCK_WORDS = 6_000_000
+#: Words whose ids a task remembers.
+REMEMBERED = 300_000
 
 
 def rare_class(word: bytes) -> int:
@@ -47,27 +49,41 @@ def _rare_class_column(word: Column) -> Column:
     return F.crc32(F.substring(raw, -3, 3)) % RARE_CLASSES
 
 
+class _Ids(dict):
+    """Ids by word; those of words met for the first time come from their class."""
+
+    def __init__(self, frequent: list[bytes]) -> None:
+        super().__init__((w, i + 1) for i, w in enumerate(frequent))
+        self.first_class = len(frequent) + 1
+
+    def __missing__(self, word: bytes) -> int:
+        found = self.first_class + rare_class(word)
+        if len(self) < REMEMBERED:
+            self[word] = found
+        return found
+
+
 class Vocabulary:
     """Counts of the shared words and sums over all others; the same few megabytes for any corpus."""
 
     def __init__(self, shared: list[tuple[bytes, int]], rare: np.ndarray, kinds: np.ndarray, texts: int, total: int, distinct: int):
         self.texts, self.total, self.distinct = texts, total, distinct
-        self.count = dict(shared)
-        frequent = [w for w, _ in shared[: FREQUENT - 1]]
-        self.layout = recurrent.Layout(len(frequent) + 1, RARE_CLASSES)
-        self.ids = {w: i + 1 for i, w in enumerate(frequent)}
+        counts = np.array([n for _, n in shared], float)
+        self.frequent = [w for w, _ in shared[: FREQUENT - 1]]
+        self.layout = recurrent.Layout(len(self.frequent) + 1, RARE_CLASSES)
+        self.places = {w: i for i, (w, _) in enumerate(shared)}
+        self.class_of = np.array([rare_class(w) for w, _ in shared], np.int64)
         # ``rare`` and ``kinds`` are over all words; the frequent ones are taken out.
-        rare, kinds = rare.copy(), kinds.copy()
-        for w in frequent:
-            rare[rare_class(w)] -= self.count[w]
-            kinds[rare_class(w)] -= 1
+        k = len(self.frequent)
+        rare = rare - np.bincount(self.class_of[:k], counts[:k], RARE_CLASSES)
+        kinds = kinds - np.bincount(self.class_of[:k], minlength=RARE_CLASSES)
         self.class_norm = np.log10(rare + 0.5 * (kinds + 1))
-        self.counts = np.concatenate([[texts], [self.count[w] for w in frequent], rare]).astype(float)
+        self.counts = np.concatenate([[texts], counts[:k], rare]).astype(float)
         self.norm = float(np.log10(total + 0.5 * (distinct + 1)))
-
-    def encode(self, text: list[bytes]) -> np.ndarray:
-        n, ids = self.layout.n_frequent, self.ids
-        return np.array([ids.get(w) or n + rare_class(w) for w in text], np.int32)
+        self.logs = np.log10(counts + 0.5)
+        # What a shared word adds to the network's score: nothing if the network knows the word.
+        self.inside = self.logs - self.class_norm[self.class_of]
+        self.inside[:k] = 0
 
 
 def _split(text: str | None) -> list[bytes]:
@@ -85,19 +101,34 @@ def vocabulary(docs: DataFrame, counts: DataFrame) -> Vocabulary:
     rare, kinds = np.zeros(RARE_CLASSES), np.zeros(RARE_CLASSES)
     for r in counts.groupBy(_rare_class_column(F.col("word")).alias("c")).agg(F.sum("n").alias("n"), F.count("*").alias("k")).collect():
         rare[r["c"]], kinds[r["c"]] = r["n"], r["k"]
-    short = counts.where(F.octet_length("word") <= WORD_BYTES)
-    top = short.orderBy(F.desc("n"), "word").limit(SHARED).toPandas()
-    shared = [(w.encode("utf-8", "surrogatepass"), int(n)) for w, n in zip(top["word"], top["n"], strict=True)]
+    # Words by steps of their count; as many whole steps as SHARED allows.
+    step = F.floor(F.log2("n") * 16).cast("int").alias("step")
+    short = counts.where(F.octet_length("word") <= WORD_BYTES).select("word", "n", step)
+    least, held = 1 << 30, 0
+    for r in short.groupBy("step").agg(F.count("*").alias("k")).orderBy(F.desc("step")).collect():
+        held += r["k"]
+        if held > SHARED:
+            break
+        least = r["step"]
+    top = short.where(F.col("step") >= least).select("word", "n").toPandas()
+    shared = sorted(((w.encode("utf-8", "surrogatepass"), int(n)) for w, n in zip(top["word"], top["n"], strict=True)), key=lambda x: (-x[1], x[0]))
     return Vocabulary(shared, rare, kinds, texts, int(rare.sum()) + texts, int(kinds.sum()) + (texts > 0))
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], text_at: int):
-    """Rows and their split texts, about BLOCK_WORDS at a time."""
+def _blocks(batches: Iterator[pa.RecordBatch], text_at: int, vocab: Vocabulary, each=None):
+    """Rows and the word ids of their texts, about BLOCK_WORDS at a time.
+
+    Only ids are kept of a text; ``each`` sees its words as they come by.
+    """
+    ids = _Ids(vocab.frequent)
     for batch in batches:
         first, held, found = 0, 0, []
         for i, text in enumerate(batch.column(text_at)):
-            found.append(_split(text.as_py()))
-            held += len(found[-1])
+            split = _split(text.as_py())
+            found.append(np.fromiter(map(ids.__getitem__, split), np.int32, len(split)))
+            if each is not None:
+                each(len(found) - 1, split)
+            held += len(split)
             if held >= BLOCK_WORDS:
                 yield batch.slice(first, i + 1 - first), found
                 first, held, found = i + 1, 0, []
@@ -135,9 +166,9 @@ def train(docs: DataFrame, vocab: Vocabulary) -> recurrent.Weights:
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, n = shared.value, 0
         trainer = recurrent.Trainer(start, v.layout, RATE)
-        for _, texts in _blocks(batches, 0):
+        for _, texts in _blocks(batches, 0, v):
             n += sum(len(t) + 1 for t in texts)
-            trainer.learn([v.encode(t) for t in texts], 0)
+            trainer.learn(texts, 0)
         if n:
             part = pa.array([TaskContext.get().partitionId()], pa.int64())
             yield pa.RecordBatch.from_arrays([part, pa.array([n], pa.int64()), pa.array([recurrent.packed(trainer.p)], pa.binary())], ["part", "words", "network"])
@@ -170,45 +201,41 @@ def _scored(docs: DataFrame, vocab: Vocabulary, network: recurrent.Weights) -> D
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = shared.value
-        count, ids = v.count, v.ids
-        log_count = {w: float(np.log10(c + 0.5)) for w, c in count.items()}
-        end_log, class_norm = float(np.log10(v.texts + 0.5)), v.class_norm.tolist()
-        for batch, texts in _blocks(batches, 3):
-            model_logs = recurrent.score(model.value, v.layout, [v.encode(t) for t in texts], 0) / np.log(10)
-            out: list[list] = [[] for _ in range(6)]
-            rare_rows: list[int] = []
-            rare_words: list[bytes] = []
-            rare_times: list[int] = []
-            for i, text in enumerate(texts):
-                known, base, inside = int(v.texts > 0), end_log, 0.0
-                for w, times in Counter(text).items():
-                    found = log_count.get(w)
-                    if found is not None:
-                        known += times
-                        base += times * found
-                        if w not in ids:
-                            inside += times * (found - class_norm[rare_class(w)])
-                    else:
-                        inside -= times * class_norm[rare_class(w)]
-                        rare_rows.append(i)
-                        rare_words.append(w)
-                        rare_times.append(times)
-                for column, x in zip(out, (len(text) + 1, known, base, float(model_logs[i]) + inside), strict=False):
-                    column.append(x)
+        end_log, place_of = float(np.log10(v.texts + 0.5)), v.places.get
+        out: list[list] = [[] for _ in range(4)]
+        rare: list[list] = [[], [], []]
+
+        def sums(i: int, split: list[bytes]) -> None:
+            places = np.array([place_of(w, -1) for w in split], np.int64)
+            shared_places = places[places >= 0]
+            others = Counter([split[k] for k in np.flatnonzero(places < 0).tolist()])
+            less = sum(times * v.class_norm[rare_class(w)] for w, times in others.items())
+            rare[0] += [i] * len(others)
+            rare[1] += [w.decode("utf-8", "replace") for w in others]
+            rare[2] += others.values()
+            known = len(shared_places) + int(v.texts > 0)
+            inside = float(v.inside[shared_places].sum() - less)
+            for column, x in zip(out, (len(split) + 1, known, end_log + float(v.logs[shared_places].sum()), inside), strict=True):
+                column.append(x)
+
+        for batch, texts in _blocks(batches, 3, v, sums):
+            model_logs = recurrent.score(model.value, v.layout, texts, 0) / np.log(10) + np.array(out[3])
             empty = pa.nulls(len(texts))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), batch.column(2), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()),
-                 pa.array(out[2], pa.float64()), pa.array(out[3], pa.float64()), empty.cast(pa.string()), empty.cast(pa.int64())],
+                 pa.array(out[2], pa.float64()), pa.array(model_logs), empty.cast(pa.string()), empty.cast(pa.int64())],
                 schema.names,
             )
-            if rare_rows:
-                at = pa.array(rare_rows)
-                n = pa.nulls(len(rare_rows))
+            if rare[0]:
+                at = pa.array(rare[0])
+                n = pa.nulls(len(at))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(at), n.cast(batch.column(1).type), n.cast(pa.bool_()), n.cast(pa.int64()), n.cast(pa.int64()),
-                     n.cast(pa.float64()), n.cast(pa.float64()), pa.array([w.decode("utf-8", "replace") for w in rare_words]), pa.array(rare_times, pa.int64())],
+                     n.cast(pa.float64()), n.cast(pa.float64()), pa.array(rare[1]), pa.array(rare[2], pa.int64())],
                     schema.names,
                 )
+            for column in (*out, *rare):
+                column.clear()
 
     return numbered.mapInArrow(score, schema)
 
@@ -218,7 +245,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
 
     Training rows are those whose crc32 of the id is not 1 modulo 5; a row with a null id is held
     out. A null text is empty; every text ends with an end token, so an empty one has one token.
-    Repeated rows score alike. Without training rows all words are unknown and the network is
+    Repeated rows score alike, up to rounding. Without training rows all words are unknown and the network is
     untrained; an empty table gives no rows.
     """
     narrow = docs.select("doc_id", "text")
