@@ -181,3 +181,17 @@ def test_passed_needs_a_good_fetch_soon_after(spark):
     arrivals = spark.createDataFrame([row("passed", 60, 120), row("ahead", 60, 400), row("gap", 600, 620)], schema)
     fetches = spark.createDataFrame([(t(0), None), (t(60), None), (t(90), "timeout"), (t(120), None), (t(900), None)], "fetched_at timestamp, error string")
     assert [(r.trip_id, r.delay_s) for r in live.passed(arrivals, fetches).collect()] == [("passed", 120)]
+
+
+def test_sandbox(spark):
+    from townlake.plans.sandbox import describe_tables, run_query
+
+    spark.range(300).selectExpr("id", "repeat('x', 400) AS long").createOrReplaceTempView("numbers")
+    got = run_query(spark, "SELECT id FROM numbers ORDER BY id;")
+    assert got["row_count"] == 200 and got["truncated"] and got["rows"][0] == [0]
+    got = run_query(spark, "SELECT * FROM numbers")
+    assert got["truncated"] and got["row_count"] < 100 and len(got["rows"][0][1]) == 301
+    for bad in ("", "DROP VIEW numbers", "SELECT 1; SELECT 2", "SELECT 1) x; DROP VIEW numbers --", "SELECT * FROM nowhere", "SELECT reflect('java.lang.System', 'exit', 0)", "SELECT * FROM parquet.`/etc`"):
+        assert "error" in run_query(spark, bad), bad
+    assert "numbers" in [t["table"] for t in describe_tables(spark)]
+    spark.catalog.dropTempView("numbers")

@@ -14,21 +14,25 @@ independent 64-bit hashes as Spark groups, so one string that all documents shar
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from townlake.llm.common import durable, text_or_empty
+from townlake.llm.common import durable, session, stored, text_or_empty
 
 LEAST = 400
 ANCHOR = 128
 #: Windows that a round tells apart only in the next round.
 STRIDE = 16
-#: Bytes of a document that are hashed at once; parts overlap by a window.
-PART = 1 << 20
+#: Bytes that are hashed at once, of several documents or of a part of one; parts overlap.
+PART = 1 << 19
+#: Bits of the filter of repeated anchors for each of them, and in all (32 MB at most).
+FILTER_BITS, MOST_FILTER_BITS = 16, 1 << 28
 _MASK = (1 << 64) - 1
 
 
@@ -52,7 +56,7 @@ class SubstringHash:
         rng = np.random.default_rng(seed)
         self.of_byte = rng.integers(1, 1 << 63, 256, np.uint64)
         base = int(rng.integers(1, 1 << 62)) * 4 + 1
-        n = PART + 8 * LEAST
+        n = 2 * PART + 8 * LEAST
         self.up, self.down = _powers(base, n), _powers(pow(base, -1, 1 << 64), n)
 
     def sums(self, data: np.ndarray) -> np.ndarray:
@@ -75,8 +79,8 @@ def _both() -> list[SubstringHash]:
     return _hashes
 
 
-def anchor_places(values: np.ndarray, width: int) -> np.ndarray:
-    """The places that are the first smallest of some ``width`` neighbouring values."""
+def chosen_places(values: np.ndarray, width: int) -> np.ndarray:
+    """For each ``width`` neighbouring values the place of the first smallest."""
     best = (values & np.uint64(_MASK << 21 & _MASK)) | np.arange(len(values), dtype=np.uint64)
     reach = 1
     while reach * 2 <= width:
@@ -84,40 +88,61 @@ def anchor_places(values: np.ndarray, width: int) -> np.ndarray:
         reach *= 2
     if reach < width:
         best = np.minimum(best[: len(best) - (width - reach)], best[width - reach :])
-    places = (best & np.uint64((1 << 21) - 1)).astype(np.int64)
-    return places[np.r_[True, places[1:] != places[:-1]]]
+    return (best & np.uint64((1 << 21) - 1)).astype(np.int64)
 
 
-def offsets_of(place: np.ndarray, size: int, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
-    """How far before an anchor a window inside the document that holds it can begin: from, to."""
-    return np.maximum(0, place + least - size), np.minimum(least - ANCHOR, place)
+class Anchors(NamedTuple):
+    """Anchors of some texts: whose, where, their hash, and the windows that chose them.
+
+    Windows that begin ``low`` to ``high`` bytes before the anchor chose it; ``span`` hashes all
+    that those windows hold.
+    """
+
+    owner: np.ndarray
+    place: np.ndarray
+    anchor: np.ndarray
+    span: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
 
 
-def anchors(data: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(places, anchor hashes, hashes of all that windows around the anchor reach) of a document."""
+def _chunk_anchors(parts: list[tuple[int, int, np.ndarray]], least: int) -> Anchors:
+    """Anchors of parts (owner, offset in its text, bytes), hashed as one string."""
     one, two = _both()
-    found: list[tuple[np.ndarray, ...]] = []
-    for a in range(0, max(1, len(data) - least + 1), PART):
-        part = data[a : a + PART + least - 1]
-        if len(part) < least:
-            break
-        sums = one.sums(part)
-        starts = np.arange(len(part) - ANCHOR + 1)
-        values = one(sums, starts, starts + ANCHOR)
-        places = anchor_places(values, least - ANCHOR + 1)
-        # The extension may reach beyond the part.
-        low = max(0, a - least)
-        wide = data[low : a + len(part) + least]
-        wide_sums = two.sums(wide)
-        first, last = offsets_of(places + a, len(data), least)
-        spans = two(wide_sums, places + a - last - low, places + a + least - first - low)
-        spans ^= _mixed(last.astype(np.uint64))  # equal spans hold their anchor at the same place
-        found.append((places + a, values[places], spans))
-    if not found:
-        return (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64))
-    places, values, spans = (np.concatenate(x) for x in zip(*found, strict=True))
-    _, kept = np.unique(places, return_index=True)
-    return places[kept], values[kept], spans[kept]
+    data = np.concatenate([p for _, _, p in parts])
+    begin = np.cumsum([0] + [len(p) for _, _, p in parts])
+    sums = one.sums(data)
+    starts = np.arange(len(data) - ANCHOR + 1)
+    values = one(sums, starts, starts + ANCHOR)
+    chosen = chosen_places(values, least - ANCHOR + 1)
+    change = np.zeros(len(chosen) + 1, np.int64)
+    np.add.at(change, begin[:-1], 1)
+    np.add.at(change, begin[1:] - least + 1, -1)
+    window = np.flatnonzero(np.cumsum(change[:-1]) > 0)  # those that lie in one text
+    place = chosen[window]
+    turns = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
+    first, last = window[turns], window[np.r_[turns[1:], len(window)] - 1]
+    place = place[turns]
+    low, high = place - last, place - first
+    span = two(two.sums(data), first, last + least) ^ _mixed((low * 65536 + high).astype(np.uint64))
+    part = np.searchsorted(begin, first, "right") - 1
+    owner, base = np.array([o for o, _, _ in parts]), np.array([at for _, at, _ in parts])
+    return Anchors(owner[part], place - begin[part] + base[part], values[place], span, low, high)
+
+
+def anchors(texts: Iterable[np.ndarray], least: int = LEAST) -> Iterator[Anchors]:
+    """Anchors of texts, which are numbered as they come."""
+    parts: list[tuple[int, int, np.ndarray]] = []
+    held = 0
+    for owner, data in enumerate(texts):
+        for at in range(0, len(data) - least + 1, PART):
+            parts.append((owner, at, data[at : at + PART + least - 1]))
+            held += len(parts[-1][2])
+            if held >= PART:
+                yield _chunk_anchors(parts, least)
+                parts, held = [], 0
+    if parts:
+        yield _chunk_anchors(parts, least)
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -136,43 +161,86 @@ def _each_batch(work: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]):
     return run
 
 
-def _anchor_rows(texts: DataFrame, least: int) -> DataFrame:
-    """(anchor, span, place, digest) of every anchor of every text."""
+class _Filter:
+    """Which anchors may be repeated: bits by hash. It lets through some more, never fewer."""
+
+    def __init__(self, bits: int, rows: list) -> None:
+        self.bits = bits
+        self.words = np.zeros(bits // 8, np.uint8)
+        for r in rows:
+            part = np.frombuffer(r["bits"], np.uint8)
+            at = (r["bucket"] - 1) * 4096
+            self.words[at : at + len(part)] = part
+
+    def may_hold(self, anchor: np.ndarray) -> np.ndarray:
+        bit = (anchor & np.uint64(self.bits - 1)).astype(np.int64)
+        return (self.words[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
+
+
+def _repeated_anchors(texts: DataFrame, least: int) -> _Filter:
+    """A filter of the anchors that occur more than once, of a size that is bounded."""
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        parts, owners = [], []
-        for i, text in enumerate(batch.column(1)):
-            found = anchors(_bytes(text.as_py()), least)
-            if len(found[0]):
-                parts.append(found)
-                owners.append(np.full(len(found[0]), i))
-        if parts:
-            places, values, spans = (np.concatenate(x) for x in zip(*parts, strict=True))
-            digests = batch.column(0).take(pa.array(np.concatenate(owners)))
-            yield pa.RecordBatch.from_arrays([_signed(values), _signed(spans), pa.array(places), digests], ["anchor", "span", "place", "digest"])
+        for found in anchors((_bytes(t.as_py()) for t in batch.column(0)), least):
+            yield pa.RecordBatch.from_arrays([_signed(found.anchor)], ["anchor"])
+
+    counts = texts.select("text").mapInArrow(_each_batch(work), "anchor long").groupBy("anchor").agg(F.count("*").alias("n"))
+    often = durable(counts.where("n > 1").select("anchor"))
+    bits = 1 << 15
+    while bits < min(MOST_FILTER_BITS, FILTER_BITS * often.count()):
+        bits *= 2
+    bit = F.col("anchor").bitwiseAND(F.lit(bits - 1).cast("long"))
+    rows = (
+        often.select((bit + 1).alias("bit"))
+        .groupBy(F.bitmap_bucket_number("bit").alias("bucket"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
+    )
+    return _Filter(bits, rows.collect())
 
-    return texts.mapInArrow(_each_batch(work), "anchor long, span long, place long, digest binary")
 
+def _anchor_rows(texts: DataFrame, known: Broadcast, least: int) -> DataFrame:
+    """(anchor, span, place, low, high, digest) of the anchors that the filter lets through."""
 
-def _contexts(asked: DataFrame, distinct_texts: DataFrame, least: int) -> DataFrame:
-    """The bytes that windows around each asked anchor reach: ``context``, beginning ``before`` it.
+    def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for found in anchors((_bytes(t.as_py()) for t in batch.column(1)), least):
+            kept = known.value.may_hold(found.anchor)
+            if kept.any():
+                owner, place, anchor, span, low, high = (x[kept] for x in found)
+                yield pa.RecordBatch.from_arrays(
+                    [_signed(anchor), _signed(span), pa.array(place), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32)), batch.column(0).take(pa.array(owner))],
+                    ["anchor", "span", "place", "low", "high", "digest"],
+                )
+
+    return texts.mapInArrow(_each_batch(work), "anchor long, span long, place long, low int, high int, digest binary")
 
-    ``first`` and ``last`` are the offsets that windows may have.
-    """
-    lists = asked.groupBy("digest").agg(F.collect_list(F.struct("anchor", "place", "alone")).alias("asked"))
-    schema = "anchor long, digest binary, place long, alone boolean, first int, last int, context binary"
+
+def _texts_with_anchors(texts: DataFrame, known: Broadcast, least: int) -> DataFrame:
+    """One row for each distinct text in which the filter lets an anchor through."""
+
+    def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        kept = np.zeros(len(batch), bool)
+        for found in anchors((_bytes(t.as_py()) for t in batch.column(1)), least):
+            kept[found.owner[known.value.may_hold(found.anchor)]] = True
+        yield batch.filter(pa.array(kept))
+
+    return texts.mapInArrow(_each_batch(work), texts.schema).groupBy("digest").agg(F.first("text").alias("text"))
+
+
+def _contexts(asked: DataFrame, distinct_texts: DataFrame, least: int) -> DataFrame:
+    """The bytes that an anchor's windows hold: ``context``, which begins ``high`` before it."""
+    lists = asked.groupBy("digest").agg(F.collect_list(F.struct("anchor", "place", "low", "high")).alias("asked"))
+    schema = "anchor long, digest binary, place long, low int, high int, context binary"
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        out: list[list] = [[] for _ in range(7)]
+        out: list[list] = [[] for _ in range(6)]
         for digest, text, wanted in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
             raw = (text or "").encode("utf-8", "surrogatepass")
             for w in wanted:
-                place = w["place"]
-                first, last = (int(x) for x in offsets_of(np.int64(place), len(raw), least))
-                row = (w["anchor"], digest, place, w["alone"], first, last, raw[place - last : place + least - first])
+                place, low, high = w["place"], w["low"], w["high"]
+                row = (w["anchor"], digest, place, low, high, raw[place - high : place + least - low])
                 for column, x in zip(out, row, strict=True):
                     column.append(x)
-        kinds = [pa.int64(), pa.binary(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.binary()]
+        kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
         yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], [c.split()[0] for c in schema.split(", ")])
 
     return distinct_texts.join(lists, "digest").select("digest", "text", "asked").mapInArrow(_each_batch(work), schema)
@@ -181,31 +249,28 @@ def _contexts(asked: DataFrame, distinct_texts: DataFrame, least: int) -> DataFr
 def _shared_strides(contexts: DataFrame, least: int) -> DataFrame:
     """A row for each context and stride of offsets, with what its windows have in common.
 
-    ``common`` hashes the bytes that all windows of the stride hold, ``reached`` those that any of
-    them holds; it is the context's own where the document ends before.
+    ``common`` hashes the bytes that all windows of the stride hold, ``reached`` those that the
+    context's own windows among them hold.
     """
-    schema = "anchor long, digest binary, place long, alone boolean, stride int, common long, reached long"
+    schema = "anchor long, digest binary, place long, low int, high int, stride int, common long, reached long"
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         one, two = _both()
         index, strides, common, reached = [], [], [], []
-        rows = zip(*(batch.column(k).to_pylist() for k in (2, 4, 5, 6)), strict=True)
-        for i, (place, first, last, context) in enumerate(rows):
+        rows = zip(*(batch.column(k).to_pylist() for k in (3, 4, 5)), strict=True)
+        for i, (low, high, context) in enumerate(rows):
             data = np.frombuffer(context, np.uint8)
-            sums_one, sums_two = one.sums(data), two.sums(data)
-            k = np.arange(first // STRIDE, last // STRIDE + 1)
-            low, high = k * STRIDE, np.minimum(k * STRIDE + STRIDE - 1, least - ANCHOR)
-            common.append(one(sums_one, last - low, last + least - high))
-            inside = (low >= first) & (high <= last)
-            start, end = np.where(inside, last - high, 0), np.where(inside, last + least - low, 0)
-            own = np.uint64((int.from_bytes(batch.column(1)[i].as_py()[:8]) + place) & _MASK)
-            reached.append(np.where(inside, two(sums_two, start, end), _mixed(k.astype(np.uint64) + own)))
+            k = np.arange(low // STRIDE, high // STRIDE + 1)
+            common.append(one(one.sums(data), high - k * STRIDE, high + least - (k * STRIDE + STRIDE - 1)))
+            own_low, own_high = np.maximum(k * STRIDE, low), np.minimum(k * STRIDE + STRIDE - 1, high)
+            reach = two(two.sums(data), high - own_high, high + least - own_low)
+            reached.append(reach ^ _mixed((own_low * 65536 + own_high).astype(np.uint64)))
             index.append(np.full(len(k), i))
             strides.append(k.astype(np.int32))
         if index:
             kept = batch.take(pa.array(np.concatenate(index)))
             yield pa.RecordBatch.from_arrays(
-                [kept.column(0), kept.column(1), kept.column(2), kept.column(3), pa.array(np.concatenate(strides)), _signed(np.concatenate(common)), _signed(np.concatenate(reached))],
+                [*kept.columns[:5], pa.array(np.concatenate(strides)), _signed(np.concatenate(common)), _signed(np.concatenate(reached))],
                 [c.split()[0] for c in schema.split(", ")],
             )
 
@@ -213,70 +278,61 @@ def _shared_strides(contexts: DataFrame, least: int) -> DataFrame:
 
 
 def _single_windows(asked: DataFrame, least: int) -> DataFrame:
-    """(anchor, digest, place, open, offset, window) for each window of the asked strides."""
-    schema = "anchor long, digest binary, place long, open boolean, offset int, window long, second long"
+    """(digest, open, start, anchor, offset, window, second) for each own window of the asked strides."""
+    schema = "digest binary, open boolean, start long, anchor long, offset int, window long, second long"
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         one, two = _both()
-        index, offsets, windows, second = [], [], [], []
-        for i, (k, first, last, context) in enumerate(zip(*(batch.column(c).to_pylist() for c in (4, 5, 6, 7)), strict=True)):
+        index, starts, offsets, windows, second = [], [], [], [], []
+        rows = zip(*(batch.column(c).to_pylist() for c in (3, 4, 5, 6, 7)), strict=True)
+        for i, (place, k, low, high, context) in enumerate(rows):
             data = np.frombuffer(context, np.uint8)
-            at = np.arange(max(first, k * STRIDE), min(last, k * STRIDE + STRIDE - 1) + 1)
-            windows.append(one(one.sums(data), last - at, last - at + least))
-            second.append(two(two.sums(data), last - at, last - at + least))
+            at = np.arange(max(low, k * STRIDE), min(high, k * STRIDE + STRIDE - 1) + 1)
+            windows.append(one(one.sums(data), high - at, high - at + least))
+            second.append(two(two.sums(data), high - at, high - at + least))
             offsets.append(at.astype(np.int32))
+            starts.append(place - at)
             index.append(np.full(len(at), i))
         if index:
             kept = batch.take(pa.array(np.concatenate(index)))
             yield pa.RecordBatch.from_arrays(
-                [kept.column(0), kept.column(1), kept.column(2), kept.column(3), pa.array(np.concatenate(offsets)), _signed(np.concatenate(windows)), _signed(np.concatenate(second))],
+                [kept.column(1), kept.column(2), pa.array(np.concatenate(starts)), kept.column(0), pa.array(np.concatenate(offsets)),
+                 _signed(np.concatenate(windows)), _signed(np.concatenate(second))],
                 [c.split()[0] for c in schema.split(", ")],
             )
 
     return asked.mapInArrow(_each_batch(work), schema)
 
 
-def repeated_spans(docs: DataFrame, least: int = LEAST) -> DataFrame:
+def repeated_spans(docs: DataFrame, distinct_texts: DataFrame, known: Broadcast, least: int = LEAST) -> DataFrame:
     """(digest, start, end): spans of texts that strings of ``least`` bytes found elsewhere cover.
 
     ``docs`` has (digest, text); spans may overlap. Their union holds every covered byte.
     """
-    rows = _anchor_rows(docs, least)
-    often = rows.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    kept = durable(rows.join(often, "anchor").select("anchor", "span", "place", "digest"))
-    spans = durable(
-        kept.groupBy("anchor", "span").agg(F.count("*").alias("n"), F.min(F.struct("digest", "place")).alias("one"))
-    )
-    shared = kept.join(spans.where("n > 1").select("anchor", "span"), ["anchor", "span"], "left_semi").select("digest", "place").distinct()
-    # Texts with a single context somewhere, and one of each other context of the same anchors.
-    open_anchors = spans.where("n = 1").select("anchor").distinct()
-    asked = spans.join(open_anchors, "anchor", "left_semi").select(
-        "anchor", F.col("one.digest").alias("digest"), F.col("one.place").alias("place"), (F.col("n") == 1).alias("alone")
-    )
-    distinct_texts = docs.groupBy("digest").agg(F.first("text").alias("text"))
+    kept = durable(_anchor_rows(docs, known, least))
+    own = ["digest", "place", "low", "high"]
+    spans = durable(kept.groupBy("anchor", "span").agg(F.count("*").alias("n"), F.min(F.struct(*own)).alias("one")))
+    shared = kept.join(spans.where("n > 1").select("anchor", "span"), ["anchor", "span"], "left_semi").select(*own).distinct()
+    # What single spans share shows against one of each other span of the same anchor.
+    several = spans.groupBy("anchor").agg(F.count("*").alias("spans"), F.min("n").alias("least_n")).where("least_n = 1 and spans > 1")
+    asked = spans.join(several.select("anchor"), "anchor", "left_semi").select("anchor", "one.*")
     contexts = durable(_contexts(asked, distinct_texts, least))
     strides = durable(_shared_strides(contexts, least))
     key = ["anchor", "stride", "common"]
-    by_reach = strides.groupBy(*key, "reached").agg(F.count("*").alias("n"))
-    by_common = by_reach.groupBy(*key).agg(F.sum("n").alias("all"), F.min("n").alias("least_n")).where("all > 1")
-    counted = strides.join(by_reach.join(by_common, key), [*key, "reached"])
-    widths = F.least((F.col("stride") + 1) * STRIDE - 1, F.lit(least - ANCHOR))
-    whole = counted.where("alone and n > 1").select(
-        "digest", (F.col("place") - widths).alias("start"), (F.col("place") + least - F.col("stride") * STRIDE).alias("end")
-    )
-    unsettled = counted.where("least_n = 1").select(
-        "anchor", "digest", "place", (F.col("alone") & (F.col("n") == 1)).alias("open"), "stride"
-    )
-    asked_windows = unsettled.join(contexts.select("anchor", "digest", "place", "first", "last", "context"), ["anchor", "digest", "place"]).select(
-        "anchor", "digest", "place", "open", "stride", "first", "last", "context"
+    by_reach = durable(strides.groupBy(*key, "reached").agg(F.count("*").alias("n"), F.min(F.struct(*own)).alias("one")))
+    twice_reached = by_reach.where("n > 1").select(*key, "reached")
+    from_low, to_high = F.greatest("low", F.col("stride") * STRIDE), F.least("high", (F.col("stride") + 1) * STRIDE - 1)
+    whole = strides.join(twice_reached, [*key, "reached"], "left_semi").select(
+        "digest", (F.col("place") - to_high).alias("start"), (F.col("place") + least - from_low).alias("end")
     )
+    classes = by_reach.groupBy(*key).agg(F.count("*").alias("reaches"), F.min("n").alias("least_n")).where("reaches > 1 and least_n = 1")
+    unsettled = by_reach.join(classes.select(*key), key, "left_semi").select("anchor", "stride", "one.*", (F.col("n") == 1).alias("open"))
+    asked_windows = unsettled.join(contexts, ["anchor", *own]).select("anchor", "digest", "open", "place", "stride", "low", "high", "context")
     windows = durable(_single_windows(asked_windows, least))
     window_key = ["anchor", "offset", "window", "second"]
-    twice = windows.groupBy(*window_key).agg(F.count("*").alias("n")).where("n > 1")
-    single = windows.where("open").join(twice, window_key, "left_semi").select(
-        "digest", (F.col("place") - F.col("offset")).alias("start"), (F.col("place") - F.col("offset") + least).alias("end")
-    )
-    around = shared.select("digest", (F.col("place") - (least - ANCHOR)).alias("start"), (F.col("place") + least).alias("end"))
+    twice = windows.groupBy(*window_key).agg(F.count("*").alias("n")).where("n > 1").select(*window_key)
+    single = windows.where("open").join(twice, window_key, "left_semi").select("digest", "start", (F.col("start") + least).alias("end"))
+    around = shared.select("digest", (F.col("place") - F.col("high")).alias("start"), (F.col("place") + least - F.col("low")).alias("end"))
     return around.unionByName(whole).unionByName(single)
 
 
@@ -315,7 +371,9 @@ def remove_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
     text = text_or_empty()
     keyed = docs.select("doc_id", F.unhex(F.md5(text)).alias("digest"), text.alias("text"))
     texts = keyed.select("digest", "text")
-    changed = _without(repeated_spans(texts, least), texts.groupBy("digest").agg(F.first("text").alias("text")))
+    known = session(docs).sparkContext.broadcast(_repeated_anchors(texts, least))
+    distinct_texts = stored(_texts_with_anchors(texts, known, least), "texts")
+    changed = _without(repeated_spans(texts, distinct_texts, known, least), distinct_texts)
     return (
         keyed.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("own"))
         .join(changed, "digest", "left")
