@@ -1,8 +1,8 @@
 """Queries over the test tables, each with SQL that gives the same rows."""
 
-from townlake.plans import access, live, matching, quality, relational, transit
+from townlake.plans import access, live, matching, quality, relational, shapes, transit
 
-_PARTS = [access, relational, matching, transit, live, quality]
+_PARTS = [access, relational, matching, transit, live, quality, shapes]
 
 CITY_QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 CITY_ORACLES = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}

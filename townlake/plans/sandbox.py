@@ -6,11 +6,14 @@ import json
 import re
 import threading
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import SparkSession
 
 #: Limits of a result (fixed values): rows, characters a cell, characters in all, seconds.
 MOST_ROWS, MOST_CELL, MOST_TEXT, MOST_SECONDS = 200, 300, 20_000, 15
+#: Limits of a map (fixed values): features, bytes.
+MOST_FEATURES, MOST_BYTES = 5_000, 8_000_000
 #: Functions that reach beyond the tables.
 _DENIED = re.compile(r"\b(java_method|reflect|try_reflect|input_file_name|read_files)\s*\(|\b(parquet|csv|json|text|orc|binaryfile)\s*\.\s*`", re.IGNORECASE)
 
@@ -22,30 +25,38 @@ def _cell(value: object) -> object:
     return text if len(text) <= MOST_CELL else text[:MOST_CELL] + "…"
 
 
-def run_query(spark: SparkSession, query: str, seconds: float = MOST_SECONDS) -> dict:
-    """``{columns, rows, row_count, truncated}`` of one query, or ``{error}``.
+def _limited(spark: SparkSession, query: str, most: int, seconds: float) -> tuple[list[str] | None, list | str]:
+    """Columns and at most ``most`` rows of one query, or None and what is wrong with it.
 
     The text is read as a subquery, so Spark's own parser refuses commands and second statements.
     """
     text = query.strip().rstrip(";").strip()
     if not text:
-        return {"error": "the query is empty"}
+        return None, "the query is empty"
     if _DENIED.search(text):
-        return {"error": "only queries over the registered tables are allowed"}
+        return None, "only queries over the registered tables are allowed"
     tag, context = f"sandbox-{uuid.uuid4().hex}", spark.sparkContext
     timer = threading.Timer(seconds, context.cancelJobsWithTag, [tag])
     context.addJobTag(tag)
     timer.start()
     try:
-        found = spark.sql(f"SELECT * FROM (\n{text}\n) AS q LIMIT {MOST_ROWS + 1}")
-        columns, rows = found.columns, [[_cell(v) for v in r] for r in found.collect()]
+        found = spark.sql(f"SELECT * FROM (\n{text}\n) AS q LIMIT {most}")
+        return found.columns, [list(r) for r in found.collect()]
     except Exception as e:
         if not timer.is_alive():
-            return {"error": f"stopped after {seconds} seconds: filter or aggregate more"}
-        return {"error": str(e).split("\n")[0][:500]}
+            return None, f"stopped after {seconds} seconds: filter or aggregate more"
+        return None, str(e).split("\n")[0][:500]
     finally:
         timer.cancel()
         context.removeJobTag(tag)
+
+
+def run_query(spark: SparkSession, query: str, seconds: float = MOST_SECONDS) -> dict:
+    """``{columns, rows, row_count, truncated}`` of one query, or ``{error}``."""
+    columns, rows = _limited(spark, query, MOST_ROWS + 1, seconds)
+    if columns is None:
+        return {"error": rows}
+    rows = [[_cell(v) for v in r] for r in rows]
     truncated = len(rows) > MOST_ROWS
     rows = rows[:MOST_ROWS]
     while rows and len(json.dumps(rows, default=str, ensure_ascii=False)) > MOST_TEXT:
@@ -53,6 +64,49 @@ def run_query(spark: SparkSession, query: str, seconds: float = MOST_SECONDS) ->
     return {"columns": columns, "rows": rows, "row_count": len(rows), "truncated": truncated}
 
 
+def query_features(spark: SparkSession, query: str, seconds: float = MOST_SECONDS) -> dict:
+    """A FeatureCollection of a query with a ``geom`` column of GeoJSON text, or ``{error}``.
+
+    Rows without a geometry are counted and left out. Too many rows or bytes are an error, as a
+    map with a part of them would mislead.
+    """
+    found, rows = _limited(spark, query, MOST_FEATURES + 1, seconds)
+    if found is None:
+        return {"error": rows}
+    if "geom" not in found:
+        return {"error": "the query needs a column named geom with GeoJSON text"}
+    if len(rows) > MOST_FEATURES:
+        return {"error": f"over {MOST_FEATURES} rows: filter or aggregate more"}
+    features, empty, kinds = [], 0, set()
+    low, high = [float("inf")] * 2, [float("-inf")] * 2
+    for row in rows:
+        values = dict(zip(found, row, strict=True))
+        text = values.pop("geom")
+        if text is None:
+            empty += 1
+            continue
+        try:
+            geometry = json.loads(text)
+            kinds.add(geometry["type"])
+            for x, y in _positions(geometry["coordinates"]):
+                low, high = [min(low[0], x), min(low[1], y)], [max(high[0], x), max(high[1], y)]
+        except (ValueError, TypeError, KeyError):
+            return {"error": "geom has a text that is not GeoJSON"}
+        features.append({"type": "Feature", "geometry": geometry, "properties": {k: _cell(v) for k, v in values.items()}})
+    out = {"type": "FeatureCollection", "features": features, "bbox": [*low, *high] if features else None, "types": sorted(kinds), "without_geometry": empty}
+    if len(json.dumps(out, default=str)) > MOST_BYTES:
+        return {"error": f"over {MOST_BYTES} bytes: simplify the shapes or select fewer rows"}
+    return out
+
+
+def _positions(coordinates: list) -> Iterator[tuple[float, float]]:
+    if coordinates and isinstance(coordinates[0], (int, float)):
+        yield coordinates[0], coordinates[1]
+    else:
+        for part in coordinates:
+            yield from _positions(part)
+
+
 def describe_tables(spark: SparkSession) -> list[dict]:
     """Names, columns and comments of the registered tables."""
     return [
