@@ -7,12 +7,15 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState
 
 from townlake.operators.tables import first_per_key
 from townlake.operators.temporal import next_within
 
 REPORT_KEY = ["vehicle_id", "recorded_at"]
+#: How long the state of an arrival is kept without a sighting.
+KEPT_MS = 2 * 24 * 3600 * 1000
 ARRIVAL_KEY = ["service_date", "trip_id", "stop_id"]
 #: A good fetch this soon after the last sighting shows that the stop really left the feed.
 GAP_SECONDS = 120
@@ -66,32 +69,34 @@ def first_and_last(arrivals: DataFrame, schedule_columns: list[str]) -> DataFram
     )
 
 
-class FirstLast(StatefulProcessor):
-    """State of one trip and stop: first and last prediction and the number of sightings."""
+def _first_and_last(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """State of one trip and stop: first and last prediction and the number of sightings.
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        kept = "first_predicted timestamp, first_seen timestamp, last_predicted timestamp, last_seen timestamp, updates long"
-        self.state = handle.getValueState("arrival", kept, ttlDurationMs=2 * 24 * 3600 * 1000)
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["seen_at", "predicted"])
-        held = self.state.get() if self.state.exists() else None
-        first, last = batch.iloc[0], batch.iloc[-1]
-        begin = (held[0], held[1]) if held else (first["predicted"].to_pydatetime(), first["seen_at"].to_pydatetime())
-        updates = (held[4] if held else 0) + len(batch)
-        value = (*begin, last["predicted"].to_pydatetime(), last["seen_at"].to_pydatetime(), updates)
-        self.state.update(value)
-        yield pd.DataFrame([[*key, *value]], columns=[*ARRIVAL_KEY, "first_predicted", "first_seen", "last_predicted", "last_seen", "updates"])
-
-    def close(self) -> None:
-        pass
+    Times are kept as microseconds. A state without sightings for KEPT_MS
+    is dropped once the feed has gone on for as long again; processing time would not let a stream
+    of what is available end.
+    """
+    if state.hasTimedOut:
+        state.remove()
+        return
+    batch = pd.concat(list(frames)).sort_values(["seen_at", "predicted"])
+    micros = lambda row: (row["predicted"].value // 1000, row["seen_at"].value // 1000)
+    held = state.get if state.exists else (*micros(batch.iloc[0]), 0, 0, 0)
+    value = (held[0], held[1], *micros(batch.iloc[-1]), held[4] + len(batch))
+    state.update(value)
+    state.setTimeoutTimestamp(value[3] // 1000 + KEPT_MS)
+    row = [*key, *[pd.Timestamp(v, unit="us") for v in value[:4]], value[4]]
+    yield pd.DataFrame([row], columns=[*ARRIVAL_KEY, "first_predicted", "first_seen", "last_predicted", "last_seen", "updates"])
 
 
 def follow_arrivals(stream: DataFrame) -> DataFrame:
     """The stream form of ``first_and_last``: a row with the new state for each key of a batch."""
     key = "service_date date, trip_id string, stop_id string"
-    kept = "first_predicted timestamp, first_seen timestamp, last_predicted timestamp, last_seen timestamp, updates long"
-    return stream.groupBy(*ARRIVAL_KEY).transformWithStateInPandas(FirstLast(), f"{key}, {kept}", "Update", "ProcessingTime")
+    times = ("first_predicted", "first_seen", "last_predicted", "last_seen")
+    shown = ", ".join([key, *[f"{t} timestamp" for t in times], "updates long"])
+    kept = ", ".join([*[f"{t} long" for t in times], "updates long"])
+    timed = stream.withWatermark("seen_at", f"{KEPT_MS} milliseconds")
+    return timed.groupBy(*ARRIVAL_KEY).applyInPandasWithState(_first_and_last, shown, kept, "update", "EventTimeTimeout")
 
 
 def passed(arrivals: DataFrame, fetches: DataFrame) -> DataFrame:
