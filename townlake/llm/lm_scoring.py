@@ -25,8 +25,8 @@ from townlake.llm.fingerprints import words
 from townlake.llm.labelled import held_out
 
 #: Words that the network tells apart, with the end of a text; all others go by classes.
-FREQUENT = 256
-RARE_CLASSES = 28
+FREQUENT = 512
+RARE_CLASSES = 48
 #: Words, at most, whose counts every task gets, the most frequent, of at most WORD_BYTES bytes each: some megabytes.
 SHARED = 60_000
 WORD_BYTES = 40
