@@ -24,6 +24,13 @@ def stored_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return added.groupBy(F.date_format("recorded_date", "yyyyMMdd").alias("day")).agg(F.count("*").alias("n"))
 
 
+def stored_reports_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports of odd events that those of even events have not stored, by day; each key once."""
+    reports = _reports(spark, sf_dir)
+    added = new_reports(reports.where("report % 2 = 1"), reports.where("report % 2 = 0").select("vehicle_id", "recorded_at"))
+    return added.groupBy(F.date_format("recorded_date", "yyyyMMdd").alias("day")).agg(F.count("*").alias("n"))
+
+
 def _arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = F.col("ts").cast("timestamp")
     seconds = lambda s: F.timestamp_seconds(F.unix_seconds(seen) + s)
@@ -59,7 +66,7 @@ def vehicles_now(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select("vehicle_id", F.unix_seconds("recorded_at").alias("recorded_s"))
 
 
-QUERIES = {f.__name__: f for f in (stored_reports, prediction_states, passed_stops, vehicles_now)}
+QUERIES = {f.__name__: f for f in (stored_reports, stored_reports_all, prediction_states, passed_stops, vehicles_now)}
 
 _ARRIVALS = """a AS (SELECT strftime(CAST(ts AS DATE), '%Y%m%d') AS day, CAST(user_id % 50 AS VARCHAR) AS trip_id, event_type AS stop_id,
   CAST(epoch(date_trunc('second', ts)) AS BIGINT) AS seen, CAST(epoch(date_trunc('second', ts)) AS BIGINT) + CAST(round(value) AS BIGINT) % 300 AS predicted FROM events),
@@ -70,6 +77,9 @@ s AS (SELECT day, trip_id, stop_id, arg_min(seen, struct_pack(seen, predicted))
 ORACLES = {
     "stored_reports": """WITH r AS (SELECT user_id, date_trunc('minute', ts) AS m, event_id FROM events)
 SELECT strftime(m, '%Y%m%d') AS day, count(*) AS n FROM (SELECT DISTINCT user_id, m FROM r WHERE event_id % 3 = 0) x
+WHERE NOT EXISTS (SELECT 1 FROM r WHERE event_id % 2 = 0 AND r.user_id = x.user_id AND r.m = x.m) GROUP BY 1""",
+    "stored_reports_all": """WITH r AS (SELECT user_id, date_trunc('minute', ts) AS m, event_id FROM events)
+SELECT strftime(m, '%Y%m%d') AS day, count(*) AS n FROM (SELECT DISTINCT user_id, m FROM r WHERE event_id % 2 = 1) x
 WHERE NOT EXISTS (SELECT 1 FROM r WHERE event_id % 2 = 0 AND r.user_id = x.user_id AND r.m = x.m) GROUP BY 1""",
     "prediction_states": f"WITH {_ARRIVALS} SELECT * FROM s",
     "passed_stops": f"""WITH {_ARRIVALS}, f AS (SELECT CAST(epoch(date_trunc('second', ts)) AS BIGINT) AS t FROM events WHERE event_id % 10 = 0 AND event_id % 70 <> 0),

@@ -42,15 +42,24 @@ def supplier_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match_in_passes(left, right, "c_custkey", "s_suppkey", [("both", ["nation", "band"]), ("nation", ["nation"]), ("band", ["band"])])
 
 
-def unique_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders whose shortened key fits exactly one customer's key of the same last digit."""
-    orders = table(spark, sf_dir, "orders").where("o_orderkey % 50 = 0").select(
+def _blocks(spark: SparkSession, sf_dir: str, orders: DataFrame) -> DataFrame:
+    orders = orders.select(
         "o_orderkey", (F.col("o_orderkey") % 10).alias("digit"), F.substring(F.col("o_custkey").cast("string"), 1, 3).alias("short")
     )
     customer = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") % 10).alias("digit"), F.col("c_custkey").cast("string").alias("full"))
     return match_unique_prefix(orders, customer, "o_orderkey", "c_custkey", "short", "full", ["digit"])
 
 
+def unique_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every fiftieth order those whose shortened key fits exactly one customer's key of the same last digit."""
+    return _blocks(spark, sf_dir, table(spark, sf_dir, "orders").where("o_orderkey % 50 = 0"))
+
+
+def unique_blocks_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders, all of them, whose shortened key fits exactly one customer's key of the same last digit."""
+    return _blocks(spark, sf_dir, table(spark, sf_dir, "orders"))
+
+
 def similar_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each nation the other name that is most like its own, by trigrams."""
     nation = table(spark, sf_dir, "nation")
@@ -59,7 +68,7 @@ def similar_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("n_nationkey", "other", F.round("similarity", 6).alias("similarity"))
 
 
-QUERIES = {f.__name__: f for f in (part_keys, guarded_values, supplier_matches, unique_blocks, similar_names)}
+QUERIES = {f.__name__: f for f in (part_keys, guarded_values, supplier_matches, unique_blocks, unique_blocks_all, similar_names)}
 
 _TRI = """list_distinct(flatten(list_transform(list_filter(string_split(regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' '), lambda w: w <> ''),
   lambda w: list_transform(range(1, len(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"""
@@ -78,6 +87,9 @@ SELECT DISTINCT ON (c_custkey) c_custkey, s_suppkey, "match" FROM p ORDER BY c_c
     "unique_blocks": """SELECT o_orderkey, min(c_custkey) AS c_custkey FROM orders JOIN customer
   ON c_custkey % 10 = o_orderkey % 10 AND starts_with(CAST(c_custkey AS VARCHAR), substr(CAST(o_custkey AS VARCHAR), 1, 3))
 WHERE o_orderkey % 50 = 0 GROUP BY o_orderkey HAVING count(DISTINCT c_custkey) = 1""",
+    "unique_blocks_all": """SELECT o_orderkey, min(c_custkey) AS c_custkey FROM orders JOIN customer
+  ON c_custkey % 10 = o_orderkey % 10 AND starts_with(CAST(c_custkey AS VARCHAR), substr(CAST(o_custkey AS VARCHAR), 1, 3))
+GROUP BY o_orderkey HAVING count(DISTINCT c_custkey) = 1""",
     "similar_names": f"""WITH n AS (SELECT n_nationkey, {_TRI.format('n_name')} AS a FROM nation),
 p AS (SELECT l.n_nationkey, r.n_nationkey AS other, len(list_intersect(l.a, r.a)) / CAST(len(list_distinct(list_concat(l.a, r.a))) AS DOUBLE) AS s
       FROM n l JOIN n r ON l.n_nationkey % 2 = 0 AND r.n_nationkey % 2 = 1)

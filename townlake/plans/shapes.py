@@ -50,14 +50,23 @@ def area_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def metres_to_area(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How far buildings of the first region are from the border of their nation's area."""
-    homes = buildings(spark, sf_dir).where("n_regionkey = 0").select("c_custkey", "c_nationkey", "lon", "lat")
+def _metres(spark: SparkSession, sf_dir: str, homes: DataFrame) -> DataFrame:
+    homes = homes.select("c_custkey", "c_nationkey", "lon", "lat")
     pairs = homes.join(_rings(spark, sf_dir), F.col("c_nationkey") == F.col("area"))
     metres = metres_to_edges(F.col("rings"), F.col("lon"), F.col("lat"))
     return pairs.select("c_custkey", F.round(metres).cast("long").alias("metres"))
 
 
+def metres_to_area(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far buildings of the first region are from the border of their nation's area."""
+    return _metres(spark, sf_dir, buildings(spark, sf_dir).where("n_regionkey = 0"))
+
+
+def metres_to_area_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far all buildings are from the border of their nation's area."""
+    return _metres(spark, sf_dir, buildings(spark, sf_dir))
+
+
 def building_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The map tile of each building and its place in it."""
     return tile_points(buildings(spark, sf_dir).select("c_custkey", "lon", "lat"), TILE_ZOOM).select("c_custkey", "x", "y", "px", "py")
@@ -116,7 +125,7 @@ def assigned_facility(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (zone_overlay, zone_of_area, area_measures, metres_to_area, building_tiles, tile_sizes, grid_population, reach_agreement, assigned_facility)
+    for f in (zone_overlay, zone_of_area, area_measures, metres_to_area, metres_to_area_all, building_tiles, tile_sizes, grid_population, reach_agreement, assigned_facility)
 }
 
 _ZONES = f"""WITH {BOXES_SQL}, z AS (SELECT area AS zone, x0 + 0.03e0 AS x0, y0 + 0.02e0 AS y0, x1 + 0.03e0 AS x1, y1 + 0.02e0 AS y1 FROM boxes),
@@ -172,3 +181,5 @@ SELECT n_regionkey, count(*) AS buildings, count(assigned_m) AS assigned_in_reac
        count(*) FILTER (assigned_m > nearest_m + 400) AS much_farther, CAST(round(quantile_cont(assigned_m, 0.5)) AS BIGINT) AS median_m
 FROM n GROUP BY n_regionkey""",
 }
+#: The same over all regions.
+ORACLES["metres_to_area_all"] = ORACLES["metres_to_area"].replace(" WHERE n_regionkey = 0", "")
