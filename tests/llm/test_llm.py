@@ -29,6 +29,7 @@ from townlake.llm import (
     sharding,
     simhash,
     toxicity,
+    transform,
 )
 from townlake.llm.components import components
 
@@ -367,15 +368,54 @@ def test_repeats_equal_brute_force(spark, awkward):
     assert Counter((r.doc_id, (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)) for r in rows) == want
 
 
-def test_repeats_across_parts_of_long_texts(spark, monkeypatch):
-    monkeypatch.setattr(repeats, "PART", 700)
-    repeats._hashes.clear()
+def _removed(spark, texts):
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.remove_repeats(table).collect()}
+    return [got[i] for i in range(len(texts))]
+
+
+def test_strings_whose_polynomial_hashes_collide_are_not_removed(spark):
+    swap = str.maketrans("ab", "ba")
+    x = "a"
+    while len(x) < 256:
+        x += x.translate(swap)
+    y = x.translate(swap)
+    rng = random.Random(11)
+    anchor = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(128))
+    texts = [x + anchor + y, y + anchor + x]
+    got = _removed(spark, texts)
+    assert got == plain_repeats(texts, 400) and all(r[1] == 0 for r in got)
+
+
+def test_anchors_of_many_spans_are_narrowed(spark, monkeypatch):
+    rng = random.Random(7)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(700))
+    own = lambda n: "".join(rng.choice("klmnop ") for _ in range(n))
+    texts = [own(rng.randint(0, 300)) + passage[rng.randint(0, 250) : rng.randint(350, 700)] + own(rng.randint(0, 300)) for _ in range(60)]
+    texts += [own(40) + passage + own(40)] * 3
+    want = plain_repeats(texts, 400)
+    for block in (1 << 21, 30_000, 1500, 1):
+        monkeypatch.setattr(repeats, "BLOCK", block)
+        assert _removed(spark, texts) == want, block
+
+
+def test_repeats_across_parts_of_long_texts(spark):
     rng = random.Random(1)
-    text = "".join(rng.choice("abcdef ") for _ in range(5000))
-    texts = [text, text[1000:2500] + "x" * 300, "y" * 900]
-    places = [next(iter([a])) for a in repeats.anchors((np.frombuffer(t.encode(), np.uint8) for t in texts))]
-    repeats._hashes.clear()
-    assert places and all((a.high >= a.low).all() for a in places)
+    text = "".join(rng.choice("abcdef ") for _ in range(620_000))
+    at = repeats.PART
+    texts = [text, "x" * 500 + text[at - 700 : at + 900], "y" * 900, text[1000:1399], text[at - 200 : at + 199]]
+    assert len({text[i : i + 400] for i in range(0, len(text) - 399, 7)}) == len(range(0, len(text) - 399, 7))
+    got = _removed(spark, texts)
+    assert got[0][1:3] == (1600, 1) and got[0][3] == hashlib.sha256((text[: at - 700] + text[at + 900 :]).encode()).hexdigest()
+    assert got[1][1:3] == (2100, 1) and got[2][1] == 900 and got[3][1] == got[4][1] == 0
+
+
+@settings(max_examples=150, deadline=None)
+@given(strings=st.lists(st.binary(min_size=1, max_size=40) | st.text("ab", min_size=1, max_size=40).map(str.encode), min_size=1, max_size=6), least=st.integers(1, 25))
+def test_interval_expansion_finds_what_occurs_twice(strings, least):
+    count = Counter(s[i : i + least] for s in strings for i in range(len(s) - least + 1))
+    got = transform.repeated_windows([np.frombuffer(s, np.uint8) for s in strings], least)
+    assert [g.tolist() for g in got] == [[count[s[i : i + least]] > 1 for i in range(len(s) - least + 1)] for s in strings]
 
 
 # 7

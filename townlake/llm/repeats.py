@@ -1,14 +1,17 @@
 """Removing byte strings that occur more than once in the corpus.
 
-Strings of ``least`` bytes are the leaves of an expansion by length. It starts from anchors: of all
-``ANCHOR``-byte strings inside a window of ``least`` bytes, the one with the smallest hash. Equal
-windows choose the same anchor at the same place, so two windows can only be equal if their anchors
-are. Anchors that occur once are dropped. What is left forms classes of equal strings, as intervals
-of a suffix array would, and breadth-first rounds extend all classes together: to everything that
-windows around the anchor can reach, then to what sixteen neighbouring windows have in common, then
-to single windows of ``least`` bytes, where it stops. A class of one is dropped in each round, and
-a class whose longest extension is shared needs no more rounds. Classes are counted by two
-independent 64-bit hashes as Spark groups, so one string that all documents share is a few counts.
+A suffix array of the whole corpus would have a row for every byte. Most bytes are in no repeated
+string, and anchors tell which may be: of all ``ANCHOR``-byte strings inside a window of ``least``
+bytes, the one with the smallest hash. Equal windows choose the same anchor at the same place, so
+windows can only be equal if their anchors are. Around every anchor that occurs more than once,
+all that its windows hold is a span. Spans that are equal as a whole (by a 128-bit digest of their
+bytes) are settled as they are. One of each other kind goes, with all others of its anchor, into a
+Burrows-Wheeler transform of some megabytes, whose intervals are expanded breadth first, common
+prefixes by increasing value, up to ``least`` (see ``transform``): that compares bytes, not hashes.
+
+Anchors with more spans than a transform holds are narrowed first: spans are cut into runs of 64,
+16, 4 and 1 windows, and a run only meets runs that have the same bytes where all its windows
+overlap. Equal runs are settled, so one string that all documents share is a count.
 """
 
 from __future__ import annotations
@@ -24,11 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from townlake.llm.common import durable, session, stored, text_or_empty
+from townlake.llm.transform import MOST_STRINGS, repeated_windows
 
 LEAST = 400
 ANCHOR = 128
-#: Windows that a round tells apart only in the next round.
-STRIDE = 16
+#: Bytes of spans in one transform.
+BLOCK = 1 << 21
+#: Windows in a run, round by round, for anchors with more bytes of spans than BLOCK.
+WIDTHS = (64, 16, 4, 1)
 #: Bytes that are hashed at once, of several documents or of a part of one; parts overlap.
 PART = 1 << 19
 #: Bits of the filter of repeated anchors for each of them, and in all (32 MB at most).
@@ -69,14 +75,14 @@ class SubstringHash:
         return _mixed((sums[end] - sums[start]) * self.down[start] + length * np.uint64(0x9E3779B97F4A7C15))
 
 
-_hashes: list[SubstringHash] = []
+_hash: list[SubstringHash] = []
 
 
-def _both() -> list[SubstringHash]:
-    """The two hash functions; their tables are made once a worker."""
-    if not _hashes:
-        _hashes.extend((SubstringHash(6), SubstringHash(60)))
-    return _hashes
+def _of_substrings() -> SubstringHash:
+    """The hash function of anchors; its tables are made once a worker."""
+    if not _hash:
+        _hash.append(SubstringHash(6))
+    return _hash[0]
 
 
 def chosen_places(values: np.ndarray, width: int) -> np.ndarray:
@@ -94,21 +100,19 @@ def chosen_places(values: np.ndarray, width: int) -> np.ndarray:
 class Anchors(NamedTuple):
     """Anchors of some texts: whose, where, their hash, and the windows that chose them.
 
-    Windows that begin ``low`` to ``high`` bytes before the anchor chose it; ``span`` hashes all
-    that those windows hold.
+    Windows that begin ``low`` to ``high`` bytes before the anchor chose it.
     """
 
     owner: np.ndarray
     place: np.ndarray
     anchor: np.ndarray
-    span: np.ndarray
     low: np.ndarray
     high: np.ndarray
 
 
 def _chunk_anchors(parts: list[tuple[int, int, np.ndarray]], least: int) -> Anchors:
     """Anchors of parts (owner, offset in its text, bytes), hashed as one string."""
-    one, two = _both()
+    one = _of_substrings()
     data = np.concatenate([p for _, _, p in parts])
     begin = np.cumsum([0] + [len(p) for _, _, p in parts])
     sums = one.sums(data)
@@ -123,11 +127,9 @@ def _chunk_anchors(parts: list[tuple[int, int, np.ndarray]], least: int) -> Anch
     turns = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
     first, last = window[turns], window[np.r_[turns[1:], len(window)] - 1]
     place = place[turns]
-    low, high = place - last, place - first
-    span = two(two.sums(data), first, last + least) ^ _mixed((low * 65536 + high).astype(np.uint64))
     part = np.searchsorted(begin, first, "right") - 1
     owner, base = np.array([o for o, _, _ in parts]), np.array([at for _, at, _ in parts])
-    return Anchors(owner[part], place - begin[part] + base[part], values[place], span, low, high)
+    return Anchors(owner[part], place - begin[part] + base[part], values[place], place - last, place - first)
 
 
 def anchors(texts: Iterable[np.ndarray], least: int = LEAST) -> Iterator[Anchors]:
@@ -198,145 +200,159 @@ def _repeated_anchors(texts: DataFrame, least: int) -> _Filter:
     return _Filter(bits, rows.collect())
 
 
+def _digest(raw: bytes | memoryview) -> bytes:
+    return hashlib.blake2b(raw, digest_size=16).digest()
+
+
 def _anchor_rows(texts: DataFrame, known: Broadcast, least: int) -> DataFrame:
-    """(anchor, span, place, low, high, digest) of the anchors that the filter lets through."""
+    """(anchor, low, high, span, digest, place) of the anchors that the filter lets through.
+
+    ``span`` is the digest of all bytes that the anchor's windows hold, ``digest`` that of the text.
+    """
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for found in anchors((_bytes(t.as_py()) for t in batch.column(1)), least):
+        raw = [_bytes(t.as_py()) for t in batch.column(1)]
+        for found in anchors(raw, least):
             kept = known.value.may_hold(found.anchor)
             if kept.any():
-                owner, place, anchor, span, low, high = (x[kept] for x in found)
+                owner, place, anchor, low, high = (x[kept] for x in found)
+                spans = zip(owner.tolist(), (place - high).tolist(), (place - low + least).tolist(), strict=True)
+                span = [_digest(raw[o][a:b]) for o, a, b in spans]
                 yield pa.RecordBatch.from_arrays(
-                    [_signed(anchor), _signed(span), pa.array(place), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32)), batch.column(0).take(pa.array(owner))],
-                    ["anchor", "span", "place", "low", "high", "digest"],
+                    [_signed(anchor), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32)), pa.array(span),
+                     batch.column(0).take(pa.array(owner)), pa.array(place)],
+                    ["anchor", "low", "high", "span", "digest", "place"],
                 )
 
-    return texts.mapInArrow(_each_batch(work), "anchor long, span long, place long, low int, high int, digest binary")
+    return texts.mapInArrow(_each_batch(work), "anchor long, low int, high int, span binary, digest binary, place long")
 
 
-def _texts_with_anchors(texts: DataFrame, known: Broadcast, least: int) -> DataFrame:
-    """One row for each distinct text in which the filter lets an anchor through."""
+def _distinct_texts(texts: DataFrame) -> DataFrame:
+    return texts.groupBy("digest").agg(F.first("text").alias("text"))
 
-    def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        kept = np.zeros(len(batch), bool)
-        for found in anchors((_bytes(t.as_py()) for t in batch.column(1)), least):
-            kept[found.owner[known.value.may_hold(found.anchor)]] = True
-        yield batch.filter(pa.array(kept))
 
-    return texts.mapInArrow(_each_batch(work), texts.schema).groupBy("digest").agg(F.first("text").alias("text"))
+CONTEXT = "class long, digest binary, place long, low int, high int, open boolean, context binary"
+_CONTEXT_NAMES = [c.split()[0] for c in CONTEXT.split(", ")]
+_CONTEXT_TYPES = [pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
 
 
-def _contexts(asked: DataFrame, distinct_texts: DataFrame, least: int) -> DataFrame:
-    """The bytes that an anchor's windows hold: ``context``, which begins ``high`` before it."""
-    lists = asked.groupBy("digest").agg(F.collect_list(F.struct("anchor", "place", "low", "high")).alias("asked"))
-    schema = "anchor long, digest binary, place long, low int, high int, context binary"
+def _rows_out(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * len(_CONTEXT_NAMES)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _CONTEXT_TYPES, strict=True)], _CONTEXT_NAMES)
 
-    def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        out: list[list] = [[] for _ in range(6)]
-        for digest, text, wanted in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-            raw = (text or "").encode("utf-8", "surrogatepass")
-            for w in wanted:
-                place, low, high = w["place"], w["low"], w["high"]
-                row = (w["anchor"], digest, place, low, high, raw[place - high : place + least - low])
-                for column, x in zip(out, row, strict=True):
-                    column.append(x)
-        kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], [c.split()[0] for c in schema.split(", ")])
 
-    return distinct_texts.join(lists, "digest").select("digest", "text", "asked").mapInArrow(_each_batch(work), schema)
+def _contexts(asked: DataFrame, texts: DataFrame, least: int) -> DataFrame:
+    """The bytes of spans: ``context``, which begins ``high`` before the anchor of its class."""
+    lists = asked.groupBy("digest").agg(F.collect_list(F.struct("anchor", "place", "low", "high", "open")).alias("asked"))
 
+    def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for digest, text, wanted in zip(*batch.columns, strict=True):
+            raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
+            yield _rows_out([
+                (w["anchor"], digest.as_py(), w["place"], w["low"], w["high"], w["open"], raw[w["place"] - w["high"] : w["place"] + least - w["low"]])
+                for w in wanted.as_py()
+            ])
 
-def _shared_strides(contexts: DataFrame, least: int) -> DataFrame:
-    """A row for each context and stride of offsets, with what its windows have in common.
+    return _distinct_texts(texts).join(lists, "digest").select("digest", "text", "asked").mapInArrow(_each_batch(work), CONTEXT)
 
-    ``common`` hashes the bytes that all windows of the stride hold, ``reached`` those that the
-    context's own windows among them hold.
-    """
-    schema = "anchor long, digest binary, place long, low int, high int, stride int, common long, reached long"
 
-    def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        one, two = _both()
-        index, strides, common, reached = [], [], [], []
-        rows = zip(*(batch.column(k).to_pylist() for k in (3, 4, 5)), strict=True)
-        for i, (low, high, context) in enumerate(rows):
-            data = np.frombuffer(context, np.uint8)
-            k = np.arange(low // STRIDE, high // STRIDE + 1)
-            common.append(one(one.sums(data), high - k * STRIDE, high + least - (k * STRIDE + STRIDE - 1)))
-            own_low, own_high = np.maximum(k * STRIDE, low), np.minimum(k * STRIDE + STRIDE - 1, high)
-            reach = two(two.sums(data), high - own_high, high + least - own_low)
-            reached.append(reach ^ _mixed((own_low * 65536 + own_high).astype(np.uint64)))
-            index.append(np.full(len(k), i))
-            strides.append(k.astype(np.int32))
-        if index:
-            kept = batch.take(pa.array(np.concatenate(index)))
-            yield pa.RecordBatch.from_arrays(
-                [*kept.columns[:5], pa.array(np.concatenate(strides)), _signed(np.concatenate(common)), _signed(np.concatenate(reached))],
-                [c.split()[0] for c in schema.split(", ")],
-            )
-
-    return contexts.mapInArrow(_each_batch(work), schema)
-
-
-def _single_windows(asked: DataFrame, least: int) -> DataFrame:
-    """(digest, open, start, anchor, offset, window, second) for each own window of the asked strides."""
-    schema = "digest binary, open boolean, start long, anchor long, offset int, window long, second long"
+def _narrowed(contexts: DataFrame, width: int, least: int) -> DataFrame:
+    """Contexts cut into runs of ``width`` windows, of a class for each string that a run must hold."""
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        one, two = _both()
-        index, starts, offsets, windows, second = [], [], [], [], []
-        rows = zip(*(batch.column(c).to_pylist() for c in (3, 4, 5, 6, 7)), strict=True)
-        for i, (place, k, low, high, context) in enumerate(rows):
-            data = np.frombuffer(context, np.uint8)
-            at = np.arange(max(low, k * STRIDE), min(high, k * STRIDE + STRIDE - 1) + 1)
-            windows.append(one(one.sums(data), high - at, high - at + least))
-            second.append(two(two.sums(data), high - at, high - at + least))
-            offsets.append(at.astype(np.int32))
-            starts.append(place - at)
-            index.append(np.full(len(at), i))
-        if index:
-            kept = batch.take(pa.array(np.concatenate(index)))
-            yield pa.RecordBatch.from_arrays(
-                [kept.column(1), kept.column(2), pa.array(np.concatenate(starts)), kept.column(0), pa.array(np.concatenate(offsets)),
-                 _signed(np.concatenate(windows)), _signed(np.concatenate(second))],
-                [c.split()[0] for c in schema.split(", ")],
-            )
-
-    return asked.mapInArrow(_each_batch(work), schema)
-
-
-def repeated_spans(docs: DataFrame, distinct_texts: DataFrame, known: Broadcast, least: int = LEAST) -> DataFrame:
+        rows = []
+        for cls, digest, place, low, high, open_, context in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for k in range(low // width, high // width + 1):
+                common = context[high - k * width : high - (k * width + width - 1) + least]
+                name = hashlib.blake2b(b"%d %d " % (cls, k) + common, digest_size=8).digest()
+                a, b = max(low, k * width), min(high, k * width + width - 1)
+                rows.append((int.from_bytes(name, "little", signed=True), digest, place, a, b, open_, context[high - b : high - a + least]))
+        yield _rows_out(rows)
+
+    return contexts.mapInArrow(_each_batch(work), CONTEXT)
+
+
+def _transformed(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """(digest, start, end) of what is repeated in contexts sorted by class, some classes at a time."""
+    held: list[tuple] = []
+    size, last, names = 0, None, ["digest", "start", "end"]
+
+    def found() -> pa.RecordBatch:
+        out: list[tuple] = []
+        flags = repeated_windows([np.frombuffer(r[6], np.uint8) for r in held], least)
+        for (_, digest, place, _, high, open_, _), flag in zip(held, flags, strict=True):
+            if open_ and flag.any():
+                turns = np.flatnonzero(np.diff(np.r_[False, flag, False].astype(np.int8))).reshape(-1, 2) + (place - high)
+                out += [(digest, int(a), int(b) + least - 1) for a, b in turns]
+        columns = list(zip(*out, strict=True)) or [(), (), ()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.binary(), pa.int64(), pa.int64()), strict=True)], names)
+
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if row[0] != last and (size >= BLOCK or 2 * len(held) >= MOST_STRINGS):
+                yield found()
+                held, size = [], 0
+            last = row[0]
+            held.append(row)
+            size += len(row[6])
+    if held:
+        yield found()
+
+
+def repeated_in_classes(contexts: DataFrame, least: int) -> DataFrame:
+    """(digest, start, end): windows of open contexts that another context of their class has."""
+    spans, small = [], []
+    for width in WIDTHS:
+        sizes = contexts.groupBy("class").agg(F.sum(F.octet_length("context")).alias("bytes"))
+        large = durable(sizes.where(F.col("bytes") > BLOCK).select("class"))
+        if large.isEmpty():
+            break
+        small.append(contexts.join(large, "class", "left_anti"))
+        runs = stored(_narrowed(contexts.join(large, "class", "left_semi"), width, least), "runs")
+        key = ["class", "low", "high", "span"]
+        named = runs.withColumn("span", F.unhex(F.sha2("context", 256)))
+        kinds = stored(named.groupBy(*key).agg(F.count("*").alias("n"), F.min(F.struct("digest", "place", "open", "context")).alias("one")), "kinds")
+        spans.append(
+            named.where("open")
+            .join(kinds.where("n > 1").select(*key), key, "left_semi")
+            .select("digest", (F.col("place") - F.col("high")).alias("start"), (F.col("place") + least - F.col("low")).alias("end"))
+        )
+        still = F.col("one.open") & (F.col("n") == 1)
+        several = kinds.groupBy("class").agg(F.count("*").alias("kinds"), F.max(still).alias("any")).where("kinds > 1 and any")
+        contexts = stored(
+            kinds.join(several.select("class"), "class", "left_semi")
+            .select("class", "one.digest", "one.place", "low", "high", still.alias("open"), "one.context"),
+            "narrowed",
+        )
+    for part in [*small, contexts]:
+        dealt = part.repartition("class").sortWithinPartitions("class")
+        spans.append(dealt.mapInArrow(lambda batches: _transformed(batches, least), "digest binary, start long, end long"))
+    out = spans[0]
+    for more in spans[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def repeated_spans(texts: DataFrame, known: Broadcast, least: int = LEAST) -> DataFrame:
     """(digest, start, end): spans of texts that strings of ``least`` bytes found elsewhere cover.
 
-    ``docs`` has (digest, text); spans may overlap. Their union holds every covered byte.
+    ``texts`` has (digest, text); spans may overlap. Their union holds every covered byte.
     """
-    kept = durable(_anchor_rows(docs, known, least))
-    own = ["digest", "place", "low", "high"]
-    spans = durable(kept.groupBy("anchor", "span").agg(F.count("*").alias("n"), F.min(F.struct(*own)).alias("one")))
-    shared = kept.join(spans.where("n > 1").select("anchor", "span"), ["anchor", "span"], "left_semi").select(*own).distinct()
-    # What single spans share shows against one of each other span of the same anchor.
-    several = spans.groupBy("anchor").agg(F.count("*").alias("spans"), F.min("n").alias("least_n")).where("least_n = 1 and spans > 1")
-    asked = spans.join(several.select("anchor"), "anchor", "left_semi").select("anchor", "one.*")
-    contexts = durable(_contexts(asked, distinct_texts, least))
-    strides = durable(_shared_strides(contexts, least))
-    key = ["anchor", "stride", "common"]
-    by_reach = durable(strides.groupBy(*key, "reached").agg(F.count("*").alias("n"), F.min(F.struct(*own)).alias("one")))
-    twice_reached = by_reach.where("n > 1").select(*key, "reached")
-    from_low, to_high = F.greatest("low", F.col("stride") * STRIDE), F.least("high", (F.col("stride") + 1) * STRIDE - 1)
-    whole = strides.join(twice_reached, [*key, "reached"], "left_semi").select(
-        "digest", (F.col("place") - to_high).alias("start"), (F.col("place") + least - from_low).alias("end")
+    kept = stored(_anchor_rows(texts, known, least), "anchors")
+    key = ["anchor", "low", "high", "span"]
+    spans = stored(kept.groupBy(*key).agg(F.count("*").alias("n"), F.min(F.struct("digest", "place")).alias("one")), "spans")
+    shared = (
+        kept.join(spans.where("n > 1").select(*key), key, "left_semi")
+        .select("digest", (F.col("place") - F.col("high")).alias("start"), (F.col("place") + least - F.col("low")).alias("end"))
+        .distinct()
     )
-    classes = by_reach.groupBy(*key).agg(F.count("*").alias("reaches"), F.min("n").alias("least_n")).where("reaches > 1 and least_n = 1")
-    unsettled = by_reach.join(classes.select(*key), key, "left_semi").select("anchor", "stride", "one.*", (F.col("n") == 1).alias("open"))
-    asked_windows = unsettled.join(contexts, ["anchor", *own]).select("anchor", "digest", "open", "place", "stride", "low", "high", "context")
-    windows = durable(_single_windows(asked_windows, least))
-    window_key = ["anchor", "offset", "window", "second"]
-    twice = windows.groupBy(*window_key).agg(F.count("*").alias("n")).where("n > 1").select(*window_key)
-    single = windows.where("open").join(twice, window_key, "left_semi").select("digest", "start", (F.col("start") + least).alias("end"))
-    around = shared.select("digest", (F.col("place") - F.col("high")).alias("start"), (F.col("place") + least - F.col("low")).alias("end"))
-    return around.unionByName(whole).unionByName(single)
-
-
-def _without(spans: DataFrame, distinct_texts: DataFrame) -> DataFrame:
+    several = spans.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("n").alias("least_n")).where("least_n = 1 and kinds > 1")
+    asked = spans.join(several.select("anchor"), "anchor", "left_semi").select("anchor", "low", "high", "one.*", (F.col("n") == 1).alias("open"))
+    contexts = stored(_contexts(asked, texts, least), "contexts")
+    return shared.unionByName(repeated_in_classes(contexts, least))
+
+
+def _without(spans: DataFrame, texts: DataFrame) -> DataFrame:
     """(digest, n_removed, n_spans, kept_sha256) of the texts that have spans."""
     lists = spans.groupBy("digest").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
@@ -358,7 +374,7 @@ def _without(spans: DataFrame, distinct_texts: DataFrame) -> DataFrame:
         )
 
     schema = "digest binary, n_removed long, n_spans long, kept_sha256 string"
-    return distinct_texts.join(lists, "digest").select("digest", "text", "spans").mapInArrow(_each_batch(work), schema)
+    return _distinct_texts(texts).join(lists, "digest").select("digest", "text", "spans").mapInArrow(_each_batch(work), schema)
 
 
 def remove_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
@@ -369,11 +385,10 @@ def remove_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
     one than ``least`` stays whole, repeated rows repeat each other. An empty table gives no rows.
     """
     text = text_or_empty()
-    keyed = docs.select("doc_id", F.unhex(F.md5(text)).alias("digest"), text.alias("text"))
-    texts = keyed.select("digest", "text")
+    keyed = docs.select("doc_id", F.substring(F.unhex(F.sha2(text, 256)), 1, 16).alias("digest"), text.alias("text"))
+    texts = keyed.select("digest", "text").where(F.octet_length("text") >= least)
     known = session(docs).sparkContext.broadcast(_repeated_anchors(texts, least))
-    distinct_texts = stored(_texts_with_anchors(texts, known, least), "texts")
-    changed = _without(repeated_spans(texts, distinct_texts, known, least), distinct_texts)
+    changed = _without(repeated_spans(texts, known, least), texts)
     return (
         keyed.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("own"))
         .join(changed, "digest", "left")
