@@ -432,6 +432,14 @@ def test_tokens_are_those_of_the_library(tokens, text):
     assert np.frombuffer(tokens(text), "<u4").tolist() == tokens.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_tokens_of_whole_documents_are_those_of_the_library(tokens, texts):
+    rng = random.Random(8)
+    sign = lambda w: w + "".join(rng.choice(packing._ENDINGS + "'") for _ in range(rng.randint(0, 3)))
+    whole = [*texts.values(), *(" ".join(map(sign, t.split(" "))) for t in list(texts.values())[:60]), "", " ", "\n", "a ", " a", "a\n", "\na b", *(r[1] or "" for r in awkward_rows())]
+    for text, ids in zip(whole, tokens.block(whole), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == tokens.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 @settings(max_examples=200, deadline=None)
 @given(lengths=st.lists(st.integers(1, 60), max_size=12), capacity=st.integers(0, 64))
 def test_best_fill_is_the_best(lengths, capacity):

@@ -10,6 +10,7 @@ no padding. No text or token leaves its task, so nothing is shuffled.
 
 from __future__ import annotations
 
+import gc
 import os
 import zlib
 from bisect import bisect_left, insort
@@ -18,6 +19,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
@@ -25,6 +27,8 @@ CAPACITY = 1024
 END = b"\0\0\0\0"
 #: Chunks whose ids a Python worker remembers.
 REMEMBERED = 500_000
+#: Bytes of texts that are tokenised together.
+BLOCK = 1 << 22
 #: Waiting remainders from which on windows are packed; below, only the end of the input packs.
 POOL = 2048
 
@@ -40,8 +44,9 @@ _UNUSUAL = (*_OTHER_SPACES, "  ", " \n", "\n ", "\n\n")
 class TokenBytes:
     """Token ids of texts as little-endian unsigned 32-bit numbers, by the ``tokenizers`` library.
 
-    Texts are cut into words where no token can reach across, and the ids of words are remembered,
-    so the library is asked once for each distinct word, for all new words of a text in one call.
+    Texts are cut at blanks and line ends, where no token can reach across, and the ids of words
+    are remembered. The library is asked once for each distinct word, for all new words of a block
+    of texts in one call; a block's ids are then gathered from those of its distinct pieces.
     """
 
     _made: dict[str, TokenBytes] = {}
@@ -63,34 +68,63 @@ class TokenBytes:
         return cls._made[path]
 
     def _encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
 
     def __call__(self, text: str) -> bytes:
-        if any(x in text for x in self.special) or any(x in text for x in _UNUSUAL):
-            return self._encode(text)
-        lines = [x.split(" ") for x in text.split("\n")]
-        try:
-            return self._joined(lines)
-        except KeyError:
-            self._learn(0, {x[0] for x in lines})
-            self._learn(1, {w for x in lines for w in x[1:]})
-            return self._joined(lines)
-
-    def _joined(self, lines: list[list[str]]) -> bytes:
+        return self.block([text])[0]
+
+    def _unusual(self, text: str) -> bool:
+        return any(x in text for x in self.special) or any(x in text for x in _UNUSUAL)
+
+    def block(self, texts: list[str]) -> list[bytes]:
+        """The ids of each of some texts; those with unusual white space are asked for whole."""
+        odd = [self._unusual(t) for t in texts] if self._unusual("\0".join(texts)) else [False] * len(texts)
+        # A line end before each text marks its first word, which has no blank before it.
+        marked = pa.array(["\n" if o else "\n" + t for o, t in zip(odd, texts, strict=True)], pa.large_string())
+        pieces = pc.split_pattern(marked, " ")
+        coded = pieces.values.dictionary_encode()
+        collecting = gc.isenabled()
+        gc.disable()  # many strings, no cycles
+        distinct = self._of_pieces(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        if collecting:
+            gc.enable()
+        sizes = np.array([len(x) for x in distinct]) // 4
+        starts, index = np.cumsum(sizes) - sizes, coded.indices.to_numpy(zero_copy_only=False)
+        taken = sizes[index]
+        ends = np.cumsum(taken)
+        flat = np.frombuffer(b"".join(distinct), "<u4")
+        ids = flat[np.repeat(starts[index] - (ends - taken), taken) + np.arange(int(taken.sum()))].tobytes()
+        bounds = (4 * np.r_[0, ends])[pieces.offsets.to_numpy()].tolist()
+        return [self._encode(t) if o else ids[a:b] for o, t, a, b in zip(odd, texts, bounds, bounds[1:], strict=False)]
+
+    def _of_pieces(self, pieces: list[str]) -> list[bytes]:
+        """The ids of pieces between blanks: a word, or lines' last and first words, or a text's first."""
+        for held, fresh in zip(self.known, self.fresh, strict=True):
+            if len(held) > REMEMBERED:
+                held.clear()
+                held.update(fresh)
         bare, after_blank = self.known
-        return self.line_end.join([bare[x[0]] + b"".join([after_blank[w] for w in x[1:]]) for x in lines])
+        new = [p for p in pieces if p not in after_blank]
+        lined = [p for p in new if "\n" in p]
+        first_of_text = [p[1:].split("\n") for p in lined if p[0] == "\n"]
+        of_lines = [p.split("\n") for p in lined if p[0] != "\n"]
+        self._learn(0, {w for x in first_of_text for w in x}.union(*(x[1:] for x in of_lines)))
+        self._learn(1, {x[0] for x in of_lines}.union(p for p in new if "\n" not in p))
+        join = self.line_end.join
+        held = {"\n" + "\n".join(x): join([bare[w] for w in x]) for x in first_of_text}
+        held.update(("\n".join(x), join([after_blank[x[0]], *[bare[w] for w in x[1:]]])) for x in of_lines)
+        return [held[p] if p in held else after_blank[p] for p in pieces] if held else [after_blank[p] for p in pieces]
 
     def _learn(self, blanks: int, words: set[str]) -> None:
         known = self.known[blanks]
-        if len(known) > REMEMBERED:
-            known.clear()
-            known.update(self.fresh[blanks])
-        parted = {w: _parted(w) for w in words.difference(known)}
-        new = list({stem for stem, _ in parted.values()}.difference(known))
+        words = [w for w in words if w not in known]
+        stems = [_stem(w) for w in words]
+        new = list({s for s in stems if s not in known})
         known.update(zip(new, self._ask([" " * blanks + w for w in new]), strict=True))
-        signs = list({tail for _, tail in parted.values()} - {""})
-        endings = {"": b"", **dict(zip(signs, self._ask(signs), strict=True))}
-        known.update((w, known[stem] + endings[tail]) for w, (stem, tail) in parted.items())
+        longer = [(w, s, w[len(s) :]) for w, s in zip(words, stems, strict=True) if len(s) < len(w)]
+        tails = list({tail for _, _, tail in longer})
+        endings = dict(zip(tails, self._ask(tails), strict=True))
+        known.update((w, known[stem] + endings[tail]) for w, stem, tail in longer)
 
     def _ask(self, texts: list[str]) -> list[bytes]:
         """The ids of texts without line ends, in one call; line ends part them again."""
@@ -101,10 +135,10 @@ class TokenBytes:
         return [raw[a:b] for a, b in zip([0, *(e + 4 for e in ends)], [*ends, len(raw)], strict=True)]
 
 
-def _parted(word: str) -> tuple[str, str]:
-    """A word and the signs at its end, which are tokens of their own after a letter or digit."""
+def _stem(word: str) -> str:
+    """A word without the signs at its end, if those are tokens of their own after a letter or digit."""
     stem = word.rstrip(_ENDINGS)
-    return (stem, word[len(stem) :]) if stem and stem[-1].isalnum() else (word, "")
+    return stem if stem and stem[-1].isalnum() else word
 
 
 class Piece(NamedTuple):
@@ -222,6 +256,15 @@ class Packer:
         self.sequence += 1
 
 
+def _blocks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch, some megabytes of text at a time."""
+    size = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+    block = (np.cumsum(size) - size) // BLOCK
+    starts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]) if len(batch) else []
+    for a, b in zip(starts, [*starts[1:], len(batch)], strict=True):
+        yield batch.slice(a, b - a)
+
+
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
     """One row per placed piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
@@ -245,8 +288,10 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
             return pa.RecordBatch.from_arrays(arrays, names)
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                packer.add(doc, tokens(text.as_py() or "") + END)
+            for part in _blocks(batch):
+                texts = [t or "" for t in part.column(1).to_numpy(zero_copy_only=False)]
+                for doc, ids in zip(part.column(0).to_pylist(), tokens.block(texts), strict=True):
+                    packer.add(doc, ids + END)
                 if len(packer.rows) >= 50_000:
                     yield placed()
         packer.finish()
