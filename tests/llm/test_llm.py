@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import duckdb
 import numpy as np
@@ -21,6 +22,7 @@ from townlake.llm import (
     labelled,
     lm_scoring,
     mixing,
+    near_copies,
     packing,
     quality,
     queries,
@@ -133,33 +135,59 @@ def test_simhash_equals_brute_force(docs, texts, awkward):
         assert all(r.component_id == want[int(r.fingerprint, 16)] for r in got)
     got = {r.doc_id: r.fingerprint for r in simhash.near_duplicates(docs).collect()}
     assert all(int(got[d], 16) == plain_fingerprint(t) for d, t in texts.items())
-    kept = simhash.drop_near_duplicates(awkward).collect()
-    assert [r.doc_id for r in kept].count(8) == 1 and len(kept) < 13
 
 
-def test_gray_index_links_hot_groups_like_brute_force():
-    rng = np.random.default_rng(3)
-    centre = rng.integers(0, 1 << 63, 12, np.uint64)
-    flips = np.array([np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, rng.integers(1, 6)).astype(np.uint64)) for _ in range(500)], np.uint64)
-    fps = np.unique(centre[rng.integers(0, 12, 500)] ^ flips)
+def _in_gray_order(fps):
     rank = fps.copy()
     for s in (1, 2, 4, 8, 16, 32):
         rank ^= rank >> np.uint64(s)
-    fps = fps[np.argsort(rank)]
-    links = simhash.Links(len(fps))
-    simhash.GrayIndex(fps).link(np.arange(len(fps)), links)
+    return fps[np.argsort(rank)]
+
+
+def _clusters(rng, n):
+    centre = rng.integers(0, 1 << 63, 12, np.uint64)
+    flips = np.array([np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, rng.integers(1, 6)).astype(np.uint64)) for _ in range(n)], np.uint64)
+    return np.unique(centre[rng.integers(0, 12, n)] ^ flips)
+
+
+@pytest.mark.parametrize("groups", [1, 7, 200])
+def test_gray_index_finds_what_brute_force_finds(groups):
+    rng = np.random.default_rng(groups)
+    fps = _in_gray_order(_clusters(rng, 500))
+    key = np.sort(rng.integers(0, groups, len(fps)))
+    fps = np.concatenate([_in_gray_order(fps[key == k]) for k in range(groups)])
+    searching = rng.random(len(fps)) < 0.7
+    forest = simhash.GrayForest(simhash.starts_of(key), fps)
+    pairs = [forest.search(some, np.arange(len(fps)), 4) for some in forest.chunks(np.flatnonzero(searching))]
+    near = (np.bitwise_count(fps[:, None] ^ fps[None]) <= 4) & (key[:, None] == key[None]) & ~np.eye(len(fps), dtype=bool)
+    a, b = np.nonzero(near & searching[:, None])
+    assert {(x, y) for who, node in pairs for x, y in zip(who.tolist(), node.tolist(), strict=True)} == set(zip(a.tolist(), b.tolist(), strict=True))
     brute = simhash.Links(len(fps))
-    a, b = np.nonzero(np.bitwise_count(fps[:, None] ^ fps[None]) <= 4)
     brute.add(a, b)
-    assert (links.label == brute.label).all() and len(set(links.label.tolist())) < len(fps)
+    moved = np.flatnonzero(brute.label != np.arange(len(fps)))
+    u, v = simhash.linked_within(key, fps, searching)
+    assert (u == fps[moved]).all() and (v == fps[brute.label[moved]]).all() and len(moved)
+
+
+def test_gray_index_prunes_groups():
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 20, 20_000, np.uint64) << np.uint64(44)
+    fps = _in_gray_order(np.unique(base | rng.integers(0, 4, 20_000, np.uint64)))
+    forest = simhash.GrayForest(np.array([0]), fps)
+    for some in forest.chunks(np.arange(len(fps))):
+        forest.search(some, np.arange(len(fps)), 2)
+    assert 0 < forest.visits < len(fps) ** 2 / 8
 
 
-def test_shared_searching_of_a_group_loses_no_link(docs, monkeypatch):
-    fps = simhash.with_fingerprints(docs).select("fp").distinct()
-    near = fps.unionByName(fps.limit(50).select(F.col("fp").bitwiseXOR(F.lit(5).cast("long")).alias("fp"))).distinct()
-    whole = {(r.node, r.root) for r in components(simhash.near_links(near)).collect()}
-    monkeypatch.setattr(simhash, "SEARCHERS", 1)
-    assert {(r.node, r.root) for r in components(simhash.near_links(near)).collect()} == whole and whole
+def test_patterns_in_blocks_lose_no_link(spark, monkeypatch):
+    fps = _clusters(np.random.default_rng(8), 400)
+    table = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long").repartition(3)
+    whole = {(r.node, r.root) for r in components(simhash.near_links(table)).collect()}
+    brute = plain_components([(i, int(f)) for i, f in enumerate(fps.tolist())])
+    linked = {n for n, _ in whole}
+    assert whole and len({r for _, r in whole}) + len(fps) - len(linked) == len(set(brute.values()))
+    monkeypatch.setattr(simhash, "BLOCK", 9)
+    assert {(r.node, r.root) for r in components(simhash.near_links(table)).collect()} == whole
 
 
 def test_components_of_a_long_path_and_a_star(spark):
@@ -514,7 +542,7 @@ def test_empty_tables(spark, labels):
     for result in (
         simhash.near_duplicates(none), lm_scoring.score_documents(none), mixing.mix_sources(none), mixing.mixed_documents(none),
         fingerprints.edited_fingerprints(none), quality.score_quality(none, labels), repeats.remove_repeats(none), packing.pack_documents(none, path),
-        exact_dedup.exact_duplicates(none), sharding.shard_documents(none), toxicity.score_toxicity(none, labels), simhash.drop_near_duplicates(none),
+        exact_dedup.exact_duplicates(none), sharding.shard_documents(none), toxicity.score_toxicity(none, labels), near_copies.drop_near_copies(none),
         exact_dedup.drop_exact_duplicates(none), quality.good_documents(none, labels),
     ):
         assert result.count() == 0
@@ -536,8 +564,13 @@ def test_pipeline_equals_plain_python(spark, texts, tokens):
     for r in after["quality"]:
         groups["".join(words(r.text))].append((-len(r.text), r.doc_id))
     assert {r.doc_id for r in after["exact_dedup"]} == {min(g)[1] for g in groups.values()}
-    component = plain_components([(r.doc_id, plain_fingerprint(r.text)) for r in after["exact_dedup"]])
-    assert {r.doc_id for r in after["near_dedup"]} == {r.doc_id for r in after["exact_dedup"] if component[plain_fingerprint(r.text)] == r.doc_id}
+    shingles = {r.doc_id: {tuple(w[i : i + 5]) for w in [words(r.text.lower())] for i in range(max(1, len(w) - 4))} for r in after["exact_dedup"]}
+    root = {d: d for d in shingles}
+    for a, b in combinations(shingles, 2):
+        if 5 * len(shingles[a] & shingles[b]) >= 4 * len(shingles[a] | shingles[b]):
+            low, high = sorted((root[a], root[b]))
+            root = {d: low if r == high else r for d, r in root.items()}
+    assert {r.doc_id for r in after["near_dedup"]} == {d for d, r in root.items() if d == r}
     sizes = Counter()
     for r in after["near_dedup"]:
         sizes[r.source] += len(words(r.text))

@@ -1,12 +1,16 @@
 """SimHash near-duplicates by a Gray-order hierarchical index.
 
-Two fingerprints that differ in at most 4 of 64 bits agree on at least two of six blocks of bits,
-so the fifteen pairs of blocks are the roots of the index: a root's pattern is what its members
-share on two blocks. Members of a pattern are sorted by Gray rank, which puts fingerprints with
-equal bits beside each other, and grouped by sixteens, level upon level. A node keeps the bits
+Two fingerprints that differ in at most ``limit`` of 64 bits agree on at least two of limit + 2
+blocks of bits, so the pairs of blocks are the roots of the index: a root's pattern is what its
+members share on two blocks. Members of a pattern are sorted by Gray rank, which puts fingerprints
+with equal bits beside each other, and grouped by sixteens, level upon level. A node keeps the bits
 that all below it share, without those its parent has; a search adds up the differences on the
 way down and drops a node, with all below it, once they exceed the limit or once all below it is
 already linked to the searching fingerprint.
+
+A pattern with more than BLOCK members is cut into blocks in Gray order. Each block's bits in common
+are a node above all others: only pairs of blocks whose nodes differ in at most ``limit`` bits are
+searched, and a task holds two blocks.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from townlake.llm.common import durable
@@ -27,27 +31,30 @@ SHINGLE_WORDS = 4
 SEED = 42
 BITS = 64
 LIMIT = 4
-#: Bits of each block; two blocks more than LIMIT, so that two agree.
-BLOCKS = (11, 11, 11, 11, 10, 10)
 #: Fingerprints under one node.
 FAN_OUT = 16
-#: Groups up to this size are compared member by member.
-SMALL = 32
-#: Members of a pattern that search in one task; more are dealt over several tasks.
-SEARCHERS = 50_000
-#: Comparisons held in memory at once.
+#: Members of a pattern from which on it is cut into blocks.
+BLOCK = 50_000
+#: Nodes held in memory at once.
 AT_ONCE = 1 << 21
 
 
-def fingerprint(text: str, shingle_words: int = SHINGLE_WORDS) -> int:
-    """Bits set in over half of the shingles' hashes; 0 for a text without words."""
+def shingle_hashes(text: str, shingle_words: int) -> np.ndarray:
+    """A hash of each run of words, repeats included; fewer words make one run, no words none."""
     words = text.encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
     if len(words) < shingle_words:
-        return xxhash.xxh64_intdigest(b" ".join(words), SEED)
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)] if words else [], "<u8")
     runs = zip(*(words[i:] for i in range(shingle_words)))  # noqa: B905  the shortest ends it
-    hashes = np.array([xxhash.xxh64_intdigest(s, SEED) for s in map(b" ".join, runs)], "<u8")
+    return np.array([xxhash.xxh64_intdigest(s, SEED) for s in map(b" ".join, runs)], "<u8")
+
+
+def fingerprint(text: str, shingle_words: int = SHINGLE_WORDS) -> int:
+    """Bits set in over half of the shingles' hashes; 0 for a text without words."""
+    return of_hashes(shingle_hashes(text, shingle_words))
+
+
+def of_hashes(hashes: np.ndarray) -> int:
+    """The fingerprint of shingles' hashes."""
     counts = np.zeros(BITS, np.int64)
     for a in range(0, len(hashes), 1 << 15):
         part = np.ascontiguousarray(hashes[a : a + (1 << 15)])
@@ -75,14 +82,11 @@ def gray_rank(fp: Column) -> Column:
     return fp
 
 
-def root_masks() -> list[int]:
-    """Masks of the pairs of blocks, as signed numbers."""
-    masks, start = [], 0
-    for width in BLOCKS:
-        masks.append(((1 << width) - 1) << start)
-        start += width
-    pairs = [a | b for a, b in combinations(masks, 2)]
-    return [m - (1 << 64) if m >> 63 else m for m in pairs]
+def root_masks(limit: int = LIMIT) -> list[int]:
+    """Masks of the pairs of limit + 2 blocks, as signed numbers."""
+    cuts = [round(k * BITS / (limit + 2)) for k in range(limit + 3)]
+    blocks = [((1 << (b - a)) - 1) << a for a, b in zip(cuts, cuts[1:], strict=False)]
+    return [m - (1 << 64) if m >> 63 else m for m in (a | b for a, b in combinations(blocks, 2))]
 
 
 class Links:
@@ -105,59 +109,92 @@ class Links:
                 label[:] = jumped
 
 
-class GrayIndex:
-    """The hierarchy over fingerprints in Gray order. Level 0 holds the fingerprints themselves."""
-
-    def __init__(self, fps: np.ndarray) -> None:
-        ones, zeros = fps, ~fps
-        self.size = len(fps)
-        levels = [(ones, zeros)]
-        while len(ones) > FAN_OUT:
-            starts = np.arange(0, len(ones), FAN_OUT)
-            ones, zeros = np.bitwise_and.reduceat(ones, starts), np.bitwise_and.reduceat(zeros, starts)
-            levels.append((ones, zeros))
-        self.patterns = [ones for ones, _ in levels]
-        masks = [ones | zeros for ones, zeros in levels]
-        self.masks = []
-        for k, mask in enumerate(masks):  # without the bits that the parent has
-            above = masks[k + 1][np.arange(len(mask)) // FAN_OUT] if k + 1 < len(masks) else np.uint64(0)
-            self.masks.append(mask & ~above)
+class GrayForest:
+    """A hierarchy over each group of fingerprints; ``fps`` has whole groups, each in Gray order.
+
+    Level 0 holds the fingerprints themselves, a node of level k up to FAN_OUT nodes of level
+    k - 1 of its group; each group ends in one node. ``visits`` counts the nodes searched.
+    """
+
+    def __init__(self, starts: np.ndarray, fps: np.ndarray) -> None:
+        sizes = np.diff(np.r_[starts, len(fps)])
+        self.fps, self.sizes, self.visits = fps, sizes, 0
+        self.group = np.repeat(np.arange(len(sizes)), sizes)
+        self.height = np.zeros(len(sizes), np.int64)
+        self.first, self.begin, self.patterns = [starts], [np.arange(len(fps))], [fps]
+        self.ends = [np.arange(1, len(fps) + 1)]
+        ones, zeros, masks, counts = fps, ~fps, [np.full(len(fps), ~np.uint64(0))], sizes
+        while (counts > 1).any():
+            more = np.flatnonzero(counts > 1)
+            self.height[more] += 1
+            above = np.zeros(len(sizes), np.int64)
+            above[more] = -(-counts[more] // FAN_OUT)
+            first = np.cumsum(above) - above
+            owner = np.repeat(np.arange(len(sizes)), above)
+            begin = self.first[-1][owner] + (np.arange(len(owner)) - first[owner]) * FAN_OUT
+            end = np.minimum(begin + FAN_OUT, (self.first[-1] + counts)[owner])
+            cuts = np.stack([begin, end], 1).ravel()
+            cuts = cuts[:-1] if cuts[-1] == len(ones) else cuts
+            every = slice(0, None, 2)
+            ones, zeros = np.bitwise_and.reduceat(ones, cuts)[every], np.bitwise_and.reduceat(zeros, cuts)[every]
+            parent = np.full(len(masks[-1]), -1)
+            spans = end - begin
+            parent[np.repeat(begin - (np.cumsum(spans) - spans), spans) + np.arange(int(spans.sum()))] = np.repeat(np.arange(len(owner)), spans)
+            mask = ones | zeros
+            masks[-1] = masks[-1] & np.where(parent >= 0, ~mask[parent], ~np.uint64(0))
+            masks.append(mask)
+            self.first.append(first)
+            self.begin.append(begin)
+            self.patterns.append(ones)
+            self.ends.append(end)
+            counts = above
+        self.masks = masks
 
     def _uniform(self, label: np.ndarray) -> list[np.ndarray]:
         """For each node the label that all below it have, or -1."""
         low = high = label
         out = [label]
-        for pattern in self.patterns[1:]:
-            starts = np.arange(0, len(low), FAN_OUT)[: len(pattern)]
-            low, high = np.minimum.reduceat(low, starts), np.maximum.reduceat(high, starts)
+        for begin, end in zip(self.begin[1:], self.ends[1:], strict=True):
+            cuts = np.stack([begin, end], 1).ravel()
+            cuts = cuts[:-1] if cuts[-1] == len(low) else cuts
+            low, high = np.minimum.reduceat(low, cuts)[::2], np.maximum.reduceat(high, cuts)[::2]
             out.append(np.where(low == high, low, -1))
         return out
 
-    def link(self, searchers: np.ndarray, links: Links, limit: int = LIMIT) -> None:
-        """Link each searching place to all places within ``limit`` bits, directly or by others."""
-        fps, first = self.patterns[0], 0
-        step = 16
-        while first < len(searchers):
-            chosen = searchers[first : first + step]
-            first += step
-            step = min(max(16, AT_ONCE // self.size), 4 * step)
-            uniform = self._uniform(links.label)
-            top = len(self.patterns) - 1
-            who = np.repeat(chosen, len(self.patterns[top]))
-            node = np.tile(np.arange(len(self.patterns[top])), len(chosen))
-            differ = np.zeros(len(who), np.int64)
-            for level in range(top, -1, -1):
-                open_ = uniform[level][node] != links.label[who]
-                who, node, differ = who[open_], node[open_], differ[open_]
-                differ = differ + np.bitwise_count((fps[who] ^ self.patterns[level][node]) & self.masks[level][node])
-                near = differ <= limit
-                who, node, differ = who[near], node[near], differ[near]
-                if level:
-                    who, differ = np.repeat(who, FAN_OUT), np.repeat(differ, FAN_OUT)
-                    node = (node[:, None] * FAN_OUT + np.arange(FAN_OUT)).ravel()
-                    there = node < len(self.patterns[level - 1])
-                    who, node, differ = who[there], node[there], differ[there]
-            links.add(who, node)
+    def chunks(self, searchers: np.ndarray) -> Iterator[np.ndarray]:
+        """Searching places in runs that reach at most about AT_ONCE others; the first runs are short."""
+        reach = np.cumsum(self.sizes[self.group[searchers]])
+        at, most = 0, min(AT_ONCE, 1 << 14)
+        while at < len(searchers):
+            to = max(at + 1, int(np.searchsorted(reach, (reach[at - 1] if at else 0) + most, "right")))
+            yield searchers[at:to]
+            at, most = to, min(AT_ONCE, 4 * most)
+
+    def search(self, searchers: np.ndarray, label: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of a searching place and one of its group within ``limit`` bits that has another label."""
+        height = self.height[self.group[searchers]]
+        who, node, differ = (np.zeros(0, np.int64) for _ in range(3))
+        uniform = self._uniform(label)
+        for level in range(len(self.patterns) - 1, -1, -1):
+            begun = searchers[height == level] if level else searchers[:0]
+            who, node = np.r_[who, begun], np.r_[node, self.first[level][self.group[begun]]]
+            differ = np.r_[differ, np.zeros(len(begun), np.int64)]
+            open_ = uniform[level][node] != label[who]
+            who, node, differ = who[open_], node[open_], differ[open_]
+            self.visits += len(who)
+            differ = differ + np.bitwise_count((self.fps[who] ^ self.patterns[level][node]) & self.masks[level][node])
+            near = differ <= limit
+            who, node, differ = who[near], node[near], differ[near]
+            if level:
+                begin, times = self.begin[level][node], (self.ends[level] - self.begin[level])[node]
+                who, differ = np.repeat(who, times), np.repeat(differ, times)
+                node = np.repeat(begin - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))
+        return who, node
+
+
+def starts_of(key: np.ndarray) -> np.ndarray:
+    """Where runs of equal ``key`` start."""
+    return np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
 
 
 def linked_within(key: np.ndarray, fps: np.ndarray, searching: np.ndarray, limit: int = LIMIT) -> tuple[np.ndarray, np.ndarray]:
@@ -165,116 +202,108 @@ def linked_within(key: np.ndarray, fps: np.ndarray, searching: np.ndarray, limit
 
     At most one pair a fingerprint: it and the first of those it is linked to.
     """
-    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
-    sizes = np.diff(np.r_[starts, len(key)])
-    links = Links(len(fps))
-    small = np.repeat(sizes <= SMALL, sizes)
-    group = np.repeat(np.arange(len(sizes)), sizes)
-    for lag in range(1, min(SMALL, int(sizes[sizes <= SMALL].max(initial=1)))):
-        a = np.flatnonzero((group[lag:] == group[:-lag]) & small[lag:] & (searching[lag:] | searching[:-lag]))
-        a = a[np.bitwise_count(fps[a] ^ fps[a + lag]) <= limit]
-        links.add(a, a + lag)
-    for start, size in zip(starts[sizes > SMALL], sizes[sizes > SMALL], strict=True):
-        part = slice(start, start + size)
-        own = Links(size)
-        GrayIndex(fps[part]).link(np.flatnonzero(searching[part]), own, limit)
-        links.label[part] = own.label + start
+    forest, links = GrayForest(starts_of(key), fps), Links(len(fps))
+    for some in forest.chunks(np.flatnonzero(searching)):
+        links.add(*forest.search(some, links.label, limit))
     moved = np.flatnonzero(links.label != np.arange(len(fps)))
     return fps[moved], fps[links.label[moved]]
 
 
-def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges of sorted rows (root, pattern, share, fp, searching), a whole group at a time."""
-    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+#: The columns that name a group of the index, and their types.
+GROUP = np.dtype([("root", "<i4"), ("pattern", "<i8"), ("one", "<i8"), ("other", "<i8")])
 
-    def found(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        key, fps, searching = (np.concatenate(x) for x in zip(*parts, strict=True))
-        u, v = linked_within(key, fps, searching)
-        return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
 
-    key_type = np.dtype([("root", "<i4"), ("pattern", "<i8"), ("share", "<i8")])
+def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """The keys and the other columns of sorted rows (GROUP, ...), whole groups at a time."""
+    held: list[tuple[np.ndarray, list[np.ndarray]]] = []
+    joined = lambda: (np.concatenate([k for k, _ in held]), [np.concatenate(c) for c in zip(*(c for _, c in held), strict=True)])
     for batch in batches:
         if not len(batch):
             continue
-        key = np.empty(len(batch), key_type)
-        for k, name in enumerate(key_type.names):
+        key = np.empty(len(batch), GROUP)
+        for k, name in enumerate(GROUP.names):
             key[name] = batch.column(k).to_numpy(zero_copy_only=False)
-        fps = batch.column(3).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-        searching = batch.column(4).to_numpy(zero_copy_only=False).astype(bool)
+        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns[len(GROUP.names) :]]
         others = np.flatnonzero(key != key[-1])
         last = int(others[-1]) + 1 if len(others) else 0
         if held and (last or held[-1][0][-1] != key[0]):
             if last:
-                held.append((key[:last], fps[:last], searching[:last]))
-            yield found(held)
+                held.append((key[:last], [c[:last] for c in columns]))
+            yield joined()
             held = []
         elif last:
-            yield found([(key[:last], fps[:last], searching[:last])])
-        held.append((key[last:], fps[last:], searching[last:]))
+            yield key[:last], [c[:last] for c in columns]
+        held.append((key[last:], [c[last:] for c in columns]))
     if held:
-        yield found(held)
+        yield joined()
 
 
-def near_links(fingerprints: DataFrame) -> DataFrame:
-    """Edges (u, v) that connect all distinct ``fp`` within LIMIT bits of each other."""
-    masks = F.array(*[F.struct(F.lit(k).alias("root"), F.lit(m).cast("long").alias("mask")) for k, m in enumerate(root_masks())])
+def in_groups(members: DataFrame, limit: int) -> DataFrame:
+    """``members`` (root, pattern, fp, ...) by groups to be searched, without those that are alone.
+
+    Adds the rest of GROUP and ``searching``. Rows are dealt by group and sorted by Gray rank.
+    """
+    own = [c for c in members.columns if c not in ("root", "pattern")]
+    counted = durable(members.groupBy("root", "pattern").agg(F.count("*").alias("n")).where("n > 1"))
+    zero = F.lit(0).cast("long")
+    placed = (
+        members.join(counted.where(F.col("n") <= BLOCK), ["root", "pattern"])
+        .select("root", "pattern", zero.alias("one"), zero.alias("other"), *own, F.lit(True).alias("searching"))
+    )
+    large = counted.where(F.col("n") > BLOCK)
+    total = large.agg(F.sum("n")).first()[0]
+    if total:
+        rank = gray_rank(F.col("fp"))
+        ranged = members.join(large.select("root", "pattern"), ["root", "pattern"]).repartitionByRange(-(-total // BLOCK), "root", "pattern", rank)
+        blocks = durable(ranged.withColumn("block", F.spark_partition_id().cast("long")))
+        nodes = durable(blocks.groupBy("root", "pattern", "block").agg(F.bit_and("fp").alias("ones"), F.bit_and(F.bitwise_not("fp")).alias("zeros")))
+        pairs = (
+            nodes.alias("a").join(nodes.alias("b"), ["root", "pattern"])
+            .where(F.expr(f"a.block <= b.block and bit_count((a.ones & b.zeros) | (a.zeros & b.ones)) <= {limit}"))
+            .select("root", "pattern", F.col("a.block").alias("one"), F.col("b.block").alias("other"))
+        )
+        both = pairs.withColumn("block", F.explode(F.array_distinct(F.array("one", "other"))))
+        placed = placed.unionByName(
+            blocks.join(both, ["root", "pattern", "block"])
+            .select("root", "pattern", "one", "other", *own, (F.col("block") == F.col("one")).alias("searching"))
+        )
+    return placed.repartition(*GROUP.names).sortWithinPartitions(*GROUP.names, gray_rank(F.col("fp")))
+
+
+def near_links(fingerprints: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """Edges (u, v) that connect all distinct ``fp`` within ``limit`` bits of each other."""
+    masks = F.array(*[F.struct(F.lit(k).alias("root"), F.lit(m).cast("long").alias("mask")) for k, m in enumerate(root_masks(limit))])
     members = (
         fingerprints.select("fp", F.explode(masks).alias("m"))
         .select(F.col("m.root").alias("root"), F.col("fp").bitwiseAND(F.col("m.mask")).alias("pattern"), "fp")
-    )
-    counted = members.groupBy("root", "pattern").agg(F.count("*").alias("n")).where("n > 1")
-    shares = F.ceil(F.col("n") / SEARCHERS).cast("long")
-    placed = (
-        members.join(counted, ["root", "pattern"])
-        .withColumn("shares", shares)
-        .withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)))
-        .withColumn("searching", F.pmod(F.xxhash64("fp"), F.col("shares")) == F.col("share"))
-    )
-    return (
-        placed.repartition("root", "pattern", "share")
-        .sortWithinPartitions("root", "pattern", "share", gray_rank(F.col("fp")))
-        .select("root", "pattern", "share", "fp", "searching")
-        .mapInArrow(_search, "u long, v long")
-    )
+    )
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, (fp, searching) in whole_groups(batches):
+            u, v = linked_within(key, fp.astype(np.int64).view(np.uint64), searching.astype(bool), limit)
+            yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
 
+    return in_groups(members, limit).mapInArrow(linked, "u long, v long")
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+
+def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, limit: int = LIMIT) -> DataFrame:
     """doc_id, fingerprint and component_id for every row of ``docs``.
 
-    The fingerprint has 16 hexadecimal digits. Rows whose fingerprints differ in at most LIMIT
+    The fingerprint has 16 hexadecimal digits. Rows whose fingerprints differ in at most ``limit``
     bits are linked, texts without words (fingerprint zero, as null texts) like any other;
     component_id is the smallest doc_id that links reach. Null ids are never that smallest id,
     a component with no other id has none. Repeated rows are linked; an empty table gives no rows.
     """
-    hashed = durable(with_fingerprints(docs))
-    classes = hashed.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
-    linked = components(near_links(classes.select("fp")))
+    hashed = durable(with_fingerprints(docs, shingle_words))
+    classes = durable(hashed.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
+    linked = durable(components(near_links(classes.select("fp"), limit)))
     by_root = (
         classes.join(linked, classes["fp"] == linked["node"])
         .groupBy("root").agg(F.min("least_id").alias("component_id"))
     )
     of_linked = linked.join(by_root, "root").select(F.col("node").alias("fp"), F.col("component_id").alias("linked_id"))
-    known = classes.join(of_linked, "fp", "left").select(
-        "fp", F.coalesce("linked_id", "least_id").alias("component_id")
-    )
+    # Stored, so that Spark may split the rows of a common fingerprint over tasks.
+    known = durable(classes.join(of_linked, "fp", "left").select("fp", F.coalesce("linked_id", "least_id").alias("component_id")))
     return hashed.join(known, "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
-
-
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with their columns: of each component its smallest doc_id's.
-
-    Of repeated rows one stays. A component without any doc_id keeps its rows: they can't be told
-    apart.
-    """
-    found = near_duplicates(docs)
-    gone = (
-        found.where("component_id is not null and (doc_id is null or doc_id != component_id)")
-        .select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_key"))
-        .distinct()
-    )
-    keyed = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    repeats = Window.partitionBy("_key").orderBy("_key")
-    kept = keyed.join(gone, "_key", "left_anti").withColumn("_nth", F.row_number().over(repeats))
-    return kept.where((F.col("_nth") == 1) | F.col("doc_id").isNull()).select(*docs.columns)
