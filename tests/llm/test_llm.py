@@ -515,6 +515,28 @@ def test_exact_duplicates_of_awkward_rows(awkward):
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 2, 5, 6, 7, 8, 9, 10, 11] and kept.columns == awkward.columns
 
 
+def test_runs_merge_in_rounds(spark, monkeypatch):
+    rng = random.Random(12)
+    texts = ["hot" if rng.random() < 0.4 else f"t{rng.randint(0, 400)}" + " " * rng.randint(0, 3) for _ in range(1500)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(40)
+    rounds = []
+    plain = exact_dedup._merged
+    monkeypatch.setattr(exact_dedup, "_merged", lambda rows: rounds.append(plain(rows)) or rounds[-1])
+    groups = defaultdict(list)
+    for i, t in enumerate(texts):
+        groups[t.strip()].append((-len(t), i))
+    for fan_in, n in ((8, 2), (2, 6), (3, 4)):
+        rounds.clear()
+        monkeypatch.setattr(exact_dedup.merge_runs, "__defaults__", (fan_in,))
+        got = exact_dedup.exact_duplicates(table).collect()
+        assert {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in got} == {(i, min(g)[1], len(g), (x, i) == min(g)) for g in groups.values() for x, i in g}
+        assert len(rounds) == n + 1
+        last = rounds[-1].groupBy(*exact_dedup.IDENTITY).count()
+        assert last.where("count > 1").count() == 0 and last.count() == len(groups)
+        one_run = rounds[0].groupBy("run").agg(F.count("*").alias("n"), F.countDistinct("digest").alias("d")).collect()
+        assert all(r.n == r.d for r in one_run)
+
+
 # 9
 
 
