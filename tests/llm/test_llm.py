@@ -10,6 +10,7 @@ from itertools import combinations
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -515,6 +516,17 @@ def test_exact_duplicates_of_awkward_rows(awkward):
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 2, 5, 6, 7, 8, 9, 10, 11] and kept.columns == awkward.columns
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 2), st.integers(0, 3), st.integers(0, 2), st.integers(0, 2), st.integers(0, 9)), max_size=60), st.integers(1, 20))
+def test_merge_of_sorted_rows_over_batches(rows, step):
+    rows = sorted(rows)
+    schema = pa.schema([pa.field(n, pa.int64(), nullable=False) for n in ("run", *exact_dedup.IDENTITY, "row", "group_size")])
+    table = [pa.RecordBatch.from_pylist([dict(zip(schema.names, (*r, 1), strict=True)) for r in rows[a : a + step]], schema) for a in range(0, len(rows), step)]
+    got = [tuple(r.values()) for b in exact_dedup.merge_sorted(iter(table)) for r in b.to_pylist()]
+    first = {r[:4]: r for r in reversed(rows)}
+    assert got == [(*first[k], n) for k, n in Counter(r[:4] for r in rows).items()]
+
+
 def test_runs_merge_in_rounds(spark, monkeypatch):
     rng = random.Random(12)
     texts = ["hot" if rng.random() < 0.4 else f"t{rng.randint(0, 400)}" + " " * rng.randint(0, 3) for _ in range(1500)]

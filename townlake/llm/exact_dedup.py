@@ -39,21 +39,21 @@ def merge_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     Only one row is held from batch to batch. Neighbours merge if all of their identity agrees.
     """
-    held: pa.RecordBatch | None = None
+    held: list[pa.Array] = []
     for batch in batches:
-        rows = batch if held is None else pa.concat_batches([held, batch])
-        keys = list(zip(*(rows.column(k).to_pylist() for k in range(1 + len(IDENTITY))), strict=True))
+        names, count = batch.schema.names, batch.schema.get_field_index("group_size")
+        columns = [pa.concat_arrays([h, c]) for h, c in zip(held, batch.columns, strict=True)] if held else batch.columns
+        keys = list(zip(*(c.to_pylist() for c in columns[: 1 + len(IDENTITY)]), strict=True))
         starts = [i for i in range(len(keys)) if not i or keys[i] != keys[i - 1]]
         if not starts:
             continue
-        size = rows.column("group_size").to_pylist()
+        size = columns[count].to_pylist()
         sums = [sum(size[a:b]) for a, b in zip(starts, [*starts[1:], len(keys)], strict=True)]
-        merged = rows.take(pa.array(starts))
-        merged = merged.set_column(merged.schema.get_field_index("group_size"), "group_size", pa.array(sums, pa.int64()))
-        yield merged.slice(0, len(starts) - 1)
-        held = merged.slice(len(starts) - 1)
-    if held is not None:
-        yield held
+        merged = [pa.array(sums, pa.int64()) if k == count else c.take(pa.array(starts)) for k, c in enumerate(columns)]
+        yield pa.RecordBatch.from_arrays([c[:-1] for c in merged], names)
+        held = [c[-1:] for c in merged]
+    if held:
+        yield pa.RecordBatch.from_arrays(held, names)
 
 
 def _merged(rows: DataFrame) -> DataFrame:
