@@ -240,6 +240,75 @@ def test_network_is_a_distribution_and_its_gradient_is_right():
     assert np.exp(one) + sum(firsts) < 1.0001  # each first word's text is one of its continuations
 
 
+def plain_log_probability(p, layout, doc, end):
+    """One word after the other, from the equations of the gated unit, in double precision."""
+    p = {k: v.astype(float) for k, v in p.items()}
+    h, size, total, last = np.zeros(recurrent.HIDDEN), recurrent.HIDDEN, 0.0, layout.start
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    softmax = lambda x: np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+    for word in [*doc, end]:
+        x, g = p["embedding"][last] @ p["w"] + p["b"], h @ p["u"]
+        z, r = sigmoid(x[:size] + g[:size]), sigmoid(x[size : 2 * size] + g[size : 2 * size])
+        n = np.tanh(x[2 * size :] + r * g[2 * size :])
+        h = (1 - z) * n + z * h
+        c = int(layout.classes(np.array([word]))[0])
+        total += np.log(softmax(h @ p["c"] + p["cb"])[c])
+        if word < layout.n_frequent:
+            span = slice(c * recurrent.CLASS_WORDS, (c + 1) * recurrent.CLASS_WORDS)
+            total += np.log(softmax(h @ p["o"][:, span] + p["ob"][span])[word - span.start])
+        last = word
+    return total
+
+
+def _random_network(seed, frequent=70, rare=5, kind=np.float64):
+    layout, rng = recurrent.Layout(frequent, rare), np.random.default_rng(seed)
+    weights = recurrent.initial(layout, rng.integers(1, 50, frequent + rare).astype(float))
+    real = weights["ob"] > -29
+    weights = {k: (v + 0.3 * rng.standard_normal(v.shape)).astype(kind) for k, v in weights.items()}
+    weights["ob"][~real] = -30
+    return layout, weights, rng
+
+
+def test_scores_of_whole_documents_equal_a_plain_forward_pass():
+    layout, weights, rng = _random_network(1, kind=np.float32)
+    docs = [rng.integers(1, 75, n).astype(np.int32) for n in (0, 1, 5, 23, 24, 25, 130)]
+    want = np.array([plain_log_probability(weights, layout, d.tolist(), 0) for d in docs])
+    for most in (1, 3, 512):
+        assert np.allclose(recurrent.score(weights, layout, docs, 0, most), want, rtol=1e-4, atol=1e-3)
+    # The probabilities of all words and the end after a text add up to one.
+    begun = [3, 4]
+    ended = plain_log_probability(weights, layout, begun, 0)
+    alone = plain_log_probability(weights, layout, begun[:-1], begun[-1])
+    nexts = [plain_log_probability(weights, layout, begun, w) for w in range(75)]
+    assert nexts[0] == ended and abs(np.exp(np.array(nexts) - alone).sum() - 1) < 1e-9
+
+
+def test_gradient_equals_differences():
+    layout, weights, rng = _random_network(2)
+    docs = [rng.integers(1, 75, n).astype(np.int32) for n in (4, 9, 2)]
+    inputs, targets, owner = recurrent.lanes(docs, layout, 0, 2)
+    trainer = recurrent.Trainer(weights, layout, 0.01)
+    h = np.zeros((inputs.shape[1], recurrent.HIDDEN))
+    gradient, words_of, _ = trainer.gradient(inputs, targets, owner, h)
+    loss = lambda p: -sum(plain_log_probability(p, layout, d.tolist(), 0) for d in docs)
+    assert words_of == sum(len(d) + 1 for d in docs)
+    for name, values in weights.items():
+        for at in rng.choice(values.size, 6, replace=False):
+            moved = [{**weights, name: values.copy()} for _ in range(2)]
+            for m, by in zip(moved, (1e-5, -1e-5), strict=True):
+                m[name].flat[at] += by
+            slope = (loss(moved[0]) - loss(moved[1])) / 2e-5
+            assert abs(slope - gradient[name].flat[at]) < 1e-3 * max(1, abs(slope)), (name, at)
+
+
+def test_network_does_not_depend_on_partitions(spark, docs, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "DOCUMENTS", 40)
+    narrow = docs.select("doc_id", "text")
+    vocab = lm_scoring.vocabulary(narrow, lm_scoring.count_words(narrow))
+    one, other = (lm_scoring.train(narrow.repartition(n), vocab) for n in (1, 7))
+    assert all((one[k] == other[k]).all() for k in one)
+
+
 def test_state_is_carried_across_windows():
     layout = recurrent.Layout(4, 1)
     weights = recurrent.initial(layout, np.ones(5))

@@ -1,42 +1,43 @@
 """Log probabilities of whole documents by a recurrent language model that all documents train.
 
-Words are counted over the whole corpus. Every partition then trains the same initial network on
-all its training documents, and the networks are averaged in a tree of small groups. The averaged
-network scores every document from its first word to its end. Frequent words are known to every
-task; counts of the others are joined to the documents that use them.
+Words are counted over the whole corpus. Training documents are dealt to groups by a hash, each
+group trains the same initial network on all its documents, and the networks are averaged in a tree
+of small groups; groups and their order depend on the documents alone, not on how the table is cut.
+The averaged network scores every document from its first word to its end. Frequent words are known
+to every task; counts of the others are joined to the documents that use them.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from townlake.llm import recurrent
-from townlake.llm.common import durable, lower_ascii, session, text_or_empty
-from townlake.llm.fingerprints import words
+from townlake.llm.common import SPACES, durable, lower_ascii, session, text_or_empty
 from townlake.llm.labelled import held_out
 
 #: Words that the network tells apart, with the end of a text; all others go by classes.
 FREQUENT = 512
 RARE_CLASSES = 48
-#: Words, at most, whose counts every task gets, the most frequent, of at most WORD_BYTES bytes each: some megabytes.
+#: Words, at most, whose counts every task gets, the most frequent, and their bytes. Other words' counts are joined.
 SHARED = 60_000
-WORD_BYTES = 40
+SHARED_BYTES = 1 << 22
 RATE = 0.01
-#: Networks that one task averages.
+#: Training documents of a network, about, and networks that one task averages.
+DOCUMENTS = 4096
 GROUP = 16
 #: Words of the documents that are trained or scored together.
 BLOCK_WORDS = 6_000_000
-#: Words whose ids a task remembers.
-REMEMBERED = 300_000
+#: Ends of words whose classes a task remembers.
+REMEMBERED = 100_000
 
 
 def rare_class(word: bytes) -> int:
@@ -49,17 +50,13 @@ def _rare_class_column(word: Column) -> Column:
     return F.crc32(F.substring(raw, -3, 3)) % RARE_CLASSES
 
 
-class _Ids(dict):
-    """Ids by word; those of words met for the first time come from their class."""
+class _Classes(dict):
+    """Classes by the last letters of a word."""
 
-    def __init__(self, frequent: list[bytes]) -> None:
-        super().__init__((w, i + 1) for i, w in enumerate(frequent))
-        self.first_class = len(frequent) + 1
-
-    def __missing__(self, word: bytes) -> int:
-        found = self.first_class + rare_class(word)
+    def __missing__(self, end: bytes) -> int:
+        found = rare_class(end)
         if len(self) < REMEMBERED:
-            self[word] = found
+            self[end] = found
         return found
 
 
@@ -73,6 +70,8 @@ class Vocabulary:
         self.layout = recurrent.Layout(len(self.frequent) + 1, RARE_CLASSES)
         self.places = {w: i for i, (w, _) in enumerate(shared)}
         self.class_of = np.array([rare_class(w) for w, _ in shared], np.int64)
+        self.ids = (self.class_of + len(self.frequent) + 1).astype(np.int32)
+        self.ids[: len(self.frequent)] = np.arange(len(self.frequent)) + 1
         # ``rare`` and ``kinds`` are over all words; the frequent ones are taken out.
         k = len(self.frequent)
         rare = rare - np.bincount(self.class_of[:k], counts[:k], RARE_CLASSES)
@@ -93,7 +92,10 @@ def _split(text: str | None) -> list[bytes]:
 def count_words(docs: DataFrame) -> DataFrame:
     """(word, n) over all training documents."""
     text = lower_ascii(text_or_empty())
-    return docs.where(~held_out(5, 1)).select(F.explode(words(text)).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    for space in SPACES[1:]:
+        text = F.replace(text, F.lit(space), F.lit(" "))
+    words = docs.where(~held_out(5, 1)).select(F.explode(F.split(text, " ")).alias("word"))
+    return words.where("word != ''").groupBy("word").agg(F.count("*").alias("n"))
 
 
 def vocabulary(docs: DataFrame, counts: DataFrame) -> Vocabulary:
@@ -101,34 +103,46 @@ def vocabulary(docs: DataFrame, counts: DataFrame) -> Vocabulary:
     rare, kinds = np.zeros(RARE_CLASSES), np.zeros(RARE_CLASSES)
     for r in counts.groupBy(_rare_class_column(F.col("word")).alias("c")).agg(F.sum("n").alias("n"), F.count("*").alias("k")).collect():
         rare[r["c"]], kinds[r["c"]] = r["n"], r["k"]
-    # Words by steps of their count; as many whole steps as SHARED allows.
+    # Words by steps of their count; as many whole steps as SHARED and SHARED_BYTES allow.
     step = F.floor(F.log2("n") * 16).cast("int").alias("step")
-    short = counts.where(F.octet_length("word") <= WORD_BYTES).select("word", "n", step)
-    least, held = 1 << 30, 0
-    for r in short.groupBy("step").agg(F.count("*").alias("k")).orderBy(F.desc("step")).collect():
-        held += r["k"]
-        if held > SHARED:
+    stepped = counts.select("word", "n", step)
+    least, held, size = 1 << 30, 0, 0
+    for r in stepped.groupBy("step").agg(F.count("*").alias("k"), F.sum(F.octet_length("word")).alias("bytes")).orderBy(F.desc("step")).collect():
+        held, size = held + r["k"], size + r["bytes"]
+        if held > SHARED or size > SHARED_BYTES:
             break
         least = r["step"]
-    top = short.where(F.col("step") >= least).select("word", "n").toPandas()
+    top = stepped.where(F.col("step") >= least).select("word", "n").toPandas()
     shared = sorted(((w.encode("utf-8", "surrogatepass"), int(n)) for w, n in zip(top["word"], top["n"], strict=True)), key=lambda x: (-x[1], x[0]))
     return Vocabulary(shared, rare, kinds, texts, int(rare.sum()) + texts, int(kinds.sum()) + (texts > 0))
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], text_at: int, vocab: Vocabulary, each=None):
+def _numbered(text: str | None, vocab: Vocabulary, classes: _Classes) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """The ids of a text's words, the words that are not shared, and the places of those that are."""
+    split = _split(text)
+    places = np.fromiter(map(vocab.places.get, split, repeat(-1)), np.int64, len(split))
+    rare = np.flatnonzero(places < 0)
+    others = [split[k] for k in rare.tolist()]
+    ids = vocab.ids[places] if len(vocab.ids) else np.zeros(len(split), np.int32)
+    first = len(vocab.frequent) + 1
+    ids[rare] = np.fromiter([classes[w[-3:]] for w in others], np.int64, len(others)) + first
+    return ids, others, places[places >= 0]
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], text_at: int, vocab: Vocabulary, each: Callable | None = None):
     """Rows and the word ids of their texts, about BLOCK_WORDS at a time.
 
-    Only ids are kept of a text; ``each`` sees its words as they come by.
+    Only ids are kept of a text; ``each`` sees what else there is of its words as they come by.
     """
-    ids = _Ids(vocab.frequent)
+    classes = _Classes()
     for batch in batches:
         first, held, found = 0, 0, []
         for i, text in enumerate(batch.column(text_at)):
-            split = _split(text.as_py())
-            found.append(np.fromiter(map(ids.__getitem__, split), np.int32, len(split)))
+            ids, others, places = _numbered(text.as_py(), vocab, classes)
+            found.append(ids)
             if each is not None:
-                each(len(found) - 1, split)
-            held += len(split)
+                each(len(found) - 1, others, places)
+            held += len(ids)
             if held >= BLOCK_WORDS:
                 yield batch.slice(first, i + 1 - first), found
                 first, held, found = i + 1, 0, []
@@ -164,22 +178,38 @@ def train(docs: DataFrame, vocab: Vocabulary) -> recurrent.Weights:
     start = recurrent.initial(vocab.layout, vocab.counts)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, n = shared.value, 0
-        trainer = recurrent.Trainer(start, v.layout, RATE)
-        for _, texts in _blocks(batches, 0, v):
-            n += sum(len(t) + 1 for t in texts)
-            trainer.learn(texts, 0)
-        if n:
-            part = pa.array([TaskContext.get().partitionId()], pa.int64())
-            yield pa.RecordBatch.from_arrays([part, pa.array([n], pa.int64()), pa.array([recurrent.packed(trainer.p)], pa.binary())], ["part", "words", "network"])
+        v, group, trainer, n = shared.value, None, None, 0
+        classes, held, size = _Classes(), [], 0
+
+        def row() -> pa.RecordBatch:
+            if held:
+                trainer.learn(held, 0)
+            return pa.RecordBatch.from_arrays([pa.array([group], pa.int64()), pa.array([n], pa.int64()), pa.array([recurrent.packed(trainer.p)], pa.binary())], ["part", "words", "network"])
+
+        for batch in batches:
+            for g, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if g != group:
+                    if group is not None:
+                        yield row()
+                    group, trainer, n, held, size = g, recurrent.Trainer(start, v.layout, RATE), 0, [], 0
+                held.append(_numbered(text.as_py(), v, classes)[0])
+                n, size = n + len(held[-1]) + 1, size + len(held[-1])
+                if size >= BLOCK_WORDS:
+                    trainer.learn(held, 0)
+                    held, size = [], 0
+        if group is not None:
+            yield row()
 
     schema = "part long, words long, network binary"
-    texts = docs.where(~held_out(5, 1)).select("text")
-    networks, left = texts.mapInArrow(learn, schema), max(1, texts.rdd.getNumPartitions())
+    # Rows that have all in common are interchangeable, so any order of them gives the same network.
+    order = F.xxhash64("doc_id", "text")
+    left = -(-vocab.texts // DOCUMENTS)
+    texts = docs.where(~held_out(5, 1)).select(F.pmod(order, F.lit(max(1, left))).alias("part"), order.alias("order"), "doc_id", "text")
+    networks = texts.repartition("part").sortWithinPartitions("part", "order", "doc_id", "text").select("part", "text").mapInArrow(learn, schema)
     while left > 1:
         left = -(-left // GROUP)
-        grouped = networks.withColumn("part", F.expr(f"part div {GROUP}"))
-        networks = grouped.repartition(left, "part").sortWithinPartitions("part", "words").mapInArrow(_averaged, schema)
+        grouped = networks.withColumn("from", F.col("part")).withColumn("part", F.expr(f"part div {GROUP}"))
+        networks = grouped.repartition("part").sortWithinPartitions("part", "from").drop("from").mapInArrow(_averaged, schema)
     rows = networks.collect()  # one row
     return recurrent.unpacked(rows[0]["network"], start) if rows else start
 
@@ -201,21 +231,19 @@ def _scored(docs: DataFrame, vocab: Vocabulary, network: recurrent.Weights) -> D
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = shared.value
-        end_log, place_of = float(np.log10(v.texts + 0.5)), v.places.get
+        end_log = float(np.log10(v.texts + 0.5))
         out: list[list] = [[] for _ in range(4)]
         rare: list[list] = [[], [], []]
 
-        def sums(i: int, split: list[bytes]) -> None:
-            places = np.array([place_of(w, -1) for w in split], np.int64)
-            shared_places = places[places >= 0]
-            others = Counter([split[k] for k in np.flatnonzero(places < 0).tolist()])
+        def sums(i: int, rare_words: list[bytes], places: np.ndarray) -> None:
+            others = Counter(rare_words)
             less = sum(times * v.class_norm[rare_class(w)] for w, times in others.items())
-            rare[0] += [i] * len(others)
-            rare[1] += [w.decode("utf-8", "replace") for w in others]
-            rare[2] += others.values()
-            known = len(shared_places) + int(v.texts > 0)
-            inside = float(v.inside[shared_places].sum() - less)
-            for column, x in zip(out, (len(split) + 1, known, end_log + float(v.logs[shared_places].sum()), inside), strict=True):
+            rare[0].extend([i] * len(others))
+            rare[1].extend(w.decode("utf-8", "replace") for w in others)
+            rare[2].extend(others.values())
+            known = len(places) + int(v.texts > 0)
+            inside = float(v.inside[places].sum() - less)
+            for column, x in zip(out, (len(places) + len(rare_words) + 1, known, end_log + float(v.logs[places].sum()), inside), strict=True):
                 column.append(x)
 
         for batch, texts in _blocks(batches, 3, v, sums):
@@ -245,7 +273,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
 
     Training rows are those whose crc32 of the id is not 1 modulo 5; a row with a null id is held
     out. A null text is empty; every text ends with an end token, so an empty one has one token.
-    Repeated rows score alike, up to rounding. Without training rows all words are unknown and the network is
+    Repeated rows score alike, up to rounding, and so does any other cut of the table. Without training rows all words are unknown and the network is
     untrained; an empty table gives no rows.
     """
     narrow = docs.select("doc_id", "text")

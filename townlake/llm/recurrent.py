@@ -16,7 +16,7 @@ EMBEDDING = 12
 HIDDEN = 16
 #: Steps that gradients go back through; the state itself is carried on to the next window.
 WINDOW = 24
-CLASS_WORDS = 64
+CLASS_WORDS = 32
 
 
 @dataclass
@@ -105,15 +105,24 @@ def lanes(docs: list[np.ndarray], layout: Layout, end: int, most: int) -> tuple[
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     """In place, by exp, which numpy computes much faster than tanh."""
     np.negative(x, out=x)
-    np.exp(np.minimum(x, 80, out=x), out=x)
+    with np.errstate(over="ignore"):  # 1 / (1 + inf) is 0
+        np.exp(x, out=x)
     x += 1
     return np.reciprocal(x, out=x)
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(1, keepdims=True)
-    x -= np.log(np.exp(x).sum(1, keepdims=True))
-    return x
+def _exps(states: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a softmax over ``states @ weights + bias`` the exponentials, their sums and what was taken off.
+
+    States lie between -1 and 1, so a bound of all values is known beforehand and no row's largest
+    value has to be found.
+    """
+    bound = np.abs(weights).sum(0) + bias
+    shift = bias - bound.max()
+    x = states @ weights
+    x += shift
+    np.exp(x, out=x)
+    return x, x @ np.ones(x.shape[1], x.dtype), shift
 
 
 def _states(p: Weights, table: np.ndarray, inputs: np.ndarray, start: int, h: np.ndarray, keep: bool):
@@ -125,7 +134,7 @@ def _states(p: Weights, table: np.ndarray, inputs: np.ndarray, start: int, h: np
     given = table[inputs]
     for t in range(len(inputs)):
         if begins[t]:
-            h = np.where(starts[t][:, None], np.float32(0), h)
+            h = np.where(starts[t][:, None], h.dtype.type(0), h)
         x, g = given[t], h @ p["u"]
         zr = _sigmoid(x[:, : 2 * HIDDEN] + g[:, : 2 * HIDDEN])
         z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
@@ -165,11 +174,13 @@ def score(p: Weights, layout: Layout, docs: list[np.ndarray], end: int, most_lan
         real = owner[span].ravel() >= 0
         states, ids = out.reshape(-1, HIDDEN)[real], targets[span].ravel()[real]
         classes = layout.classes(ids)
-        found = np.take_along_axis(_log_softmax(states @ p["c"] + p["cb"]), classes[:, None], 1)[:, 0]
+        x, sums, _ = _exps(states, p["c"], p["cb"])
+        share = x[np.arange(len(ids)), classes] / sums
         for c, rows in _by_class(classes, layout):
             words = slice(c * CLASS_WORDS, (c + 1) * CLASS_WORDS)
-            inside = _log_softmax(states[rows] @ p["o"][:, words] + p["ob"][words])
-            found[rows] += inside[np.arange(len(rows)), ids[rows] - words.start]
+            x, sums, _ = _exps(states[rows], p["o"][:, words], p["ob"][words])
+            share[rows] *= x[np.arange(len(rows)), ids[rows] - words.start] / sums
+        found = np.log(np.maximum(share, np.float32(1e-37)))
         total += np.bincount(owner[span].ravel()[real], found, len(docs))
     return total
 
@@ -191,6 +202,12 @@ class Trainer:
             h = self._window(inputs[span], targets[span], owner[span], h)
 
     def _window(self, inputs: np.ndarray, targets: np.ndarray, owner: np.ndarray, h: np.ndarray) -> np.ndarray:
+        g, n, last = self.gradient(inputs, targets, owner, h)
+        self._step(g, max(1, n))
+        return last
+
+    def gradient(self, inputs: np.ndarray, targets: np.ndarray, owner: np.ndarray, h: np.ndarray) -> tuple[Weights, int, np.ndarray]:
+        """The gradient of the window's summed loss, the number of its words, and the last states."""
         p, layout = self.p, self.layout
         table = p["embedding"] @ p["w"] + p["b"]
         out, last, steps = _states(p, table, inputs, layout.start, h, True)
@@ -198,40 +215,60 @@ class Trainer:
         states, ids = out.reshape(-1, HIDDEN)[real], targets.ravel()[real]
         classes = layout.classes(ids)
         g = {k: np.zeros_like(v) for k, v in p.items()}
-        error = np.exp(_log_softmax(states @ p["c"] + p["cb"]))
+        error, sums, _ = _exps(states, p["c"], p["cb"])
+        error *= (1 / sums)[:, None]
         error[np.arange(len(ids)), classes] -= 1
-        g["c"], g["cb"] = states.T @ error, error.sum(0)
+        g["c"], g["cb"] = states.T @ error, np.ones(len(ids), error.dtype) @ error
         back = error @ p["c"].T
         for c, rows in _by_class(classes, layout):
             words = slice(c * CLASS_WORDS, (c + 1) * CLASS_WORDS)
-            e = np.exp(_log_softmax(states[rows] @ p["o"][:, words] + p["ob"][words]))
+            of_class = states[rows]
+            e, sums, _ = _exps(of_class, p["o"][:, words], p["ob"][words])
+            e *= (1 / sums)[:, None]
             e[np.arange(len(rows)), ids[rows] - words.start] -= 1
-            g["o"][:, words], g["ob"][words] = states[rows].T @ e, e.sum(0)
+            g["o"][:, words], g["ob"][words] = of_class.T @ e, np.ones(len(rows), e.dtype) @ e
             back[rows] += e @ p["o"][:, words].T
         d_out = np.zeros((out.shape[0] * out.shape[1], HIDDEN), np.float32)
         d_out[real] = back
         d_out = d_out.reshape(out.shape)
-        d_table = np.zeros((*inputs.shape, 3 * HIDDEN), np.float32)
+        d_table = np.empty((*inputs.shape, 3 * HIDDEN), np.float32)
+        h_side = np.empty_like(d_table)
         d_h = np.zeros_like(h)
+        goes_on = inputs != layout.start
+        back_u = p["u"].T.copy()
         for t in range(len(inputs) - 1, -1, -1):
             before, z, r, n, u_n = steps[t]
-            d = d_out[t] + d_h
-            d_n = d * (1 - z) * (1 - n * n)
-            d_z = d * (before - n) * z * (1 - z)
-            d_r = d_n * u_n * r * (1 - r)
-            x_side = d_table[t]
+            d = d_out[t]
+            d += d_h
+            keep = 1 - z
+            d_n = d * keep
+            d_n *= 1 - n * n
+            d_z = before - n
+            d_z *= d
+            keep *= z
+            d_z *= keep
+            d_r = d_n * u_n
+            d_r *= r - r * r
+            x_side, u_side = d_table[t], h_side[t]
             x_side[:, :HIDDEN], x_side[:, HIDDEN : 2 * HIDDEN], x_side[:, 2 * HIDDEN :] = d_z, d_r, d_n
-            h_side = np.concatenate([d_z, d_r, d_n * r], axis=1)
-            g["u"] += before.T @ h_side
-            d_h = (d * z + h_side @ p["u"].T) * (inputs[t] != layout.start)[:, None]
+            u_side[:, : 2 * HIDDEN] = x_side[:, : 2 * HIDDEN]
+            np.multiply(d_n, r, out=u_side[:, 2 * HIDDEN :])
+            d *= z
+            d_h = u_side @ back_u
+            d_h += d
+            if not goes_on[t].all():
+                d_h *= goes_on[t][:, None]
         flat = d_table.reshape(-1, 3 * HIDDEN)
+        befores = np.concatenate([s[0] for s in steps])
+        g["u"] = befores.T @ h_side.reshape(-1, 3 * HIDDEN)
         words = inputs.ravel()
-        g["w"], g["b"] = p["embedding"][words].T @ flat, flat.sum(0)
         order = np.argsort(words, kind="stable")
-        distinct, starts = np.unique(words[order], return_index=True)
-        g["embedding"][distinct] = np.add.reduceat(flat[order] @ p["w"].T, starts, axis=0)
-        self._step(g, max(1, len(ids)))
-        return last
+        ordered = words[order]
+        starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
+        by_word, distinct = np.add.reduceat(flat[order], starts, axis=0), ordered[starts]
+        g["w"], g["b"] = p["embedding"][distinct].T @ by_word, by_word.sum(0)
+        g["embedding"][distinct] = by_word @ p["w"].T
+        return g, len(ids), last
 
     def _step(self, g: Weights, n: int) -> None:
         self.updates += 1
