@@ -20,7 +20,8 @@ SHINGLE_WORDS = 5
 BIN_BITS = 7
 BINS = 1 << BIN_BITS
 LOW_BITS = 8
-#: Attempts to fill an empty bin at random, before the next filled bin from a random place on.
+#: Attempts to fill an empty bin that are made one by one. All later ones are made at once: each filled
+#: bin has one, and the earliest wins, so there is no last attempt.
 ATTEMPTS = 12
 
 
@@ -69,13 +70,13 @@ def bin_minima(hashes: Column) -> Column:
 def densified(minima: Column) -> Column:
     """Fill empty bins; ``minima`` has at least one filled bin."""
 
-    def fill(v: Column, value: Column, b: Column) -> Column:
+    def fill(v: Column, filled: Column, value: Column, b: Column) -> Column:
         tries = [F.get(v, F.pmod(F.xxhash64(b, F.lit(t)), F.lit(BINS)).cast("int")) for t in range(ATTEMPTS)]
-        start = F.pmod(F.xxhash64(b, F.lit(ATTEMPTS)), F.lit(BINS)).cast("int")
-        turned = F.concat(F.slice(v, start + 1, F.lit(BINS)), F.slice(v, F.lit(1), start))
-        return F.coalesce(value, *tries, F.get(F.filter(turned, lambda x: x.isNotNull()), F.lit(0)))
+        later = F.array_min(F.transform(filled, lambda x: F.struct(F.xxhash64(b, x["bin"], F.lit(ATTEMPTS)), x["value"].alias("value"))))
+        return F.coalesce(value, *tries, later["value"])
 
-    return let(minima, lambda v: F.transform(v, lambda value, b: fill(v, value, b)))
+    placed = lambda v: F.filter(F.transform(v, lambda x, i: F.struct(i.alias("bin"), x.alias("value"))), lambda x: x["value"].isNotNull())
+    return let(minima, lambda v: let(placed(v), lambda f: F.transform(v, lambda value, b: fill(v, f, value, b))))
 
 
 def fingerprint(text: Column) -> Column:
@@ -138,14 +139,12 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     document's, in the order of doc_id (null last), after the last the first. A null text is
     empty. Rows that share a doc_id follow each other by a hash of their text; repeated rows are
     one place in that order and each gets a result. A single document is its own next one; an
-    empty table gives no rows.
+    empty table gives no rows. Ids may be of any type that has an order.
     """
     text = text_or_empty()
-    no_id = F.lit("9223372036854775808").cast("decimal(20,0)")
-    id_type = docs.schema["doc_id"].dataType
     # Both uses of the texts below take these same columns, so they are shuffled once.
     texts = docs.select(
-        F.coalesce(F.col("doc_id").cast("decimal(20,0)"), no_id).alias("key"),
+        F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id")).alias("key"),
         F.md5(text).alias("tag"),
         text.alias("text"),
     )
@@ -167,7 +166,7 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
         .withColumn("n_chars", F.length("text").cast("long"))
         .withColumn("edited", F.expr("concat(substring(text, 1, cast(n_chars - n_chars div 2 as int)), head)"))
         .select(
-            F.when(F.col("key") != no_id, F.col("key").cast(id_type)).alias("doc_id"),
+            F.col("key.id").alias("doc_id"),
             "n_chars",
             F.sha2("edited", 256).alias("edited_sha256"),
             fingerprint(F.col("text")).alias("fingerprint"),
