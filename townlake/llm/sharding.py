@@ -29,7 +29,8 @@ def propose_moves(members: DataFrame, labels: DataFrame) -> DataFrame:
     shard before they meet their members, so a link sends at most one row a shard to each member.
     """
     placed = members.join(labels, "vertex")
-    counts = placed.groupBy("link", F.col("shard").alias("to")).agg(F.count("*").alias("rows"))
+    # Stored, so that Spark may split the rows of a common link over tasks.
+    counts = durable(placed.groupBy("link", F.col("shard").alias("to")).agg(F.count("*").alias("rows")))
     votes = (
         placed.join(counts, "link")
         .groupBy("vertex", "to")
@@ -146,7 +147,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS)
             F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("key"),
         )
     )
-    shared = rows.groupBy("link").agg(F.count("*").alias("n")).where("n > 1").select("link")
+    shared = durable(rows.groupBy("link").agg(F.count("*").alias("n")).where("n > 1").select("link"))
     members = durable(rows.select("vertex", "link", "key").join(shared, "link").select("vertex", "link", "key"))
     placed = even_shards(rows.select("vertex", "key"), members, shards, rounds)
     return rows.join(placed, "vertex").select(
