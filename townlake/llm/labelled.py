@@ -11,14 +11,19 @@ def held_out(modulus: int, remainder: int):
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % modulus == remainder, F.lit(True))
 
 
+#: Bytes of the texts of a sample, at most: they go to the driver.
+MOST_BYTES = 64 << 20
+
+
 def labelled_sample(
-    docs: DataFrame, labels: DataFrame, label: str, modulus: int, remainder: int, per_class: int
+    docs: DataFrame, labels: DataFrame, label: str, modulus: int, remainder: int, per_class: int, most_bytes: int = MOST_BYTES, also: tuple[str, ...] = ()
 ) -> tuple[DataFrame, dict[int, int]]:
     """At most ``per_class`` documents of each label, and how many labels of each class there are.
 
-    Returns (doc_id, text, label) without held-out rows, those with the smallest hashes of their
-    ids. Null ids and null labels are left out; a repeated label counts once, a document with two
-    labels has the smaller one.
+    Returns (doc_id, text, label) and the columns ``also``, without held-out rows: those with the
+    smallest hashes of their ids. A class's texts have at most half of ``most_bytes`` together;
+    those that do not fit are left out. Null ids and null labels are left out; a repeated label
+    counts once, a document with two labels has the smaller one.
     """
     known = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~held_out(modulus, remainder))
@@ -31,6 +36,13 @@ def labelled_sample(
     for value in (0, 1):
         part = known.where(F.col("label") == value).orderBy(order).limit(per_class)
         chosen = part if chosen is None else chosen.unionByName(part)
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    # At most 2 * per_class narrow rows.
-    return texts.join(F.broadcast(chosen), "doc_id"), counts
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *also)
+    chosen = F.broadcast(chosen)  # at most 2 * per_class narrow rows
+    sized = texts.select("doc_id", F.octet_length("text").alias("bytes")).join(chosen, "doc_id").groupBy("doc_id", "label").agg(F.sum("bytes").alias("bytes"))
+    left, fitting = {0: most_bytes // 2, 1: most_bytes // 2}, []
+    for r in sized.orderBy(order).collect():  # at most 2 * per_class narrow rows
+        if r["bytes"] <= left[r["label"]]:
+            left[r["label"]] -= r["bytes"]
+            fitting.append((r["doc_id"], r["label"]))
+    schema = docs.select("doc_id").schema.add("label", "integer")
+    return texts.join(F.broadcast(docs.sparkSession.createDataFrame(fitting, schema)), "doc_id"), counts

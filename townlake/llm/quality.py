@@ -29,8 +29,8 @@ RANK = 48
 NEIGHBOURS = 15
 POWER = 8.0
 THRESHOLD = 0.7
-#: Words whose features a task remembers.
-REMEMBERED = 200_000
+#: Words whose features a task remembers, and their longest.
+REMEMBERED, LONGEST_REMEMBERED = 200_000, 64
 #: Texts folded and compared at once.
 BLOCK = 128
 
@@ -47,7 +47,7 @@ def word_shape(word: str) -> str:
     shape = word
     for pattern, by in _LETTERS:
         shape = pattern.sub(by, shape)
-    return case + shape[:12]
+    return case + shape
 
 
 class Featuriser:
@@ -61,7 +61,9 @@ class Featuriser:
         if found is None:
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
-            found = self.known[word] = (_feature("w " + word[:40]), _feature("s " + word_shape(word[:40])))
+            found = (_feature("w " + word), _feature("s " + word_shape(word)))
+            if len(word) <= LONGEST_REMEMBERED:
+                self.known[word] = found
         return found
 
     def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
