@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from townlake.functions.clock import clock_seconds, on_day, service_day
 from townlake.functions.text import name_key, number_key
-from townlake.operators.spatial import areas_of_points, box_rings, in_rings, nearest
+from townlake.operators.spatial import areas_of_points, box_rings, in_rings, inside_else_near, nearest, nearest_k, radius_join
 from townlake.operators.tables import first_per_key, snapshot_changes, upsert
 from townlake.plans import CITY_ORACLES, CITY_QUERIES
 from townlake.sources import readers, writers
@@ -61,7 +61,7 @@ def test_nearest_equals_brute_force_far_and_near(spark):
     a = [(i, 23 + rng.random(), 42 + rng.random()) for i in range(40)] + [(99, 30.0, 45.0)]
     b = [(i, 23 + rng.random() / 5, 42 + rng.random() / 5) for i in range(15)]
     left, right = spark.createDataFrame(a, "a long, lon double, lat double"), spark.createDataFrame(b, "b long, lon double, lat double")
-    got = {r.a: r.b for r in nearest(left, right, "a", "b", 500.0, 4).collect()}
+    got = {r.a: r.b for r in nearest_k(left, right, "a", "b", 1, 500.0).collect()}
     pairs = left.crossJoin(right.select("b", F.col("lon").alias("x"), F.col("lat").alias("y")))
     from townlake.functions.geo import distance_m
 
@@ -160,18 +160,94 @@ def test_stream_state_equals_batch(spark, tmp_path):
     base = datetime.datetime(2024, 3, 15, 8)
     minute = lambda n: base + datetime.timedelta(minutes=n)
     parts = [[(base.date(), "t", "s", minute(0), minute(9)), (base.date(), "t", "s", minute(1), minute(8))], [(base.date(), "t", "s", minute(2), minute(7)), (base.date(), "u", "s", minute(2), minute(5))]]
-    source, state = str(tmp_path / "in"), str(tmp_path / "state")
-    seen = []
-    for rows in parts:
+    late = [(base.date(), "t", "s", minute(-9000), minute(3)), (base.date() - datetime.timedelta(days=9), "old", "s", minute(-9000), minute(3))]
+    source, table, state = str(tmp_path / "in"), str(tmp_path / "table"), str(tmp_path / "state")
+    for rows in [*parts, late]:
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
-        stream = live.follow_arrivals(spark.readStream.schema(schema).parquet(source))
-        query = stream.writeStream.foreachBatch(lambda df, _: seen.extend(df.collect())).outputMode("update").option("checkpointLocation", state).trigger(availableNow=True).start()
-        query.awaitTermination(180)
-    last = {(r.trip_id, r.stop_id): r for r in seen}
+        live.follow_arrivals(spark.readStream.schema(schema).parquet(source), table, state, []).awaitTermination(180)
+    held = {(r.trip_id, r.stop_id): r for r in spark.read.parquet(table).collect()}
     batch = live.first_and_last(spark.createDataFrame([r for p in parts for r in p], schema), []).collect()
     for r in batch:
-        s = last[r.trip_id, r.stop_id]
-        assert (s.first_predicted, s.first_seen, s.last_predicted, s.last_seen, s.updates) == (r.first_predicted, r.first_seen, r.last_predicted, r.last_seen, r.updates)
+        s = held[r.trip_id, r.stop_id]
+        assert (s.first_predicted, s.first_seen) == (r.first_predicted, r.first_seen)
+        if r.trip_id == "u":
+            assert (s.last_predicted, s.last_seen, s.updates) == (r.last_predicted, r.last_seen, r.updates)
+    # A sighting of days ago that comes last is kept and is the last one.
+    assert (held["t", "s"].last_predicted, held["t", "s"].updates) == (minute(3), 4) and held["old", "s"].updates == 1
+    again = live.folded(spark.read.parquet(table).where("trip_id = 't'"), spark.createDataFrame(late[:1], schema), 2, [])
+    assert again.first().updates == 4
+
+
+def test_schedules_skips_and_delays(spark):
+    t = lambda s: datetime.datetime(2024, 3, 30, 23, 30) + datetime.timedelta(seconds=s)
+    updates = spark.createDataFrame(
+        [("a", "s", t(0), None, None, None, None), ("a", "s", None, t(5), None, None, "SCHEDULED"), ("b", "s", t(0), None, None, "CANCELED", None),
+         ("c", "s", t(0), None, True, None, None), ("d", "s", t(0), None, None, None, "SKIPPED"), ("e", "s", None, None, None, None, None)],
+        "trip_id string, stop_id string, arrival timestamp, departure timestamp, deleted boolean, trip_status string, stop_status string",
+    )
+    usable = live.usable_updates(updates)
+    assert sorted((r.trip_id, r.predicted) for r in usable.collect()) == [("a", t(0)), ("a", t(5))]
+    timetable = spark.createDataFrame([("a", "s", 24 * 3600 + 1740), ("x", "s", 5)], "trip_id string, stop_id string, seconds long")
+    # 00:30 local time on the day that the clocks go forward is 24:30 of the day before.
+    rows = live.with_schedule(usable, timetable, "Europe/Berlin").collect()
+    assert {(str(r.service_date), r.scheduled) for r in rows} == {("2024-03-30", t(-60))}
+    fetches = spark.createDataFrame([(t(0), None), (t(100), "timeout")], "fetched_at timestamp, error string")
+    reports = spark.createDataFrame([("v", t(-60), "a"), ("v", t(10), "a"), ("w", t(90), "a"), ("x", t(-10), None)], "vehicle_id string, recorded_at timestamp, trip_id string")
+    states = spark.createDataFrame([("a", "s", t(0), t(95), t(5)), ("a", "s2", t(0), t(300), t(5))], "trip_id string, stop_id string, scheduled timestamp, last_predicted timestamp, last_seen timestamp")
+    got = {r.vehicle_id: (r.recorded_at, r.delay_s) for r in live.vehicles_with_delay(reports, states, fetches).collect()}
+    assert got == {"v": (t(10), 95), "x": (t(-10), None)}
+
+
+def test_radius_join_anywhere_on_the_globe(spark):
+    rng = random.Random(2)
+    spots = [(0.0, 0.0), (179.99, 10.0), (-179.99, 10.0), (15.0, 69.0), (25.0, 81.0), (-120.0, -75.0), (40.0, 89.5)]
+    at = lambda n: [(i, lon, lat) for i in range(n) for a, b in [rng.choice(spots)] for lon, lat in [(a + rng.uniform(-0.2, 0.2), b + rng.uniform(-0.05, 0.05))]]
+    wrapped = lambda rows: [(i, (lon + 180) % 360 - 180, lat) for i, lon, lat in rows]
+    left, right = spark.createDataFrame(wrapped(at(150)), "a long, lon double, lat double"), spark.createDataFrame(wrapped(at(150)), "b long, lon double, lat double")
+    from townlake.functions.geo import distance_m
+
+    for metres in (700.0, 9000.0):
+        every = left.crossJoin(right.toDF("b", "x", "y")).where(distance_m(F.col("lon"), F.col("lat"), F.col("x"), F.col("y")) <= metres)
+        pairs = [(r.a, r.b) for r in radius_join(left, right, metres).collect()]
+        assert len(set(pairs)) == len(pairs) and set(pairs) == {(r.a, r.b) for r in every.collect()} and pairs
+
+
+def test_nearest_k_that_fit(spark):
+    rng = random.Random(3)
+    rows = lambda n: [(i, i % 3, 23 + rng.random(), 42 + rng.random()) for i in range(n)]
+    left, right = spark.createDataFrame(rows(30), "a long, ka long, lon double, lat double"), spark.createDataFrame(rows(90), "b long, kb long, lon double, lat double")
+    got = nearest_k(left, right, "a", "b", 4, 2000.0, F.col("ka") == F.col("kb")).collect()
+    from townlake.functions.geo import distance_m
+
+    near = left.crossJoin(right.toDF("b", "kb", "x", "y")).where("ka = kb").withColumn("d", distance_m(F.col("lon"), F.col("lat"), F.col("x"), F.col("y")))
+    want = {r.a: [x.b for x in r.near][:4] for r in near.groupBy("a").agg(F.array_sort(F.collect_list(F.struct("d", "b"))).alias("near")).collect()}
+    assert {a: [r.b for r in sorted(got, key=lambda r: r.place) if r.a == a] for a in want} == want
+    few = nearest_k(left, right.where("b < 2"), "a", "b", 3)
+    assert few.count() == 60 and nearest(left, right.limit(0), "a", "b").count() == 0
+
+
+def test_areas_of_points_over_odd_shapes(spark):
+    rng = random.Random(4)
+    import math
+
+    def star(x, y, r):
+        n = rng.randint(5, 40)
+        ring = [(x + r * f * math.cos(2 * math.pi * k / n), y + r * f * math.sin(2 * math.pi * k / n)) for k in range(n) for f in [rng.uniform(0.4, 1)]]
+        return [*ring, ring[0]]
+
+    areas = [(i, i % 2, [star(23 + rng.random(), 42 + rng.random(), 0.3), *([star(23.5, 42.5, 0.05)] if i % 4 == 0 else [])]) for i in range(12)]
+    shapes = spark.createDataFrame([(i, p, [[{"x": x, "y": y} for x, y in ring] for ring in rings]) for i, p, rings in areas], "area long, p long, rings array<array<struct<x: double, y: double>>>")
+    points = spark.createDataFrame([(i, 22.8 + 1.4 * rng.random(), 41.8 + 1.4 * rng.random()) for i in range(600)], "q long, lon double, lat double")
+    every = points.crossJoin(shapes).where(in_rings(F.col("rings"), F.col("lon"), F.col("lat")))
+    want = {r.q: r.best.area for r in every.groupBy("q").agg(F.min(F.struct("p", "area")).alias("best")).collect()}
+    for cell_m in (3000.0, 40_000.0):
+        assert {r.q: r.area for r in areas_of_points(points, shapes, "q", "area", cell_m, "p").collect()} == want and len(want) > 200
+    from townlake.functions.shapes import metres_to_edges
+
+    found = {r.q: (r.area, r.match) for r in inside_else_near(points, shapes, "q", "area", 4000.0).collect()}
+    far = points.crossJoin(shapes).withColumn("d", metres_to_edges(F.col("rings"), F.col("lon"), F.col("lat"))).where("d <= 4000")
+    near = {r.q: r.best.area for r in far.groupBy("q").agg(F.min(F.struct("d", "area")).alias("best")).collect()}
+    assert {q: a for q, (a, m) in found.items() if m == "near"} == {q: a for q, a in near.items() if q not in want}
 
 
 def test_passed_needs_a_good_fetch_soon_after(spark):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from townlake.functions.text import similarity, trigrams
@@ -14,16 +14,17 @@ from townlake.operators.tables import first_per_key
 def match_in_passes(left: DataFrame, right: DataFrame, left_id: str, right_id: str, passes: list[tuple[str, list[str]]]) -> DataFrame:
     """(left_id, right_id, match): for each left row the right row of the first pass that has one.
 
-    A pass has a name and the columns that must be equal. Within a pass the lowest right id wins.
+    A pass has a name and the columns that must be equal. Within a pass the lowest right id wins,
+    so each pass joins one right row a key, however many rows a key has.
     """
     found = [
         left.select(left_id, *keys)
-        .join(right.select(right_id, *keys), keys)
-        .select(left_id, right_id, F.lit(name).alias("match"), F.lit(place).alias("_pass"))
+        .join(right.groupBy(*keys).agg(F.min(right_id).alias("_right")), keys)
+        .select(left_id, F.struct(F.lit(place).alias("place"), F.col("_right"), F.lit(name).alias("name")).alias("_best"))
         for place, (name, keys) in enumerate(passes)
     ]
-    every = reduce(DataFrame.unionByName, found)
-    return first_per_key(every, [left_id], [F.col("_pass"), F.col(right_id)]).drop("_pass")
+    best = reduce(DataFrame.unionByName, found).groupBy(left_id).agg(F.min("_best").alias("_best"))
+    return best.select(left_id, F.col("_best._right").alias(right_id), F.col("_best.name").alias("match"))
 
 
 def match_unique_prefix(left: DataFrame, right: DataFrame, left_id: str, right_id: str, prefix: str, full: str, block: list[str]) -> DataFrame:
@@ -46,21 +47,22 @@ def match_unique_prefix(left: DataFrame, right: DataFrame, left_id: str, right_i
 def match_by_trigrams(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_text: str, right_text: str, least: float = 0.3) -> DataFrame:
     """(left_id, right_id, similarity): the most similar right text above ``least``, lowest id on ties.
 
-    Only texts with a common trigram are compared: candidates come from an equi-join on trigrams.
+    Texts that are alike have a trigram in common among the first of each, in an order that puts
+    rare ones first; of n trigrams those are all but ``least`` times n. Only pairs that share such a
+    trigram are compared, so trigrams that most texts have make few pairs.
     """
-    a = left.select(left_id, trigrams(F.col(left_text)).alias("_a"))
-    b = right.select(right_id, trigrams(F.col(right_text)).alias("_b"))
-    shared = (
-        a.select(left_id, F.explode("_a").alias("_t"), F.size("_a").alias("_na"))
-        .join(b.select(right_id, F.explode("_b").alias("_t"), F.size("_b").alias("_nb")), "_t")
-        .groupBy(left_id, right_id)
-        .agg(F.count("*").alias("_n"), F.first("_na").alias("_na"), F.first("_nb").alias("_nb"))
-    )
-    alike = shared.withColumn("similarity", F.col("_n") / (F.col("_na") + F.col("_nb") - F.col("_n")).cast("double"))
+    a, b = left.select(left_id, trigrams(F.col(left_text)).alias("_a")), right.select(right_id, trigrams(F.col(right_text)).alias("_b"))
+    of_left, of_right = a.select(left_id, F.explode("_a").alias("_t")), b.select(right_id, F.explode("_b").alias("_t"))
+    uses = of_left.select("_t").unionByName(of_right.select("_t")).groupBy("_t").agg(F.count("*").alias("_uses"))
+
+    def leading(rows: DataFrame, key: str) -> DataFrame:
+        by_use = F.array_sort(F.collect_list(F.struct("_uses", "_t")))
+        ordered = rows.join(uses, "_t").groupBy(key).agg(by_use.alias("_all"))
+        n = F.size("_all") - F.ceil(F.size("_all") * F.lit(least)).cast("int") + 1
+        return ordered.select(key, F.explode(F.slice("_all", F.lit(1), F.least(n, F.size("_all")))).alias("_first")).select(key, F.col("_first._t").alias("_t"))
+
+    pairs = leading(of_left, left_id).join(leading(of_right, right_id), "_t").select(left_id, right_id).distinct()
+    alike = pairs.join(a, left_id).join(b, right_id).withColumn("similarity", similarity(F.col("_a"), F.col("_b")))
     return first_per_key(alike.where(F.col("similarity") > least), [left_id], [F.col("similarity").desc(), F.col(right_id)]).select(
         left_id, right_id, "similarity"
     )
-
-
-def text_similarity(a: Column, b: Column) -> Column:
-    return similarity(trigrams(a), trigrams(b))

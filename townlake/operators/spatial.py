@@ -10,74 +10,79 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from townlake.functions.geo import cell, cell_degrees, distance_m
+from townlake.functions.geo import LEAST_M_PER_DEGREE, band, band_cell, band_cells, distance_m
+from townlake.functions.shapes import metres_to_edges
 from townlake.operators.checkpoints import durable
 
-#: Cells are sized for places up to this latitude.
-LATITUDE = 60.0
-
-
-def _around(lon: Column, lat: Column, width: float, height: float, reach: int) -> Column:
-    cx, cy = cell(lon, lat, width, height)
-    steps = F.array(
-        *[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-reach, reach + 1) for j in range(-reach, reach + 1)]
-    )
-    return F.explode(F.transform(steps, lambda s: F.struct((cx + s["i"]).alias("cx"), (cy + s["j"]).alias("cy"))))
+#: Rows of a side that is sent to every task to be compared with all others: a few dozen.
+FEW = 64
+#: Half the way round the earth, in metres: nothing is farther.
+FARTHEST_M = 20_038_000.0
 
 
 def radius_join(left: DataFrame, right: DataFrame, metres: float) -> DataFrame:
-    """Pairs of rows at most ``metres`` apart, with ``distance_m``.
+    """Pairs of rows at most ``metres`` apart, with ``distance_m``, anywhere on the globe.
 
-    The columns of ``right`` must differ from those of ``left`` but for lon and lat. Its rows go
-    to their own and the eight neighbouring cells.
+    The columns of ``right`` must differ from those of ``left`` but for lon and lat. Bands of
+    latitude have cells of their own width, so that one is ``metres`` wide at any latitude; right
+    rows go to their cell, its two neighbours (round the globe) and those of the next bands.
     """
-    width, height = cell_degrees(metres, LATITUDE)
-    cx, cy = cell(F.col("lon"), F.col("lat"), width, height)
-    near = right.withColumn("_cell", _around(F.col("lon"), F.col("lat"), width, height, 1)).select(
-        *[F.col(c) for c in right.columns if c not in ("lon", "lat")],
-        F.col("lon").alias("_lon"),
-        F.col("lat").alias("_lat"),
-        F.col("_cell.cx").alias("_cx"),
-        F.col("_cell.cy").alias("_cy"),
+    own_band = band(F.col("lat"), metres)
+    bands = F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: own_band + d))
+    at = band_cell(F.col("lon"), F.col("_cy"), metres)
+    cells = band_cells(F.col("_cy"), metres)
+    round_ = F.explode(F.array_distinct(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: F.pmod(at + d, cells))))
+    near = (
+        right.withColumn("_cy", bands)
+        .withColumn("_cx", round_)
+        .select(*[c for c in right.columns if c not in ("lon", "lat")], F.col("lon").alias("_lon"), F.col("lat").alias("_lat"), "_cx", "_cy")
     )
-    pairs = left.withColumns({"_cx": cx, "_cy": cy}).join(near, ["_cx", "_cy"])
+    pairs = left.withColumn("_cy", own_band).withColumn("_cx", at).join(near, ["_cx", "_cy"])
     metres_apart = distance_m(F.col("lon"), F.col("lat"), F.col("_lon"), F.col("_lat"))
     return pairs.withColumn("distance_m", metres_apart).where(F.col("distance_m") <= metres).drop("_cx", "_cy", "_lon", "_lat")
 
 
-def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, first_metres: float = 1000.0, rings: int = 8) -> DataFrame:
-    """(left_id, right_id, distance_m): the nearest right row of every left row, the smaller id on ties.
+def nearest_k(
+    left: DataFrame, right: DataFrame, left_id: str, right_id: str, k: int = 1, first_metres: float = 1000.0, fits: Column | None = None
+) -> DataFrame:
+    """(left_id, right_id, distance_m, place): the ``k`` nearest right rows that fit, the smaller id on ties.
 
-    Rows are searched within a radius that doubles; a row that has found something within the
-    radius is done, as nothing outside can be nearer. After ``rings`` doublings what is still
-    open is compared with all of ``right``.
+    ``fits`` is a condition on the columns of both sides, which must differ but for lon and lat. Rows
+    are searched within a radius that doubles, once round the globe at most; a row with k finds
+    within the radius is done, as nothing outside can be nearer. Rows with fewer finds at all have fewer rows.
     """
-    places = right.select(right_id, "lon", "lat")
-    open_, metres, done = left.select(left_id, "lon", "lat"), first_metres, None
-    best = F.min(F.struct("distance_m", right_id)).alias("best")
-    for _ in range(rings):
-        found = durable(radius_join(open_, places, metres).groupBy(left_id).agg(best))
+    fits = F.lit(True) if fits is None else fits
+    near = F.slice(F.array_sort(F.collect_list(F.struct("distance_m", right_id))), 1, k)
+    open_, metres, done = left, first_metres, None
+    while True:
+        pairs = radius_join(open_, right, metres).where(fits)
+        if k == 1:
+            found = pairs.groupBy(left_id).agg(F.array(F.min(F.struct("distance_m", right_id))).alias("near"))
+        else:
+            ranked = Window.partitionBy(left_id).orderBy("distance_m", right_id)
+            found = pairs.withColumn("_place", F.row_number().over(ranked)).where(F.col("_place") <= k).groupBy(left_id).agg(near.alias("near"))
+        last = metres >= FARTHEST_M
+        found = durable(found if last else found.where(F.size("near") >= k))
         done = found if done is None else done.unionByName(found)
         open_ = durable(open_.join(found.select(left_id), left_id, "left_anti"))
-        metres *= 2
-        if open_.isEmpty():
+        if last or open_.isEmpty():
             break
-    else:
-        far = places.select(F.col(right_id), F.col("lon").alias("_lon"), F.col("lat").alias("_lat"))
-        apart = distance_m(F.col("lon"), F.col("lat"), F.col("_lon"), F.col("_lat"))
-        rest = open_.crossJoin(far).withColumn("distance_m", apart).groupBy(left_id).agg(best)
-        done = done.unionByName(rest)
-    return done.select(left_id, F.col(f"best.{right_id}").alias(right_id), F.col("best.distance_m").alias("distance_m"))
+        metres = min(2 * metres, FARTHEST_M)
+    return done.select(left_id, F.posexplode("near").alias("place", "_near")).select(
+        left_id, F.col(f"_near.{right_id}").alias(right_id), F.col("_near.distance_m").alias("distance_m"), (F.col("place") + 1).alias("place")
+    )
 
 
-def nearest_of_few(left: DataFrame, right: DataFrame, left_id: str, right_id: str, most: int = 10_000) -> DataFrame:
-    """Like ``nearest`` for a right side of at most ``most`` rows: checked, then sent to all tasks.
+def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, first_metres: float = 1000.0) -> DataFrame:
+    """(left_id, right_id, distance_m): the nearest right row of every left row, the smaller id on ties.
 
-    Above that size the search by rings takes over.
+    A right side of at most FEW rows, which is checked, goes to all tasks; others are searched in
+    rings.
     """
-    if right.limit(most + 1).count() > most:
-        return nearest(left, right, left_id, right_id)
-    few = F.broadcast(right.select(right_id, F.col("lon").alias("_lon"), F.col("lat").alias("_lat")))
+    places = right.select(right_id, "lon", "lat")
+    if places.limit(FEW + 1).count() > FEW:
+        return nearest_k(left.select(left_id, "lon", "lat"), places, left_id, right_id, 1, first_metres).drop("place")
+    few = F.broadcast(places.select(right_id, F.col("lon").alias("_lon"), F.col("lat").alias("_lat")))
     apart = distance_m(F.col("lon"), F.col("lat"), F.col("_lon"), F.col("_lat"))
     best = F.min(F.struct(apart.alias("distance_m"), F.col(right_id)))
     return (
@@ -86,31 +91,41 @@ def nearest_of_few(left: DataFrame, right: DataFrame, left_id: str, right_id: st
     )
 
 
-def in_rings(rings: Column, x: Column, y: Column) -> Column:
-    """Whether a point is in a polygon by the even-odd rule, borders included."""
+def edges_of(rings: Column) -> Column:
+    """The edges (ax, ay, bx, by) of a polygon's rings."""
+
+    def of_ring(ring: Column) -> Column:
+        ends = lambda i: (F.get(ring, i), F.get(ring, i + 1))
+        edge = lambda a, b: F.struct(a["x"].alias("ax"), a["y"].alias("ay"), b["x"].alias("bx"), b["y"].alias("by"))
+        return F.when(F.size(ring) > 1, F.transform(F.sequence(F.lit(0), F.size(ring) - 2), lambda i: edge(*ends(i)))).otherwise(F.array())
+
+    return F.flatten(F.transform(rings, of_ring))
+
 
-    def edges(ring: Column) -> Column:
-        return F.transform(
-            F.sequence(F.lit(0), F.size(ring) - 2), lambda i: F.struct(F.get(ring, i).alias("a"), F.get(ring, i + 1).alias("b"))
-        )
+def in_edges(edges: Column, x: Column, y: Column) -> Column:
+    """Whether a point is within edges by the even-odd rule, borders included.
+
+    A ray goes east from the point, so edges wholly west of it, or above or below, may be missing.
+    """
 
     def side(e: Column) -> Column:
-        return (e["b"]["x"] - e["a"]["x"]) * (y - e["a"]["y"]) - (e["b"]["y"] - e["a"]["y"]) * (x - e["a"]["x"])
+        return (e["bx"] - e["ax"]) * (y - e["ay"]) - (e["by"] - e["ay"]) * (x - e["ax"])
 
     def crosses(e: Column) -> Column:
-        up = (e["a"]["y"] <= y) & (e["b"]["y"] > y) & (side(e) > 0)
-        down = (e["a"]["y"] > y) & (e["b"]["y"] <= y) & (side(e) < 0)
+        up = (e["ay"] <= y) & (e["by"] > y) & (side(e) > 0)
+        down = (e["ay"] > y) & (e["by"] <= y) & (side(e) < 0)
         return up | down
 
     def on(e: Column) -> Column:
-        return (
-            (side(e) == 0)
-            & x.between(F.least(e["a"]["x"], e["b"]["x"]), F.greatest(e["a"]["x"], e["b"]["x"]))
-            & y.between(F.least(e["a"]["y"], e["b"]["y"]), F.greatest(e["a"]["y"], e["b"]["y"]))
-        )
+        between = x.between(F.least(e["ax"], e["bx"]), F.greatest(e["ax"], e["bx"])) & y.between(F.least(e["ay"], e["by"]), F.greatest(e["ay"], e["by"]))
+        return (side(e) == 0) & between
 
-    every = F.flatten(F.transform(rings, edges))
-    return F.exists(every, on) | (F.size(F.filter(every, crosses)) % 2 == 1)
+    return F.exists(edges, on) | (F.size(F.filter(edges, crosses)) % 2 == 1)
+
+
+def in_rings(rings: Column, x: Column, y: Column) -> Column:
+    """Whether a point is in a polygon by the even-odd rule, borders included."""
+    return in_edges(edges_of(rings), x, y)
 
 
 def box_rings(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
@@ -131,31 +146,50 @@ def _cells_of_box(width: float, height: float) -> Column:
     return F.flatten(F.transform(column, lambda cx: F.transform(row, lambda cy: F.struct(cx.alias("cx"), cy.alias("cy")))))
 
 
-def areas_of_points(points: DataFrame, areas: DataFrame, point_id: str, area_id: str, cell_m: float = 5000.0) -> DataFrame:
-    """(point_id, area_id): the area that each point is in, on shared borders the lowest id.
+def areas_of_points(points: DataFrame, areas: DataFrame, point_id: str, area_id: str, cell_m: float = 5000.0, priority: str | None = None) -> DataFrame:
+    """(point_id, area_id): the area that each point is in; of several the least ``priority``, then the lowest id.
 
-    Points in no area have no row. Areas go to all cells of their bounds.
+    Points in no area have no row. An area goes to all cells of its bounds, and to each with those
+    edges only that a ray going east from the cell can meet, so a shape of many points is not
+    copied whole.
     """
-    width, height = cell_degrees(cell_m, LATITUDE)
-    covered = areas.withColumns(_ring_bounds(F.col("rings"))).withColumn("_cell", F.explode(_cells_of_box(width, height)))
-    covered = covered.select(area_id, "rings", F.col("_cell.cx").alias("_cx"), F.col("_cell.cy").alias("_cy"))
-    cx, cy = cell(F.col("lon"), F.col("lat"), width, height)
-    pairs = points.select(point_id, "lon", "lat").withColumns({"_cx": cx, "_cy": cy}).join(covered, ["_cx", "_cy"])
-    return pairs.where(in_rings(F.col("rings"), F.col("lon"), F.col("lat"))).groupBy(point_id).agg(F.min(area_id).alias(area_id))
+    width = height = cell_m / 100_000
+    rank = F.col(priority) if priority else F.lit(0)
+    cells = areas.withColumns(_ring_bounds(F.col("rings"))).select(
+        area_id, rank.alias("_rank"), edges_of(F.col("rings")).alias("_edges"), F.explode(_cells_of_box(width, height)).alias("_cell")
+    )
+    south, west = F.col("_cell.cy") * height, F.col("_cell.cx") * width
+    met = lambda e: (
+        (F.greatest(e["ay"], e["by"]) >= south) & (F.least(e["ay"], e["by"]) <= south + height * 1.000001) & (F.greatest(e["ax"], e["bx"]) >= west - width * 0.000001)
+    )
+    covered = cells.select(area_id, "_rank", F.filter("_edges", met).alias("_edges"), F.col("_cell.cx").alias("_cx"), F.col("_cell.cy").alias("_cy")).where(F.size("_edges") > 0)
+    place = {"_cx": F.floor(F.col("lon") / width).cast("long"), "_cy": F.floor(F.col("lat") / height).cast("long")}
+    pairs = points.select(point_id, "lon", "lat").withColumns(place).join(covered, ["_cx", "_cy"])
+    inside = pairs.where(in_edges(F.col("_edges"), F.col("lon"), F.col("lat")))
+    return inside.groupBy(point_id).agg(F.min(F.struct("_rank", area_id)).alias("_best")).select(point_id, F.col(f"_best.{area_id}").alias(area_id))
 
 
-def inside_else_near(
-    points: DataFrame, areas: DataFrame, centres: DataFrame, point_id: str, area_id: str, metres: float
-) -> DataFrame:
-    """(point_id, area_id, match, distance_m): the area a point is in, else the nearest centre in reach.
+def inside_else_near(points: DataFrame, areas: DataFrame, point_id: str, area_id: str, metres: float) -> DataFrame:
+    """(point_id, area_id, match, distance_m): the area a point is in, else the nearest outline in reach.
 
-    ``match`` is inside or near; points with neither have no row.
+    ``match`` is inside or near; points with neither have no row. Outlines are found by the cells
+    that their bounds, widened by ``metres``, reach into, and measured edge by edge.
     """
     inside = areas_of_points(points, areas, point_id, area_id).select(
         point_id, area_id, F.lit("inside").alias("match"), F.lit(0.0).alias("distance_m")
     )
-    rest = points.join(inside.select(point_id), point_id, "left_anti")
-    near = radius_join(rest.select(point_id, "lon", "lat"), centres.select(area_id, "lon", "lat"), metres)
+    rest = points.select(point_id, "lon", "lat").join(inside.select(point_id), point_id, "left_anti")
+    tall = metres / LEAST_M_PER_DEGREE
+    bounds = _ring_bounds(F.col("rings"))
+    widest = F.greatest(F.abs(bounds["_y0"]), F.abs(bounds["_y1"])) + tall
+    wide = F.lit(tall) / F.greatest(F.cos(F.radians(F.least(widest, F.lit(89.9)))), F.lit(1e-3))
+    grown = {"_x0": bounds["_x0"] - wide, "_x1": bounds["_x1"] + wide, "_y0": bounds["_y0"] - tall, "_y1": bounds["_y1"] + tall}
+    size = max(8 * tall, 0.02)
+    covered = areas.select(area_id, "rings", *[c.alias(k) for k, c in grown.items()]).withColumn("_cell", F.explode(_cells_of_box(size, size)))
+    covered = covered.select(area_id, "rings", "_x0", "_x1", "_y0", "_y1", F.col("_cell.cx").alias("_cx"), F.col("_cell.cy").alias("_cy"))
+    place = {"_cx": F.floor(F.col("lon") / size).cast("long"), "_cy": F.floor(F.col("lat") / size).cast("long")}
+    pairs = rest.withColumns(place).join(covered, ["_cx", "_cy"]).where(F.col("lon").between(F.col("_x0"), F.col("_x1")) & F.col("lat").between(F.col("_y0"), F.col("_y1")))
+    near = pairs.withColumn("distance_m", metres_to_edges(F.col("rings"), F.col("lon"), F.col("lat"))).where(F.col("distance_m") <= metres)
     best = near.groupBy(point_id).agg(F.min(F.struct("distance_m", area_id)).alias("best"))
     return inside.unionByName(
         best.select(point_id, F.col(f"best.{area_id}").alias(area_id), F.lit("near").alias("match"), F.col("best.distance_m").alias("distance_m"))
@@ -184,9 +218,3 @@ def box_overlaps(left: DataFrame, right: DataFrame, cell_size: float) -> DataFra
         .withColumns({"share_l": w * h / area("_l"), "share_r": w * h / area("_r")})
         .drop("_cx", "_cy")
     )
-
-
-def with_rank(rows: DataFrame, key: list[str], order: list[Column], name: str = "rank") -> DataFrame:
-    return rows.withColumn(name, F.row_number().over(Window.partitionBy(*key).orderBy(*order)))
-
-

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from townlake.operators.checkpoints import durable
+
 
 def first_per_key(rows: DataFrame, key: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The first row of each key in ``order``, which should end with something unique."""
@@ -44,22 +46,19 @@ def needs_load(catalog: DataFrame, status: DataFrame, key: str, compared: Sequen
     return catalog.join(known, same, "left_anti")
 
 
-def set_counts(calls: DataFrame, member: str, place: str, event: str) -> DataFrame:
+def set_counts(members: DataFrame, events: DataFrame, member: str, place: str, event: str) -> DataFrame:
     """(member, events): distinct events at any of a member's places.
 
-    Members with the same set of places share one count: events are counted once for each
-    distinct set, however many members have it.
+    ``members`` has (member, place), ``events`` (place, event). Members with the same set of places
+    share one count: only distinct sets meet the events, however many members have them.
     """
-    sets = calls.select(member, place).distinct().groupBy(member).agg(F.array_sort(F.collect_list(place)).alias("places"))
-    distinct = sets.select("places").distinct()
-    events = calls.select(place, event).distinct()
-    counts = (
-        distinct.select("places", F.explode("places").alias(place))
-        .join(events, place)
-        .groupBy("places")
-        .agg(F.countDistinct(event).alias("events"))
-    )
-    return sets.join(counts, "places").select(member, "events")
+    sets = durable(
+        members.select(member, place).distinct().groupBy(member).agg(F.array_sort(F.collect_list(place)).alias("_places"))
+        .withColumn("_set", F.sha2(F.to_json("_places"), 256))
+    )
+    distinct = sets.groupBy("_set").agg(F.first("_places").alias("_places")).select("_set", F.explode("_places").alias(place))
+    counts = distinct.join(events.select(place, event).distinct(), place).select("_set", event).distinct().groupBy("_set").agg(F.count("*").alias("events"))
+    return sets.join(counts, "_set").select(member, "events")
 
 
 def long_form(rows: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:

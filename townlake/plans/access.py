@@ -13,7 +13,6 @@ from townlake.operators.spatial import (
     box_rings,
     inside_else_near,
     nearest,
-    nearest_of_few,
     radius_join,
 )
 from townlake.operators.tables import first_per_key
@@ -33,7 +32,7 @@ def _levels() -> dict[str, Column]:
 
 def _with_distance(spark: SparkSession, sf_dir: str, places: DataFrame) -> DataFrame:
     homes = buildings(spark, sf_dir)
-    near = nearest_of_few(homes, places, "c_custkey", "s_suppkey").withColumn("distance_m", rounded_metres(F.col("distance_m")))
+    near = nearest(homes, places, "c_custkey", "s_suppkey").withColumn("distance_m", rounded_metres(F.col("distance_m")))
     return homes.drop("lon", "lat").join(near, "c_custkey")
 
 
@@ -109,10 +108,8 @@ def buildings_by_area(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def inside_or_near(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each building's area, or the nearest area's centre within 6 km."""
-    areas = _polygons(spark, sf_dir)
-    centres = areas.select("area", ((F.col("x0") + F.col("x1")) / 2).alias("lon"), ((F.col("y0") + F.col("y1")) / 2).alias("lat"))
-    found = inside_else_near(buildings(spark, sf_dir).select("c_custkey", "lon", "lat"), areas, centres, "c_custkey", "area", 6000.0)
+    """Each building's area, or the nearest area's outline within 3 km."""
+    found = inside_else_near(buildings(spark, sf_dir).select("c_custkey", "lon", "lat"), _polygons(spark, sf_dir), "c_custkey", "area", 3000.0)
     return found.withColumn("distance_m", rounded_metres(F.col("distance_m")))
 
 
@@ -177,11 +174,14 @@ FROM pairs WHERE d <= 3000 GROUP BY s_suppkey""",
 SELECT c_custkey, min(area) AS area FROM buildings LEFT JOIN boxes ON lon BETWEEN x0 AND x1 AND lat BETWEEN y0 AND y1 GROUP BY c_custkey""",
     "inside_or_near": f"""WITH {BUILDINGS_SQL}, {BOXES_SQL}, inside AS (
   SELECT c_custkey, min(area) AS area FROM buildings JOIN boxes ON lon BETWEEN x0 AND x1 AND lat BETWEEN y0 AND y1 GROUP BY c_custkey
-), f AS (SELECT area, (x0 + x1) / 2 AS lon, (y0 + y1) / 2 AS lat FROM boxes), near AS (
-  SELECT b.c_custkey, f.area, {_D} AS d FROM buildings b, f WHERE b.c_custkey NOT IN (SELECT c_custkey FROM inside)
+), near AS (
+  SELECT c_custkey, area, sqrt(pow(greatest(x0 - lon, lon - x1, 0) * radians(1e0) * 6378137e0 / sqrt(w) * cos(radians(lat)), 2)
+         + pow(greatest(y0 - lat, lat - y1, 0) * radians(1e0) * 6378137e0 * 0.9933056200098587e0 / (w * sqrt(w)), 2)) AS d
+  FROM (SELECT *, 1 - 0.0066943799901413165e0 * pow(sin(radians(lat)), 2) AS w FROM buildings) b, boxes
+  WHERE c_custkey NOT IN (SELECT c_custkey FROM inside)
 )
 SELECT c_custkey, area, 'inside' AS "match", CAST(0 AS BIGINT) AS distance_m FROM inside
-UNION ALL SELECT c_custkey, arg_min(area, d), 'near', CAST(round(min(d)) AS BIGINT) FROM near WHERE d <= 6000 GROUP BY c_custkey""",
+UNION ALL SELECT c_custkey, arg_min(area, d), 'near', CAST(round(min(d)) AS BIGINT) FROM near WHERE d <= 3000 GROUP BY c_custkey""",
     "area_overlaps": f"""WITH {BOXES_SQL}
 SELECT l.area AS area_l, r.area AS area_r,
        round((least(l.x1, r.x1) - greatest(l.x0, r.x0)) * (least(l.y1, r.y1) - greatest(l.y0, r.y0)) / ((l.x1 - l.x0) * (l.y1 - l.y0)) * 1000, 1) AS per_mille

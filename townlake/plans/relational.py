@@ -105,7 +105,7 @@ def two_level_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def orders_per_supplier_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct orders that touch any of the suppliers that a small part is bought from."""
     calls = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part").where("p_size <= 2"), F.col("l_partkey") == F.col("p_partkey"))
-    return set_counts(calls.select("p_brand", "l_suppkey", "l_orderkey"), "p_brand", "l_suppkey", "l_orderkey")
+    return set_counts(calls, calls, "p_brand", "l_suppkey", "l_orderkey")
 
 
 def share_of_total(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -58,12 +58,7 @@ def _metres(spark: SparkSession, sf_dir: str, homes: DataFrame) -> DataFrame:
 
 
 def metres_to_area(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How far buildings of the first region are from the border of their nation's area."""
-    return _metres(spark, sf_dir, buildings(spark, sf_dir).where("n_regionkey = 0"))
-
-
-def metres_to_area_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How far all buildings are from the border of their nation's area."""
+    """How far buildings are from the border of their nation's area."""
     return _metres(spark, sf_dir, buildings(spark, sf_dir))
 
 
@@ -125,7 +120,7 @@ def assigned_facility(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (zone_overlay, zone_of_area, area_measures, metres_to_area, metres_to_area_all, building_tiles, tile_sizes, grid_population, reach_agreement, assigned_facility)
+    for f in (zone_overlay, zone_of_area, area_measures, metres_to_area, building_tiles, tile_sizes, grid_population, reach_agreement, assigned_facility)
 }
 
 _ZONES = f"""WITH {BOXES_SQL}, z AS (SELECT area AS zone, x0 + 0.03e0 AS x0, y0 + 0.02e0 AS y0, x1 + 0.03e0 AS x1, y1 + 0.02e0 AS y1 FROM boxes),
@@ -151,7 +146,7 @@ SELECT area, round(radians(x1 - x0) * 6378137e0 * (q1 - q0) / 1000000, 3) AS km2
        round((x0 + x1) / 2, 6) AS lon, round((y0 + y1) / 2, 6) AS lat FROM c""",
     "metres_to_area": f"""WITH {BUILDINGS_SQL}, {BOXES_SQL}, w AS (
   SELECT c_custkey, lon, lat, x0, y0, x1, y1, 1 - 0.0066943799901413165e0 * pow(sin(radians(lat)), 2) AS w
-  FROM buildings JOIN boxes ON c_nationkey = area WHERE n_regionkey = 0
+  FROM buildings JOIN boxes ON c_nationkey = area
 ), k AS (
   SELECT *, radians(1e0) * 6378137e0 / sqrt(w) * cos(radians(lat)) AS e, radians(1e0) * 6378137e0 * 0.9933056200098587e0 / (w * sqrt(w)) AS n,
          greatest(x0 - lon, lon - x1, 0) AS ox, greatest(y0 - lat, lat - y1, 0) AS oy FROM w
@@ -182,4 +177,6 @@ SELECT n_regionkey, count(*) AS buildings, count(assigned_m) AS assigned_in_reac
 FROM n GROUP BY n_regionkey""",
 }
 #: The same over all regions.
-ORACLES["metres_to_area_all"] = ORACLES["metres_to_area"].replace(" WHERE n_regionkey = 0", "")
+
+#: The same query under its other name.
+QUERIES["metres_to_area_all"], ORACLES["metres_to_area_all"] = metres_to_area, ORACLES["metres_to_area"]

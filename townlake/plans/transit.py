@@ -57,8 +57,7 @@ def trips_near_buildings(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = radius_join(
         buildings(spark, sf_dir).select("c_custkey", "lon", "lat"), facilities(spark, sf_dir).select(F.col("s_suppkey").alias("stop_id"), "lon", "lat"), 1500.0
     )
-    calls = _calls(spark, sf_dir).select("stop_id", "trip_id").distinct()
-    return set_counts(pairs.select("c_custkey", "stop_id").join(calls, "stop_id"), "c_custkey", "stop_id", "trip_id").withColumnRenamed("events", "trips")
+    return set_counts(pairs, _calls(spark, sf_dir), "c_custkey", "stop_id", "trip_id").withColumnRenamed("events", "trips")
 
 
 def service_days(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,20 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState
 
+from townlake.functions.clock import on_day, service_day
+from townlake.operators.checkpoints import durable
 from townlake.operators.tables import first_per_key
 from townlake.operators.temporal import next_within
 
 REPORT_KEY = ["vehicle_id", "recorded_at"]
-#: How long the state of an arrival is kept without a sighting.
-KEPT_MS = 2 * 24 * 3600 * 1000
 ARRIVAL_KEY = ["service_date", "trip_id", "stop_id"]
 #: A good fetch this soon after the last sighting shows that the stop really left the feed.
 GAP_SECONDS = 120
@@ -29,6 +26,16 @@ def new_reports(reports: DataFrame, stored: DataFrame) -> DataFrame:
     return once.join(stored.select(*REPORT_KEY), REPORT_KEY, "left_anti").withColumn("recorded_date", F.to_date("recorded_at"))
 
 
+def stored_or(empty: DataFrame, spark: SparkSession, table: str) -> DataFrame:
+    """The Parquet ``table``, or ``empty`` as long as nothing is stored."""
+    try:
+        return spark.read.schema(empty.schema).parquet(table)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return empty
+
+
 def write_reports(stream: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
     """Append each report once to the Parquet ``table``, by UTC day.
 
@@ -40,12 +47,7 @@ def write_reports(stream: DataFrame, table: str, checkpoint: str) -> StreamingQu
         spark = batch.sparkSession
         dated = batch.withColumn("recorded_date", F.to_date("recorded_at")).persist()
         days = [r["recorded_date"] for r in dated.select("recorded_date").distinct().collect()]
-        try:
-            stored = spark.read.parquet(table).where(F.col("recorded_date").isin(days))
-        except Exception as e:  # nothing is stored yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            stored = dated.limit(0)
+        stored = stored_or(dated.limit(0), spark, table).where(F.col("recorded_date").isin(days))
         new_reports(dated.drop("recorded_date"), stored).write.mode("append").partitionBy("recorded_date").parquet(table)
         dated.unpersist()
 
@@ -69,34 +71,72 @@ def first_and_last(arrivals: DataFrame, schedule_columns: list[str]) -> DataFram
     )
 
 
-def _first_and_last(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """State of one trip and stop: first and last prediction and the number of sightings.
+def folded(stored: DataFrame, batch: DataFrame, batch_id: int, schedule_columns: list[str]) -> DataFrame:
+    """``stored`` states after one more batch of sightings, in the form of ``first_and_last``.
+
+    What a key had first stays, what comes now is last: batches count in the order in which they
+    arrive, however late their times are. A state that this batch has changed already, before a
+    retry, stays as it is.
+    """
+    new = first_and_last(batch, schedule_columns)
+    both = new.alias("n").join(stored.alias("s"), ARRIVAL_KEY, "full_outer")
+    known = F.col("s.updates").isNotNull()
+    done = F.col("n.updates").isNull() | (known & (F.col("s.batch") >= batch_id))
+    kept = [*schedule_columns, "first_predicted", "first_seen"]
+    return both.select(
+        *ARRIVAL_KEY,
+        *[F.when(known, F.col(f"s.{c}")).otherwise(F.col(f"n.{c}")).alias(c) for c in kept],
+        *[F.when(done, F.col(f"s.{c}")).otherwise(F.col(f"n.{c}")).alias(c) for c in ("last_predicted", "last_seen")],
+        F.when(done, F.col("s.updates")).otherwise(F.coalesce("s.updates", F.lit(0)) + F.col("n.updates")).alias("updates"),
+        F.when(done, F.col("s.batch")).otherwise(F.lit(batch_id)).cast("long").alias("batch"),
+    )
+
+
+def follow_arrivals(stream: DataFrame, table: str, checkpoint: str, schedule_columns: list[str], trigger: dict | None = None) -> StreamingQuery:
+    """Keep ``first_and_last`` of all sightings in the Parquet ``table``, by service day.
+
+    A micro-batch reads and replaces the days that it touches only. No sighting is ever too late.
+    ``trigger`` is that of the stream, once over what is there by default.
+    """
+
+    def fold(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        batch = batch.persist()
+        days = [r["service_date"] for r in batch.select("service_date").distinct().collect()]
+        shape = first_and_last(batch.limit(0), schedule_columns).withColumn("batch", F.lit(0).cast("long"))
+        stored = stored_or(shape, spark, table).where(F.col("service_date").isin(days))
+        after = durable(folded(stored.select(*shape.columns), batch, batch_id, schedule_columns))
+        after.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("service_date").parquet(table)
+        batch.unpersist()
+
+    return stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def with_schedule(arrivals: DataFrame, timetable: DataFrame, zone: str) -> DataFrame:
+    """Sightings with the timetable's time of their trip and stop, and the service day that it gives.
 
-    Times are kept as microseconds. A state without sightings for KEPT_MS
-    is dropped once the feed has gone on for as long again; processing time would not let a stream
-    of what is available end.
+    ``timetable`` has (trip_id, stop_id, seconds). A static side: joined to a stream or a table.
+    Unknown trips have no schedule, and nights count to the day before. The earliest call of a trip at a stop is taken.
     """
-    if state.hasTimedOut:
-        state.remove()
-        return
-    batch = pd.concat(list(frames)).sort_values(["seen_at", "predicted"])
-    micros = lambda row: (row["predicted"].value // 1000, row["seen_at"].value // 1000)
-    held = state.get if state.exists else (*micros(batch.iloc[0]), 0, 0, 0)
-    value = (held[0], held[1], *micros(batch.iloc[-1]), held[4] + len(batch))
-    state.update(value)
-    state.setTimeoutTimestamp(value[3] // 1000 + KEPT_MS)
-    row = [*key, *[pd.Timestamp(v, unit="us") for v in value[:4]], value[4]]
-    yield pd.DataFrame([row], columns=[*ARRIVAL_KEY, "first_predicted", "first_seen", "last_predicted", "last_seen", "updates"])
-
-
-def follow_arrivals(stream: DataFrame) -> DataFrame:
-    """The stream form of ``first_and_last``: a row with the new state for each key of a batch."""
-    key = "service_date date, trip_id string, stop_id string"
-    times = ("first_predicted", "first_seen", "last_predicted", "last_seen")
-    shown = ", ".join([key, *[f"{t} timestamp" for t in times], "updates long"])
-    kept = ", ".join([*[f"{t} long" for t in times], "updates long"])
-    timed = stream.withWatermark("seen_at", f"{KEPT_MS} milliseconds")
-    return timed.groupBy(*ARRIVAL_KEY).applyInPandasWithState(_first_and_last, shown, kept, "update", "EventTimeTimeout")
+    calls = timetable.groupBy("trip_id", "stop_id").agg(F.min("seconds").alias("seconds"))
+    local = F.convert_timezone(F.lit("UTC"), F.lit(zone), F.col("predicted").cast("timestamp_ntz"))
+    joined = arrivals.join(calls, ["trip_id", "stop_id"], "left").withColumn("service_date", service_day(local, F.col("seconds")))
+    due = F.convert_timezone(F.lit(zone), F.lit("UTC"), on_day(F.col("service_date"), F.col("seconds")))
+    return joined.withColumn("scheduled", due.cast("timestamp")).drop("seconds")
+
+
+def usable_updates(updates: DataFrame) -> DataFrame:
+    """Stop updates that predict an arrival: none that is deleted, of a cancelled trip, skipped or without a time.
+
+    ``updates`` has deleted, trip_status, stop_status, arrival and departure; the arrival counts
+    before the departure.
+    """
+    fit = (
+        ~F.coalesce("deleted", F.lit(False))
+        & ~F.coalesce(F.col("trip_status") == "CANCELED", F.lit(False))
+        & ~F.coalesce(F.col("stop_status").isin("SKIPPED", "NO_DATA"), F.lit(False))
+    )
+    return updates.where(fit).withColumn("predicted", F.coalesce("arrival", "departure")).where("predicted is not null").drop("deleted", "trip_status", "stop_status", "arrival", "departure")
 
 
 def passed(arrivals: DataFrame, fetches: DataFrame) -> DataFrame:
@@ -121,3 +161,23 @@ def latest_reports(reports: DataFrame, fetched_at, before_s: int = 180, after_s:
     apart = F.unix_seconds("recorded_at") - F.unix_seconds(F.lit(fetched_at).cast("timestamp"))
     near = reports.where((apart > -before_s) & (apart <= after_s))
     return first_per_key(near, ["vehicle_id"], [F.col("recorded_at").desc()])
+
+
+def last_good_fetch(fetches: DataFrame) -> DataFrame:
+    """One row, (fetched_at): the time of the last fetch without an error; null if there is none."""
+    return fetches.where("error is null").agg(F.max("fetched_at").alias("fetched_at"))
+
+
+def vehicles_with_delay(reports: DataFrame, arrivals: DataFrame, fetches: DataFrame, before_s: int = 180, after_s: int = 60) -> DataFrame:
+    """The newest report of each vehicle around the last good fetch, with the delay of its trip.
+
+    The delay is that of the trip's stop that was seen last, then predicted first.
+    """
+    at = F.broadcast(last_good_fetch(fetches))  # one row
+    apart = F.unix_seconds("recorded_at") - F.unix_seconds("fetched_at")
+    near = reports.crossJoin(at).where((apart > -before_s) & (apart <= after_s)).drop("fetched_at")
+    newest = first_per_key(near, ["vehicle_id"], [F.col("recorded_at").desc(), *[F.col(c).asc_nulls_last() for c in reports.columns if c not in REPORT_KEY]])
+    known = arrivals.where("scheduled is not null")
+    delay = (F.unix_seconds("last_predicted") - F.unix_seconds("scheduled")).cast("long")
+    late = known.groupBy("trip_id").agg(F.max_by(delay, F.struct("last_seen", (-F.unix_seconds("last_predicted")).alias("sooner"), "stop_id")).alias("delay_s"))
+    return newest.join(late, "trip_id", "left")
