@@ -13,6 +13,6 @@ def test_network_tells_apart_511_words_and_48_classes():
         rare[lm_scoring.rare_class(w)] += n
         kinds[lm_scoring.rare_class(w)] += 1
     v = lm_scoring.Vocabulary(shared, rare, kinds, 10, 2000, 1000)
-    ids, others, places = lm_scoring._numbered(" ".join(w.decode() for w, _ in shared) + " unseen", v, lm_scoring._Classes())
+    ids, others, places = lm_scoring._numbered(b" ".join(w for w, _ in shared) + b" Unseen", v, lm_scoring._Classes())
     assert len(set(ids[:511].tolist())) == 511 and others == [b"unseen"] and places.tolist() == list(range(1000))
     assert ids[511:].tolist() == [512 + lm_scoring.rare_class(w) for w in [*(w for w, _ in shared[511:]), b"unseen"]] and v.layout.n_frequent == 512 and v.layout.n_rare_classes == 48

@@ -10,7 +10,6 @@ to every task; counts of the others are joined to the documents that use them.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Callable, Iterator
 from itertools import repeat
 
@@ -28,7 +27,7 @@ from townlake.llm.labelled import held_out
 FREQUENT = 512
 RARE_CLASSES = 48
 #: Words, at most, whose counts every task gets, the most frequent, and their bytes. Other words' counts are joined.
-SHARED = 60_000
+SHARED = 150_000
 SHARED_BYTES = 1 << 22
 RATE = 0.01
 #: Training documents of a network, about, and networks that one task averages.
@@ -85,8 +84,9 @@ class Vocabulary:
         self.inside[:k] = 0
 
 
-def _split(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+def _raw(texts: pa.Array) -> list[bytes]:
+    """Texts as bytes; null as empty."""
+    return [t or b"" for t in texts.cast(pa.binary()).to_numpy(zero_copy_only=False)]
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -117,19 +117,21 @@ def vocabulary(docs: DataFrame, counts: DataFrame) -> Vocabulary:
     return Vocabulary(shared, rare, kinds, texts, int(rare.sum()) + texts, int(kinds.sum()) + (texts > 0))
 
 
-def _numbered(text: str | None, vocab: Vocabulary, classes: _Classes) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+def _numbered(text: bytes, vocab: Vocabulary, classes: _Classes) -> tuple[np.ndarray, list[bytes], np.ndarray]:
     """The ids of a text's words, the words that are not shared, and the places of those that are."""
-    split = _split(text)
+    split = text.lower().split()
     places = np.fromiter(map(vocab.places.get, split, repeat(-1)), np.int64, len(split))
     rare = np.flatnonzero(places < 0)
+    if not len(vocab.ids) and len(rare):
+        places, ids = places[:0], np.zeros(len(split), np.int32)
+    else:
+        ids = vocab.ids[places]
     others = [split[k] for k in rare.tolist()]
-    ids = vocab.ids[places] if len(vocab.ids) else np.zeros(len(split), np.int32)
-    first = len(vocab.frequent) + 1
-    ids[rare] = np.fromiter([classes[w[-3:]] for w in others], np.int64, len(others)) + first
+    ids[rare] = [classes[w[-3:]] + len(vocab.frequent) + 1 for w in others]
     return ids, others, places[places >= 0]
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], text_at: int, vocab: Vocabulary, each: Callable | None = None):
+def _blocks(batches: Iterator[pa.RecordBatch], text_at: int, vocab: Vocabulary, each: Callable):
     """Rows and the word ids of their texts, about BLOCK_WORDS at a time.
 
     Only ids are kept of a text; ``each`` sees what else there is of its words as they come by.
@@ -137,11 +139,10 @@ def _blocks(batches: Iterator[pa.RecordBatch], text_at: int, vocab: Vocabulary,
     classes = _Classes()
     for batch in batches:
         first, held, found = 0, 0, []
-        for i, text in enumerate(batch.column(text_at)):
-            ids, others, places = _numbered(text.as_py(), vocab, classes)
+        for i, text in enumerate(_raw(batch.column(text_at))):
+            ids, others, places = _numbered(text, vocab, classes)
+            each(len(found), ids, others, places)
             found.append(ids)
-            if each is not None:
-                each(len(found) - 1, others, places)
             held += len(ids)
             if held >= BLOCK_WORDS:
                 yield batch.slice(first, i + 1 - first), found
@@ -187,12 +188,12 @@ def train(docs: DataFrame, vocab: Vocabulary) -> recurrent.Weights:
             return pa.RecordBatch.from_arrays([pa.array([group], pa.int64()), pa.array([n], pa.int64()), pa.array([recurrent.packed(trainer.p)], pa.binary())], ["part", "words", "network"])
 
         for batch in batches:
-            for g, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for g, text in zip(batch.column(0).to_pylist(), _raw(batch.column(1)), strict=True):
                 if g != group:
                     if group is not None:
                         yield row()
                     group, trainer, n, held, size = g, recurrent.Trainer(start, v.layout, RATE), 0, [], 0
-                held.append(_numbered(text.as_py(), v, classes)[0])
+                held.append(_numbered(text, v, classes)[0])
                 n, size = n + len(held[-1]) + 1, size + len(held[-1])
                 if size >= BLOCK_WORDS:
                     trainer.learn(held, 0)
@@ -217,8 +218,7 @@ def train(docs: DataFrame, vocab: Vocabulary) -> recurrent.Weights:
 def _scored(docs: DataFrame, vocab: Vocabulary, network: recurrent.Weights) -> DataFrame:
     """A row a document, and a row for each of its words that is not shared.
 
-    ``row`` names the document. Of a document: its sums over shared words. Of a word: ``word`` and
-    ``times``.
+    ``row`` names the document. Of a document: its sums over shared words. Of a word: ``word``.
     """
     context = session(docs).sparkContext
     shared, model = context.broadcast(vocab), context.broadcast(network)
@@ -226,24 +226,25 @@ def _scored(docs: DataFrame, vocab: Vocabulary, network: recurrent.Weights) -> D
     schema = T.StructType()
     for field in numbered.drop("text").schema:
         schema = schema.add(field.name, field.dataType)
-    for name, kind in (("n_tokens", "long"), ("n_known", "long"), ("base", "double"), ("score", "double"), ("word", "string"), ("times", "long")):
+    for name, kind in (("n_tokens", "long"), ("n_known", "long"), ("base", "double"), ("score", "double"), ("word", "binary")):
         schema = schema.add(name, kind)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = shared.value
         end_log = float(np.log10(v.texts + 0.5))
         out: list[list] = [[] for _ in range(4)]
-        rare: list[list] = [[], [], []]
-
-        def sums(i: int, rare_words: list[bytes], places: np.ndarray) -> None:
-            others = Counter(rare_words)
-            less = sum(times * v.class_norm[rare_class(w)] for w, times in others.items())
-            rare[0].extend([i] * len(others))
-            rare[1].extend(w.decode("utf-8", "replace") for w in others)
-            rare[2].extend(others.values())
+        rare: list[list] = [[], []]
+        first = len(v.frequent) + 1
+
+        def sums(i: int, ids: np.ndarray, rare_words: list[bytes], places: np.ndarray) -> None:
+            rare[0].extend(repeat(i, len(rare_words)))
+            rare[1].extend(rare_words)
             known = len(places) + int(v.texts > 0)
-            inside = float(v.inside[places].sum() - less)
-            for column, x in zip(out, (len(places) + len(rare_words) + 1, known, end_log + float(v.logs[places].sum()), inside), strict=True):
+            # Of a rare word the network gives the class; what its count adds inside is joined later.
+            by_class = np.bincount(ids[ids >= first] - first, minlength=RARE_CLASSES)
+            shared_too = np.bincount(v.class_of[places[places >= len(v.frequent)]], minlength=RARE_CLASSES)
+            inside = float(v.inside[places].sum() - (by_class - shared_too) @ v.class_norm)
+            for column, x in zip(out, (len(ids) + 1, known, end_log + float(v.logs[places].sum()), inside), strict=True):
                 column.append(x)
 
         for batch, texts in _blocks(batches, 3, v, sums):
@@ -251,7 +252,7 @@ def _scored(docs: DataFrame, vocab: Vocabulary, network: recurrent.Weights) -> D
             empty = pa.nulls(len(texts))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), batch.column(2), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()),
-                 pa.array(out[2], pa.float64()), pa.array(model_logs), empty.cast(pa.string()), empty.cast(pa.int64())],
+                 pa.array(out[2], pa.float64()), pa.array(model_logs), empty.cast(pa.binary())],
                 schema.names,
             )
             if rare[0]:
@@ -259,7 +260,7 @@ def _scored(docs: DataFrame, vocab: Vocabulary, network: recurrent.Weights) -> D
                 n = pa.nulls(len(at))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(at), n.cast(batch.column(1).type), n.cast(pa.bool_()), n.cast(pa.int64()), n.cast(pa.int64()),
-                     n.cast(pa.float64()), n.cast(pa.float64()), pa.array(rare[1]), pa.array(rare[2], pa.int64())],
+                     n.cast(pa.float64()), n.cast(pa.float64()), pa.array(rare[1], pa.binary())],
                     schema.names,
                 )
             for column in (*out, *rare):
@@ -282,13 +283,10 @@ def score_documents(docs: DataFrame) -> DataFrame:
     rows = durable(_scored(narrow, vocab, train(narrow, vocab)))
     rare = (
         rows.where("word is not null")
-        .select("row", "word", "times")
+        .select("row", F.col("word").cast("string").alias("word"))
         .join(counts, "word", "left")
         .groupBy("row")
-        .agg(
-            F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("logs"),
-            F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("known"),
-        )
+        .agg(F.sum(F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("logs"), F.count("n").alias("known"))
     )
     logs = F.coalesce("logs", F.lit(0.0))
     return (

@@ -153,13 +153,11 @@ def _states(p: Weights, table: np.ndarray, inputs: np.ndarray, start: int, h: np
     return out, h, steps
 
 
-def _by_class(classes: np.ndarray, layout: Layout):
-    """(class, rows) for each class of frequent words that occurs."""
+def _in_classes(classes: np.ndarray, layout: Layout) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+    """The places of words of frequent classes, class by class, and (class, slice of them) for each that occurs."""
     order = np.argsort(classes, kind="stable")
-    ends = np.searchsorted(classes[order], np.arange(layout.n_frequent_classes + 1))
-    for c in range(layout.n_frequent_classes):
-        if ends[c] < ends[c + 1]:
-            yield c, order[ends[c] : ends[c + 1]]
+    ends = np.searchsorted(classes[order], np.arange(layout.n_frequent_classes + 1)).tolist()
+    return order[: ends[-1]], [(c, slice(a, b)) for c, (a, b) in enumerate(zip(ends, ends[1:], strict=False)) if a < b]
 
 
 def score(p: Weights, layout: Layout, docs: list[np.ndarray], end: int, most_lanes: int = 512) -> np.ndarray:
@@ -176,10 +174,14 @@ def score(p: Weights, layout: Layout, docs: list[np.ndarray], end: int, most_lan
         classes = layout.classes(ids)
         x, sums, _ = _exps(states, p["c"], p["cb"])
         share = x[np.arange(len(ids)), classes] / sums
-        for c, rows in _by_class(classes, layout):
+        rows, parts = _in_classes(classes, layout)
+        ordered, inside = states[rows], ids[rows] % CLASS_WORDS
+        shares = np.empty(len(rows), x.dtype)
+        for c, part in parts:
             words = slice(c * CLASS_WORDS, (c + 1) * CLASS_WORDS)
-            x, sums, _ = _exps(states[rows], p["o"][:, words], p["ob"][words])
-            share[rows] *= x[np.arange(len(rows)), ids[rows] - words.start] / sums
+            x, sums, _ = _exps(ordered[part], p["o"][:, words], p["ob"][words])
+            shares[part] = x[np.arange(len(x)), inside[part]] / sums
+        share[rows] *= shares
         found = np.log(np.maximum(share, np.float32(1e-37)))
         total += np.bincount(owner[span].ravel()[real], found, len(docs))
     return total
@@ -220,14 +222,18 @@ class Trainer:
         error[np.arange(len(ids)), classes] -= 1
         g["c"], g["cb"] = states.T @ error, np.ones(len(ids), error.dtype) @ error
         back = error @ p["c"].T
-        for c, rows in _by_class(classes, layout):
+        rows, parts = _in_classes(classes, layout)
+        ordered, inside = states[rows], ids[rows] % CLASS_WORDS
+        more = np.empty_like(ordered)
+        for c, part in parts:
             words = slice(c * CLASS_WORDS, (c + 1) * CLASS_WORDS)
-            of_class = states[rows]
+            of_class = ordered[part]
             e, sums, _ = _exps(of_class, p["o"][:, words], p["ob"][words])
             e *= (1 / sums)[:, None]
-            e[np.arange(len(rows)), ids[rows] - words.start] -= 1
-            g["o"][:, words], g["ob"][words] = of_class.T @ e, np.ones(len(rows), e.dtype) @ e
-            back[rows] += e @ p["o"][:, words].T
+            e[np.arange(len(e)), inside[part]] -= 1
+            g["o"][:, words], g["ob"][words] = of_class.T @ e, np.ones(len(e), e.dtype) @ e
+            more[part] = e @ p["o"][:, words].T
+        back[rows] += more
         d_out = np.zeros((out.shape[0] * out.shape[1], HIDDEN), np.float32)
         d_out[real] = back
         d_out = d_out.reshape(out.shape)
