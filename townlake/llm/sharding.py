@@ -15,6 +15,8 @@ from townlake.llm.common import durable, running_sums, session, text_or_empty
 
 SHARDS = 8
 ROUNDS = 5
+#: Parts in which the rows of a link meet what is known of it, so that a common link is no single task.
+SALTS = 16
 
 
 def _tie(shard: str, link: str = "link") -> Column:
@@ -22,6 +24,13 @@ def _tie(shard: str, link: str = "link") -> Column:
     return F.xxhash64(link, shard)
 
 
+def _salted(rows: DataFrame, of_links: DataFrame) -> DataFrame:
+    """``rows`` (vertex, link, ...) joined to ``of_links`` by link, those of one link in SALTS parts."""
+    own = F.pmod(F.xxhash64("vertex"), F.lit(SALTS)).cast("int")
+    copies = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    return rows.withColumn("salt", own).join(of_links.withColumn("salt", copies), ["link", "salt"]).drop("salt")
+
+
 def propose_moves(members: DataFrame, labels: DataFrame) -> DataFrame:
     """vertex, shard, to: the rows whose links have most rows in another shard.
 
@@ -29,10 +38,9 @@ def propose_moves(members: DataFrame, labels: DataFrame) -> DataFrame:
     shard before they meet their members, so a link sends at most one row a shard to each member.
     """
     placed = members.join(labels, "vertex")
-    # Stored, so that Spark may split the rows of a common link over tasks.
-    counts = durable(placed.groupBy("link", F.col("shard").alias("to")).agg(F.count("*").alias("rows")))
+    counts = placed.groupBy("link", F.col("shard").alias("to")).agg(F.count("*").alias("rows"))
     votes = (
-        placed.join(counts, "link")
+        _salted(placed, counts)
         .groupBy("vertex", "to")
         .agg(
             F.sum("rows").alias("rows"),
@@ -147,8 +155,8 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS)
             F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("key"),
         )
     )
-    shared = durable(rows.groupBy("link").agg(F.count("*").alias("n")).where("n > 1").select("link"))
-    members = durable(rows.select("vertex", "link", "key").join(shared, "link").select("vertex", "link", "key"))
+    shared = rows.groupBy("link").agg(F.count("*").alias("n")).where("n > 1").select("link")
+    members = durable(_salted(rows.select("vertex", "link", "key"), shared).select("vertex", "link", "key"))
     placed = even_shards(rows.select("vertex", "key"), members, shards, rounds)
     return rows.join(placed, "vertex").select(
         "doc_id",
