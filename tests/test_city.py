@@ -120,14 +120,82 @@ def test_readers(spark, tmp_path):
     assert stats["a.geojson"].features == 2 and stats["a.geojson"].geometry_type == "Point" and stats["a.geojson"].fields == ["n", "name"]
 
 
-def test_header_repair_and_crs():
-    rows = list(readers.table_rows(iter([["", ""], ["", "Номер", "Номер"], ["x", 1.0, 2.5, "more"], ["", 3.0, ""]])))
-    assert rows == [{"col_1": "x", "Номер": "1", "Номер_2": "2.5", "col_4": "more"}, {"Номер": "3", "Номер_2": None}]
-    assert readers.epsg_of({}) == 4326 and readers.epsg_of({"crs": {"properties": {"name": "urn:ogc:def:crs:EPSG::7801"}}}) == 7801
-    with pytest.raises(ValueError):
-        readers.epsg_of({"crs": {"properties": {"name": "local"}}})
-    with pytest.raises(ValueError):
-        list(readers.collection_features([]))
+def test_header_repair_and_crs(spark):
+    rows = [["", ""], ["", "Номер", "Номер"], ["x", "1", "2.5", "more"], ["", "3", ""]]
+    cells = spark.createDataFrame([("f", 0, i, [c or None for c in r]) for i, r in enumerate(rows)], "source string, block long, at long, cells array<string>")
+    got = [r.properties for r in sorted(readers.table_features(cells).collect(), key=lambda r: int(r.fid))]
+    assert got == [{"col_1": "x", "Номер": "1", "Номер_2": "2.5", "col_4": "more"}, {"Номер": "3", "Номер_2": None}]
+    names = spark.createDataFrame([(None,), ("urn:ogc:def:crs:OGC:1.3:CRS84",), ("urn:ogc:def:crs:EPSG::7801",), ("EPSG:4326",)], "n string")
+    assert [r[0] for r in names.select(readers.epsg(F.col("n"))).collect()] == [4326, 4326, 7801, 4326]
+    with pytest.raises(Exception, match="unknown coordinate system local"):
+        names.limit(1).select(readers.epsg(F.lit("local"))).collect()
+    with pytest.raises(Exception, match="not a FeatureCollection"):
+        readers.collection_features(spark.createDataFrame([("f", "{}")], "source string, text string")).collect()
+
+
+def test_coordinate_columns(spark):
+    rows = [
+        {"Latitude (географска ширина)": "42,5", "Longtitude (географска дължина)": "23.5"}, {"lat": "42.5", "lng": "23,5"}, {"lateral": "1", "along": "2"},
+        {"platform": "1", "long": "2"}, {"lat": "n/a", "lon": "23"}, {"lat": "0", "lon": "0"}, {"lat": "99", "lon": "23"}, {"x": "23", "y": "42"},
+    ]
+    table = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, p map<string, string>")
+    got = [r[0] for r in table.orderBy("i").select(readers.point_of(F.col("p"))).collect()]
+    assert [json.loads(g)["coordinates"] for g in got[:2]] == [[23.5, 42.5]] * 2 and got[2:] == [None] * 6
+
+
+def test_csv_cells_over_lines_and_quotes(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('\ufeffa;b;c\r\n"x, y, z, w, v, u";"say ""hi""";3\r\n\r\n;;\r\n"two\nlines";"p;q";4\r\n')
+    rows = sorted(readers.read_features(spark, str(tmp_path)).collect(), key=lambda r: int(r.fid))
+    assert [r.properties for r in rows] == [{"a": "x, y, z, w, v, u", "b": 'say "hi"', "c": "3"}, {"a": "two\nlines", "b": "p;q", "c": "4"}] and [r.fid for r in rows] == ["1", "2"]
+
+
+def _workbook(path, sheets):
+    """Sheets of (name, file, rows); a cell is a number, a text, a truth value or a (number, style)."""
+    def cell(v):
+        if isinstance(v, bool):
+            return f'<c t="b"><v>{int(v)}</v></c>'
+        if isinstance(v, tuple):
+            return f'<c s="{v[1]}"><v>{v[0]}</v></c>'
+        return "<c/>" if v is None else f"<c><v>{v}</v></c>" if isinstance(v, (int, float)) else f'<c t="inlineStr"><is><t>{v}</t></is></c>'
+
+    space = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("xl/workbook.xml", f"<workbook {space}><sheets>" + "".join(f'<sheet name="{n}" r:id="r{i}"/>' for i, (n, _, _) in enumerate(sheets)) + "</sheets></workbook>")
+        z.writestr("xl/_rels/workbook.xml.rels", "<Relationships>" + "".join(f'<Relationship Id="r{i}" Target="worksheets/{f}"/>' for i, (_, f, _) in enumerate(sheets)) + "</Relationships>")
+        z.writestr("xl/styles.xml", f'<styleSheet {space}><numFmts><numFmt numFmtId="170" formatCode="dd\\.mm\\.yyyy"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="170"/><xf numFmtId="22"/></cellXfs></styleSheet>')
+        for _, file, rows in sheets:
+            z.writestr(f"xl/worksheets/{file}", f"<worksheet {space}><sheetData>" + "".join("<row>" + "".join(map(cell, r)) + "</row>" for r in rows) + "</sheetData></worksheet>")
+
+
+def test_workbooks(spark, tmp_path):
+    _workbook(tmp_path / "a.xlsx", [("A", "sheet2.xml", [["id", "when", "ok"], [133950.0, (45000, 1), True], [2.5, (45000.5, 3), None]]), ("Empty", "sheet1.xml", [[None]]), ("B", "sheet9.xml", [["k", "v"], ["x", (45001, 2)]])])
+    _workbook(tmp_path / "b.xlsx", [("Only", "sheet1.xml", [["k", "v"], ["x", "y"]])])
+    with zipfile.ZipFile(tmp_path / "c.zip", "w") as z:
+        z.write(tmp_path / "b.xlsx", "in/b.xlsx")
+    rows = {(os.path.basename(r.source.split("!/")[0]) + "".join("!/" + x for x in r.source.split("!/")[1:]), r.fid): r.properties for r in readers.read_features(spark, str(tmp_path)).collect()}
+    assert rows == {
+        ("a.xlsx!/A", "1"): {"id": "133950", "when": "2023-03-15", "ok": "true"}, ("a.xlsx!/A", "2"): {"id": "2.5", "when": "2023-03-15T12:00:00", "ok": None},
+        ("a.xlsx!/B", "1"): {"k": "x", "v": "2023-03-16"}, ("b.xlsx", "1"): {"k": "x", "v": "y"}, ("c.zip!/in/b.xlsx", "1"): {"k": "x", "v": "y"},
+    }
+
+
+def test_zipped_timetable_and_corrections(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "t.zip", "w") as z:
+        z.writestr("feed/stops.txt", '\ufeffstop_id,stop_name\r\n1,"a, b"\r\n\r\n2,\r\n')
+        z.writestr("feed/README.md", "x")
+    tables = readers.read_timetable_archive(spark, str(tmp_path / "t.zip"))
+    assert list(tables) == ["stops"] and sorted(map(tuple, tables["stops"].collect())) == [("1", "a, b"), ("2", None)]
+    with zipfile.ZipFile(tmp_path / "u.zip", "w") as z:
+        z.writestr("stops.txt", "a,b\n1\n")
+    with pytest.raises(Exception, match="stops: wrong number of cells"):
+        readers.read_timetable_archive(spark, str(tmp_path / "u.zip"))["stops"].collect()
+    stations = spark.createDataFrame([(1, "A", 1999), (2, "B", None)], "id int, name string, year int")
+    fixes = spark.createDataFrame([(2, "year", "2001", "map"), (1, "name", "AA", "sign")], "id int, field string, value string, source string")
+    good = readers.checked_corrections(fixes, stations, "id", ("name", "year"))
+    assert sorted(map(tuple, readers.corrected(stations, good, "id", ("name", "year")).collect())) == [(1, "AA", 1999), (2, "B", 2001)]
+    for bad in ((9, "name", "x", "map"), (1, "other", "x", "map"), (1, "name", "x", " ")):
+        with pytest.raises(ValueError, match="corrections"):
+            readers.checked_corrections(fixes.union(spark.createDataFrame([bad], fixes.schema)), stations, "id", ("name", "year"))
 
 
 def test_timetable_and_writers(spark, tmp_path):
@@ -267,7 +335,15 @@ def test_sandbox(spark):
     assert got["row_count"] == 200 and got["truncated"] and got["rows"][0] == [0]
     got = run_query(spark, "SELECT * FROM numbers")
     assert got["truncated"] and got["row_count"] < 100 and len(got["rows"][0][1]) == 301
-    for bad in ("", "DROP VIEW numbers", "SELECT 1; SELECT 2", "SELECT 1) x; DROP VIEW numbers --", "SELECT * FROM nowhere", "SELECT reflect('java.lang.System', 'exit', 0)", "SELECT * FROM parquet.`/etc`"):
+    refused = (
+        "", "DROP VIEW numbers", "SELECT 1; SELECT 2", "SELECT 1) x; DROP VIEW numbers --", "SELECT * FROM nowhere", "SELECT reflect('java.lang.System', 'exit', 0)",
+        "SELECT `reflect`('java.lang.System', 'exit', 0)", "SELECT * FROM parquet.`/etc`", "SELECT * FROM parquet/* */.`/etc`", "SELECT * FROM xml.`/etc`", "INSERT INTO numbers SELECT 1",
+        "WITH x AS (SELECT java_method ('java.lang.System', 'nanoTime') AS n) SELECT * FROM x",
+    )
+    for bad in refused:
         assert "error" in run_query(spark, bad), bad
+    slow = run_query(spark, "SELECT count(*) FROM range(100000000) a JOIN range(1000) b ON (a.id + b.id) % 1000003 = hash(a.id) % 1000003", 1.0)
+    assert "stopped after 1.0 seconds" in slow["error"]
+    assert run_query(spark, "WITH x AS (SELECT 1 AS a) SELECT * FROM x -- no more")["rows"] == [[1]]
     assert "numbers" in [t["table"] for t in describe_tables(spark)]
     spark.catalog.dropTempView("numbers")
