@@ -1,7 +1,7 @@
 """Connected components of a distributed edge list by alternating star contractions.
 
-Smallest neighbours are stored before they meet the edges, so that Spark may split a node with
-very many edges over tasks.
+The edges of a node meet its smallest neighbour in SALTS parts, so that a node with very many edges
+is no single task.
 """
 
 from __future__ import annotations
@@ -12,18 +12,29 @@ from pyspark.sql import functions as F
 from townlake.llm.common import durable
 
 
+#: Parts of a node's edges.
+SALTS = 8
+
+
+def _met(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """``edges`` with the ``m`` of their u."""
+    copies = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    own = F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")
+    return edges.withColumn("salt", own).join(least.withColumn("salt", copies), ["u", "salt"])
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Link every larger neighbour of a node to the node's smallest neighbour."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = durable(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+    least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+    return _met(both.where("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Link the smaller neighbours of a node, and the node itself, to the smallest of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = durable(down.groupBy("u").agg(F.min("v").alias("m")))
-    moved = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    moved = _met(down, least).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).where("u != v").distinct()
 
 
