@@ -51,6 +51,59 @@ def price_far_from_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _found(orders.where(F.col("dearest") > F.col("o_totalprice")), F.col("o_orderkey"), "an item costs more than the order")
 
 
+@rule
+def order_of_unknown_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders, customer = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    return _found(orders.join(customer, F.col("o_custkey") == F.col("c_custkey"), "left_anti"), F.col("o_orderkey"), "customer ", F.col("o_custkey"), " is not known")
+
+
+@rule
+def item_of_unknown_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
+    lost = items.join(part, F.col("l_partkey") == F.col("p_partkey"), "left_anti").groupBy("l_partkey").agg(F.count("*").alias("n"))
+    return _found(lost, F.col("l_partkey"), F.col("n"), " items of a part that is not known")
+
+
+@rule
+def nation_without_supplier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation, supplier = table(spark, sf_dir, "nation"), table(spark, sf_dir, "supplier")
+    return _found(nation.join(supplier, F.col("n_nationkey") == F.col("s_nationkey"), "left_anti"), F.col("n_name"), "no supplier")
+
+
+@rule
+def items_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.max("l_linenumber").alias("last"))
+    return _found(lines.where("n != last"), F.col("l_orderkey"), F.col("n"), " items, numbered up to ", F.col("last"))
+
+
+@rule
+def status_against_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    states = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.min("l_linestatus").alias("low"), F.max("l_linestatus").alias("high"))
+    orders = table(spark, sf_dir, "orders").join(states, F.col("o_orderkey") == F.col("l_orderkey"))
+    whole = (F.col("low") == F.col("high")) & (F.col("low") != F.col("o_orderstatus")) & F.col("o_orderstatus").isin("F", "O")
+    return _found(orders.where(whole), F.col("o_orderkey"), "order ", F.col("o_orderstatus"), ", items ", F.col("low"))
+
+
+@rule
+def price_per_unit_differs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    unit = F.round(F.col("l_extendedprice") / F.col("l_quantity"), 2)
+    spread = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.min(unit).alias("low"), F.max(unit).alias("high"))
+    return _found(spread.where("high > 1.5 * low"), F.col("l_partkey"), "dearest over half as much again as the cheapest")
+
+
+@rule
+def type_spelled_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.regexp_replace(F.lower("p_type"), r"[^\p{L}\p{N}]+", "")
+    spelled = table(spark, sf_dir, "part").groupBy(key.alias("key")).agg(F.countDistinct("p_type").alias("n"))
+    return _found(spelled.where("n > 1"), F.col("key"), F.col("n"), " spellings")
+
+
+@rule
+def value_out_of_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    odd = table(spark, sf_dir, "events").where("value < 0 or value > 250").groupBy("event_type").agg(F.count("*").alias("n"))
+    return _found(odd, F.col("event_type"), F.col("n"), " values below 0 or above 250")
+
+
 def quality_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All issues found, as (issue, entity, detail)."""
     found = [find(spark, sf_dir).select(F.lit(name).alias("issue"), "entity", "detail") for name, find in RULES.items()]
@@ -66,5 +119,15 @@ UNION ALL SELECT 'shipped_before_ordered', CAST(o_orderkey AS VARCHAR), count(*)
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_shipdate < o_orderdate GROUP BY o_orderkey
 UNION ALL SELECT 'name_used_twice', CAST(min(p_partkey) AS VARCHAR), count(*) || ' parts are named ' || p_name FROM part GROUP BY p_name HAVING count(*) > 1
 UNION ALL SELECT 'price_far_from_sum', CAST(o_orderkey AS VARCHAR), 'an item costs more than the order'
-FROM orders JOIN (SELECT l_orderkey, max(l_extendedprice) AS d FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey WHERE d > o_totalprice""",
+FROM orders JOIN (SELECT l_orderkey, max(l_extendedprice) AS d FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey WHERE d > o_totalprice
+UNION ALL SELECT 'order_of_unknown_customer', CAST(o_orderkey AS VARCHAR), 'customer ' || o_custkey || ' is not known' FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)
+UNION ALL SELECT 'item_of_unknown_part', CAST(l_partkey AS VARCHAR), count(*) || ' items of a part that is not known' FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part) GROUP BY l_partkey
+UNION ALL SELECT 'nation_without_supplier', n_name, 'no supplier' FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier)
+UNION ALL SELECT 'items_missing', CAST(l_orderkey AS VARCHAR), count(*) || ' items, numbered up to ' || max(l_linenumber) FROM lineitem GROUP BY l_orderkey HAVING count(*) <> max(l_linenumber)
+UNION ALL SELECT 'status_against_items', CAST(o_orderkey AS VARCHAR), 'order ' || o_orderstatus || ', items ' || a FROM orders
+  JOIN (SELECT l_orderkey, min(l_linestatus) AS a, max(l_linestatus) AS b FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey WHERE a = b AND a <> o_orderstatus AND o_orderstatus IN ('F', 'O')
+UNION ALL SELECT 'price_per_unit_differs', CAST(l_partkey AS VARCHAR), 'dearest over half as much again as the cheapest' FROM lineitem GROUP BY l_partkey
+  HAVING max(round(l_extendedprice / l_quantity, 2)) > 1.5e0 * min(round(l_extendedprice / l_quantity, 2))
+UNION ALL SELECT 'type_spelled_twice', k, n || ' spellings' FROM (SELECT regexp_replace(lower(p_type), '[^\\p{L}\\p{N}]+', '', 'g') AS k, count(DISTINCT p_type) AS n FROM part GROUP BY 1) WHERE n > 1
+UNION ALL SELECT 'value_out_of_range', event_type, count(*) || ' values below 0 or above 250' FROM events WHERE value < 0 OR value > 250 GROUP BY event_type""",
 }
