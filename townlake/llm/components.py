@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from townlake.llm.common import durable
+from townlake.llm.common import stored
 
 
 #: Parts of a node's edges.
@@ -42,15 +42,16 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node with an edge, root being the smallest node of its component.
 
     ``edges`` has (u, v) in any direction, with repeats or self-links. Only sums of the edges
-    reach the driver. Ends when a round changes nothing, after about log(nodes) rounds.
+    reach the driver. Ends when a round changes nothing, after about log(nodes) rounds. Each round is a
+    written table: a checkpoint keeps the estimated size of its plan, which grows to a power by rounds.
     """
-    edges = durable(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    edges = stored(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     state = None
     while True:
         sums = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if sums == state:
             break
         state = sums
-        edges = durable(_small_star(_large_star(edges)))
+        edges = stored(_small_star(_large_star(edges)), "edges")
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from townlake.llm.common import durable, running_sums, session, text_or_empty
+from townlake.llm.common import durable, running_sums, session, stored, text_or_empty
 
 SHARDS = 8
 ROUNDS = 5
@@ -77,13 +77,14 @@ def _quotas(wanted: dict[tuple[int, int], int], room: list[int]) -> list[tuple[i
 def propagate(members: DataFrame, rows: int, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
     """(vertex, shard, link, key) of all linked vertices after at most ``rounds`` rounds."""
     spark = session(members)
-    labels = durable(
+    labels = stored(
         members.groupBy("vertex")
         .agg(F.first("key").alias("key"), F.min("link").alias("link"))
-        .withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int"))
+        .withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int")),
+        "labels",
     )
     for _ in range(rounds):
-        moves = durable(propose_moves(members, labels.select("vertex", "shard")))
+        moves = stored(propose_moves(members, labels.select("vertex", "shard")), "moves")
         # At most shards * shards rows reach the driver.
         wanted = {(r["shard"], r["to"]): r["n"] for r in moves.groupBy("shard", "to").agg(F.count("*").alias("n")).collect()}
         if not wanted:
@@ -96,11 +97,8 @@ def propagate(members: DataFrame, rows: int, shards: int = SHARDS, rounds: int =
             ["shard", "to"], "one", "key", ["vertex"], digits=4,
         )
         accepted = ranked.join(F.broadcast(quotas), ["shard", "to"]).where("before < quota").select("vertex", "to")
-        labels = durable(
-            labels.join(accepted, "vertex", "left").select(
-                "vertex", "key", "link", F.coalesce("to", "shard").alias("shard")
-            )
-        )
+        moved = labels.join(accepted, "vertex", "left").select("vertex", "key", "link", F.coalesce("to", "shard").alias("shard"))
+        labels = stored(moved, "labels")
     return labels
 
 
