@@ -14,7 +14,7 @@ import __spark_entry__
 from townlake.functions.clock import clock_seconds, on_day, service_day
 from townlake.functions.text import name_key, number_key
 from townlake.operators.spatial import areas_of_points, box_rings, in_rings, inside_else_near, nearest, nearest_k, radius_join
-from townlake.operators.tables import first_per_key, snapshot_changes, upsert
+from townlake.operators.tables import first_per_key, set_counts, snapshot_changes, upsert
 from townlake.plans import CITY_ORACLES, CITY_QUERIES
 from townlake.sources import readers, writers
 from townlake.streaming import live
@@ -102,6 +102,15 @@ def test_upsert_changes_and_first_rows(spark):
     assert first_per_key(old.limit(0), ["k"], [F.col("v")]).count() == 0
 
 
+def test_events_of_sets_of_places(spark):
+    rng = random.Random(6)
+    near = [(m, p) for m in range(60) for p in rng.sample(range(30), rng.choice((1, 2, 3, 5, 13, 20)))] + [(m, 0) for m in range(60, 70)]
+    calls = [(rng.randint(0, 29), e) for e in range(200) for _ in range(rng.randint(1, 9))]
+    got = set_counts(spark.createDataFrame(near, "m int, p int"), spark.createDataFrame(calls, "p int, e int"), "m", "p", "e")
+    want = {m: len({e for p, e in calls if (m, p) in set(near)}) for m, _ in near}
+    assert {r.m: r.events for r in got.collect()} == {m: n for m, n in want.items() if n}
+
+
 def test_readers(spark, tmp_path):
     collection = {"type": "FeatureCollection", "features": [
         {"id": 7, "properties": {"name": "x", "n": 5.0}, "geometry": {"type": "Point", "coordinates": [23.3, 42.7]}},
