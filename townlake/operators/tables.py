@@ -50,10 +50,10 @@ def needs_load(catalog: DataFrame, status: DataFrame, key: str, compared: Sequen
 FEW_PLACES = 12
 
 
-def set_counts(members: DataFrame, events: DataFrame, member: str, place: str, event: str) -> DataFrame:
-    """(member, events): distinct events at any of a member's places.
+def set_counts(members: DataFrame, events: DataFrame, member: str, place: str, event: str, by: Sequence[str] = ()) -> DataFrame:
+    """(member, *by, events): distinct events at any of a member's places, for each kind ``by`` of events.
 
-    ``members`` has (member, place), ``events`` (place, event). Members with the same set of places
+    ``members`` has (member, place), ``events`` (place, event, *by). Members with the same set of places
     share one count: only distinct sets meet the events, however many members have them. In a set of
     few places the places' own counts are added up, less one for each further place of an event, so
     only events at two of its places are looked at; a set of many places meets all its events.
@@ -63,26 +63,26 @@ def set_counts(members: DataFrame, events: DataFrame, member: str, place: str, e
         .withColumn("_set", F.sha2(F.to_json("_places"), 256))
     )
     kinds = durable(sets.groupBy("_set").agg(F.first("_places").alias("_places")))
-    calls = durable(events.select(place, event).distinct())
-    held = calls.groupBy(place).agg(F.count("*").alias("_n"))
+    calls = durable(events.select(place, event, *by).distinct())
+    held = calls.groupBy(place, *by).agg(F.count("*").alias("_n"))
 
     few = kinds.where(F.size("_places") <= FEW_PLACES)
-    sums = few.select("_set", F.explode("_places").alias(place)).join(held, place).groupBy("_set").agg(F.sum("_n").alias("_sum"))
+    sums = few.select("_set", F.explode("_places").alias(place)).join(held, place).groupBy("_set", *by).agg(F.sum("_n").alias("_sum"))
     later = lambda a, i: F.transform(F.slice("_places", i + 2, F.size("_places")), lambda b: F.struct(a.alias("_a"), b.alias("_b")))
     pairs = few.select("_set", F.inline(F.flatten(F.transform("_places", later))))
     both = (
         pairs.select("_a", "_b").distinct()
-        .join(calls.select(F.col(place).alias("_a"), event), "_a")
-        .join(calls.select(F.col(place).alias("_b"), event), ["_b", event])
+        .join(calls.select(F.col(place).alias("_a"), event, *by), "_a")
+        .join(calls.select(F.col(place).alias("_b"), event, *by), ["_b", event, *by])
     )
     # An event at k places of a set is at k (k - 1) / 2 of its pairs.
-    met = pairs.join(both, ["_a", "_b"]).groupBy("_set", event).agg(F.count("*").alias("_pairs"))
-    further = met.groupBy("_set").agg(F.sum(F.round((F.sqrt(1 + 8 * F.col("_pairs")) - 1) / 2).cast("long")).alias("_further"))
-    small = sums.join(further, "_set", "left").select("_set", (F.col("_sum") - F.coalesce("_further", F.lit(0))).alias("events"))
+    met = pairs.join(both, ["_a", "_b"]).groupBy("_set", event, *by).agg(F.count("*").alias("_pairs"))
+    further = met.groupBy("_set", *by).agg(F.sum(F.round((F.sqrt(1 + 8 * F.col("_pairs")) - 1) / 2).cast("long")).alias("_further"))
+    small = sums.join(further, ["_set", *by], "left").select("_set", *by, (F.col("_sum") - F.coalesce("_further", F.lit(0))).alias("events"))
 
     many = kinds.where(F.size("_places") > FEW_PLACES).select("_set", F.explode("_places").alias(place))
-    large = many.join(calls, place).select("_set", event).distinct().groupBy("_set").agg(F.count("*").alias("events"))
-    return sets.join(small.unionByName(large), "_set").select(member, "events")
+    large = many.join(calls, place).select("_set", event, *by).distinct().groupBy("_set", *by).agg(F.count("*").alias("events"))
+    return sets.join(small.unionByName(large), "_set").select(member, *by, "events")
 
 
 def long_form(rows: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:

@@ -37,8 +37,9 @@ def transit_access(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = radius_join(homes, _stops(spark, sf_dir), REACH_M).select("c_custkey", "stop_id")
     hour = _hour()
     window = F.coalesce(*[F.when((hour >= a) & (hour < b), k) for k, (_, a, b) in enumerate(WINDOWS)])
-    trips = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("stop_id"), F.struct(window.alias("window"), F.col("l_orderkey").alias("trip")).alias("event")).where("event.window is not null")
-    by_window = set_counts_by(pairs, trips)
+    trips = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("stop_id"), F.col("l_orderkey").alias("trip"), window.alias("window")).where("window is not null")
+    counted = set_counts(pairs, trips, "c_custkey", "stop_id", "trip", ["window"])
+    by_window = counted.groupBy("c_custkey").agg(*[F.max(F.when(F.col("window") == k, F.col("events"))).alias(name) for k, (name, _, _) in enumerate(WINDOWS)])
     hours = {name: b - a for name, a, b in WINDOWS}
     near = nearest(homes, _stops(spark, sf_dir), "c_custkey", "stop_id").select("c_custkey", rounded_metres(F.col("distance_m")).alias("distance_m"))
     counts = pairs.groupBy("c_custkey").agg(F.count("*").alias("stops"))
@@ -47,15 +48,6 @@ def transit_access(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("c_custkey", "distance_m", F.coalesce("stops", F.lit(0)).alias("stops"), *per_hour)
 
 
-def set_counts_by(pairs: DataFrame, trips: DataFrame) -> DataFrame:
-    """(c_custkey, one column of distinct trips for each window)."""
-    parts = [
-        set_counts(pairs, trips.where(F.col("event.window") == k), "c_custkey", "stop_id", "event").withColumnRenamed("events", name)
-        for k, (name, _, _) in enumerate(WINDOWS)
-    ]
-    return reduce(lambda a, b: a.join(b, "c_custkey", "full_outer"), parts)
-
-
 def _levels() -> dict[str, Column]:
     return {"city": F.lit("all"), "region": F.col("n_regionkey"), "nation": F.col("c_nationkey")}
 
