@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from townlake.operators.checkpoints import durable, shared_folder
+
+__all__ = ["SPACES", "WORD", "durable", "lower_ascii", "running_sums", "session", "shared_folder", "stored", "text_or_empty", "without_spaces"]
+
 #: The white space that separates words, as characters and as the pattern of a word.
 SPACES = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -18,29 +21,6 @@ def session(df: DataFrame) -> SparkSession:
     return df.sparkSession
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder for tables that outlive an executor: ``spark.checkpoint.dir`` of the session.
-
-    Where that is unset (a local session, as in tests) a temporary folder serves; on a cluster
-    that would be a machine's own disk, so there the setting is asked for.
-    """
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local["):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="townlake-")
-        context.setCheckpointDir(folder)
-    return context.getCheckpointDir()
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder, and cut its lineage there."""
-    shared_folder(session(df))
-    return df.checkpoint()
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again."""
     path = f"{shared_folder(session(df))}/{name}-{uuid.uuid4().hex}"
@@ -66,11 +46,6 @@ def lower_ascii(text: Column) -> Column:
     return F.when(plain, F.lower(text)).otherwise(F.translate(text, capitals, capitals.lower()))
 
 
-def only(rows: DataFrame, names: Sequence[str]) -> DataFrame:
-    """The named columns; inputs may have more, under any name."""
-    return rows.select(*[F.col(f"`{name}`") for name in names])
-
-
 def running_sums(
     rows: DataFrame, group: Sequence[str], value: str, key: str, ties: Sequence[str], digits: int = 3
 ) -> DataFrame:
