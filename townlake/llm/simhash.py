@@ -36,7 +36,7 @@ FAN_OUT = 16
 #: Members of a pattern from which on it is cut into blocks.
 BLOCK = 50_000
 #: Nodes held in memory at once.
-AT_ONCE = 1 << 21
+AT_ONCE = 1 << 18
 
 
 def shingle_hashes(text: str, shingle_words: int) -> np.ndarray:
