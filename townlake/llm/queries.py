@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from townlake.llm.exact_dedup import exact_duplicates
+from townlake.llm.fill_middle import fill_in_middle_digests
 from townlake.llm.fingerprints import edited_fingerprints
 from townlake.llm.lm_scoring import score_documents
 from townlake.llm.mixing import mix_sources
@@ -71,6 +72,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(_documents(spark, sf_dir), _labels(spark, sf_dir))
 
 
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle_digests(_documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_lm_score": op2_lm_score,
@@ -82,6 +87,7 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_shard": op9_shard,
     "op10_toxicity": op10_toxicity,
+    "op13_fill_middle": op13_fill_middle,
 }
 
 ORACLES = {
@@ -132,5 +138,22 @@ WITH d AS (
 )
 SELECT doc_id, keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size, place = 1 AS kept, text_sha256
 FROM k
+""",
+    "op13_fill_middle": """
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
+), drawn AS (
+  SELECT *, CAST('0x' || h[1:8] AS BIGINT) % (n + 1) AS one, CAST('0x' || h[9:16] AS BIGINT) % (n + 1) AS two,
+         n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR CAST('0x' || h[17:24] AS BIGINT) % 100 >= 90 AS plain,
+         CAST('0x' || h[25:32] AS BIGINT) % 100 < 20 AS suffix_first
+  FROM t
+), cut AS (SELECT *, least(one, two) AS a, greatest(one, two) AS b FROM drawn)
+SELECT doc_id, CAST(n AS BIGINT) AS n, CASE WHEN plain THEN 'plain' WHEN suffix_first THEN 'spm' ELSE 'psm' END AS form,
+       CASE WHEN plain THEN NULL ELSE CAST(a AS BIGINT) END AS prefix_chars, CASE WHEN plain THEN NULL ELSE CAST(b - a AS BIGINT) END AS middle_chars,
+       sha256(CASE WHEN plain THEN text
+                   WHEN suffix_first THEN '<S>' || substr(text, b + 1) || '<P>' || substr(text, 1, a) || '<M>' || substr(text, a + 1, b - a)
+                   ELSE '<P>' || substr(text, 1, a) || '<S>' || substr(text, b + 1) || '<M>' || substr(text, a + 1, b - a) END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM cut
 """,
 }
