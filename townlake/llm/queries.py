@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from townlake.llm.alignment import alignment_digests
 from townlake.llm.exact_dedup import exact_duplicates
 from townlake.llm.fill_middle import fill_in_middle_digests
 from townlake.llm.fingerprints import edited_fingerprints
@@ -25,11 +26,11 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
-def tokenizer_path() -> str:
-    """Where the public tokenizer of the packing query lies on this machine."""
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """Where a public tokenizer lies on this machine."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,6 +73,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(_documents(spark, sf_dir), _labels(spark, sf_dir))
 
 
+def op12_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment_digests(_documents(spark, sf_dir), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle_digests(_documents(spark, sf_dir))
 
@@ -87,6 +92,7 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_shard": op9_shard,
     "op10_toxicity": op10_toxicity,
+    "op12_align": op12_align,
     "op13_fill_middle": op13_fill_middle,
 }
 
