@@ -30,12 +30,15 @@ from townlake.llm.common import stored
 #: Bits of a token id; ids must be below 2**ID_BITS - 1. Two ids and the times of a pair share 64 bits.
 ID_BITS = 17
 #: Bytes of texts that are tokenised, and whose pieces are aligned, together.
-BLOCK = 4 << 20
+BLOCK = 8 << 20
 #: Pieces whose tokens a Python worker remembers, and the longest of them.
-REMEMBERED, LONGEST_REMEMBERED = 300_000, 64
+REMEMBERED, LONGEST_REMEMBERED = 400_000, 64
+#: New pieces that the libraries are asked for in one call.
+TOGETHER = 500
 #: Pairs of ids up to which their counts are broadcast.
 MOST_BROADCAST = 2_000_000
 
+_SPACE = re.compile(r"\s")
 #: A text with a blank at an end or beside other white space is one piece.
 _UNUSUAL = re.compile(r"^ | $| \s|\s ")
 
@@ -68,7 +71,9 @@ class Tokens:
         if max(len(self.a_bytes), len(self.b_bytes)) >= (1 << ID_BITS):
             raise ValueError(f"token ids take more than {ID_BITS} bits")
         # Words can be tokenised alone only where no token holds a blank after another sign, white space aside.
-        self.by_word = not any(t.strip() and b" " in t.lstrip(b" ") for t in (*self.a_bytes, *self.b_bytes))
+        self.by_word = not any(t.decode("utf-8", "replace").strip() and b" " in t.lstrip(b" ") for t in (*self.a_bytes, *self.b_bytes))
+        self.a_lengths, self.b_lengths = (np.array(list(map(len, x)), np.int64) for x in (self.a_bytes, self.b_bytes))
+        self.line_ends = [x.index(b"\n") if b"\n" in x else -1 for x in (self.a_bytes, self.b_bytes)]
         self.known: dict[str, tuple[bytes, bytes, bytes] | None] = {}
 
     @classmethod
@@ -91,17 +96,49 @@ class Tokens:
         return tokens.tobytes(), a_ends.tobytes(), b_ends.tobytes()
 
     def ask(self, pieces: list[str]) -> list[tuple[bytes, bytes, bytes] | None]:
-        """``_coded`` of each piece, with one call to each library for those that are new."""
+        """``_coded`` of each piece; the libraries are asked for new ones only, many at a time."""
         if len(self.known) > REMEMBERED:
             self.known.clear()
         new = [p for p in pieces if p not in self.known]
-        found = {}
-        if new:
-            a = self.a.encode_batch_fast([" " + p for p in new], add_special_tokens=False)
-            b = self.b.encode(new, num_threads=1)
-            found = {p: self._coded(p, x.ids, y) for p, x, y in zip(new, a, b, strict=True)}
-            self.known.update((p, x) for p, x in found.items() if len(p) <= LONGEST_REMEMBERED)
-        return [found[p] if p in found else self.known[p] for p in pieces]
+        plain = [p for p in new if len(p) <= LONGEST_REMEMBERED and not _SPACE.search(p)]
+        for k in range(0, len(plain), TOGETHER):
+            some = plain[k : k + TOGETHER]
+            coded = self._coded_together(some)
+            if coded is None:  # a piece among them whose bytes differ
+                coded = [self._alone(p) for p in some]
+            self.known.update(zip(some, coded, strict=True))
+        own = {p: self._alone(p) for p in new if p not in self.known}
+        self.known.update((p, x) for p, x in own.items() if len(p) <= LONGEST_REMEMBERED)
+        return [own[p] if p in own else self.known[p] for p in pieces]
+
+    def _alone(self, piece: str) -> tuple[bytes, bytes, bytes] | None:
+        return self._coded(piece, self.a.encode_batch_fast([" " + piece], add_special_tokens=False)[0].ids, self.b.encode(piece))
+
+    def _coded_together(self, pieces: list[str]) -> list[tuple[bytes, bytes, bytes]] | None:
+        """``_coded`` of pieces without white space, which line ends part; None if a line end or a byte is not where it should be."""
+        joined = "\n ".join(pieces)
+        whole = b" " + joined.encode("utf-8", "surrogatepass")
+        sides = []
+        for of_b, (ids, table, lengths) in enumerate((
+            (self.a.encode_batch_fast([" " + joined], add_special_tokens=False)[0].ids, self.a_bytes, self.a_lengths),
+            (self.b.encode(joined), self.b_bytes, self.b_lengths),
+        )):
+            if b"".join(map(table.__getitem__, ids)) != whole:
+                return None
+            ids = np.array(ids, np.int64)
+            ends = np.cumsum(lengths[ids])
+            parting = np.flatnonzero(ids == self.line_ends[of_b])
+            if len(parting) != len(pieces) - 1:
+                return None
+            bounds = np.r_[-1, parting, len(ids)]
+            counts = np.diff(bounds) - 1
+            kept = np.ones(len(ids), bool)
+            kept[parting] = False
+            own_ends = ends[kept] - np.repeat(np.r_[0, ends[parting]], counts)
+            at = (8 * np.r_[0, np.cumsum(counts)]).tolist()
+            sides.append((token_number(own_ends, of_b, ids[kept]).tobytes(), own_ends.tobytes(), list(zip(at, at[1:], strict=False))))
+        (a, a_ends, a_at), (b, b_ends, b_at) = sides
+        return [(a[i:j] + b[k:m], a_ends[i:j], b_ends[k:m]) for (i, j), (k, m) in zip(a_at, b_at, strict=True)]
 
 
 def token_number(end: np.ndarray, of_b: int, ids: np.ndarray) -> np.ndarray:
@@ -175,9 +212,15 @@ def _id(token: Column) -> Column:
     return token.bitwiseAND(F.lit(ID_MASK).cast("long"))
 
 
+def _once(ids: Column) -> Column:
+    return F.transform(ids, lambda x: F.lit(1 << (2 * ID_BITS)).cast("long").bitwiseOR(x))
+
+
 def _times(ids: Column) -> Column:
     """The distinct ids of a list in their order, each with its times in the high bits."""
-    return F.transform(F.array_distinct(ids), lambda x: F.shiftleft(F.size(F.filter(ids, lambda y: y == x)).cast("long"), 2 * ID_BITS).bitwiseOR(x))
+    count = lambda x: F.size(F.filter(ids, lambda y: y == x)).cast("long")
+    counted = lambda found: F.transform(found, lambda x: F.shiftleft(count(x), 2 * ID_BITS).bitwiseOR(x))
+    return _let(F.array_distinct(ids), lambda found: F.when(F.size(found) == F.size(ids), _once(ids)).otherwise(counted(found)))
 
 
 def pair_number(a: Column, b: Column) -> Column:
@@ -186,6 +229,11 @@ def pair_number(a: Column, b: Column) -> Column:
     return F.shiftleft(both, 2 * ID_BITS).bitwiseOR(F.shiftleft(_id(a), ID_BITS)).bitwiseOR(_id(b))
 
 
+def _linked(a: Column, b: Column) -> Column:
+    """The links of a group of one token of each side."""
+    return F.lit(1 << (2 * ID_BITS)).cast("long").bitwiseOR(F.shiftleft(a, ID_BITS)).bitwiseOR(b)
+
+
 def _group(tokens: Column) -> Column:
     """The text form and the links of one group, whose tokens are in the order of their ends."""
     of_b = F.lit(1 << ID_BITS).cast("long")
@@ -193,16 +241,19 @@ def _group(tokens: Column) -> Column:
     def ids(side: Column) -> Column:
         return F.transform(F.filter(tokens, lambda t: t.bitwiseAND(of_b) == side), _id)
 
-    def linked(a: Column, b: Column) -> Column:
-        single = F.array(F.shiftleft(F.lit(1).cast("long"), 2 * ID_BITS).bitwiseOR(F.shiftleft(a[0], ID_BITS)).bitwiseOR(b[0]))
-        many = F.flatten(F.transform(_times(a), lambda x: F.transform(_times(b), lambda y: pair_number(x, y))))
-        return F.when((F.size(a) == 1) & (F.size(b) == 1), single).otherwise(many)
+    def made(a: Column, b: Column) -> Column:
+        text = F.concat(F.array_join(a.cast("array<string>"), ","), F.lit("|"), F.array_join(b.cast("array<string>"), ","))
+        links = _let(_times(b), lambda right: F.flatten(F.transform(_times(a), lambda x: F.transform(right, lambda y: pair_number(x, y)))))
+        return F.struct(text.alias("text"), links.alias("links"))
 
-    text = lambda a, b: F.concat(F.array_join(a.cast("array<string>"), ","), F.lit("|"), F.array_join(b.cast("array<string>"), ","))
-    made = lambda a, b: F.struct(text(a, b).alias("text"), linked(a, b).alias("links"))
     return _let(ids(F.lit(0).cast("long")), lambda a: _let(ids(of_b), lambda b: made(a, b)))
 
 
+def _single(a: Column, b: Column) -> Column:
+    """``_group`` of one token of each side, as most groups are."""
+    return F.struct(F.concat(a.cast("string"), F.lit("|"), b.cast("string")).alias("text"), F.array(_linked(a, b)).alias("links"))
+
+
 def _aligned(piece: Column) -> Column:
     """The groups of a piece: how many, their text form and their links.
 
@@ -216,11 +267,11 @@ def _aligned(piece: Column) -> Column:
     def groups(sorted_: Column) -> Column:
         at = F.filter(F.sequence(F.lit(1), F.size(sorted_)), lambda k: is_mark(sorted_[k - 1]))
 
-        def cut(at: Column) -> Column:
-            start = lambda g: F.when(g == 0, 1).otherwise(at[g - 1] + 1)
-            return F.transform(at, lambda end, g: _group(F.slice(sorted_, start(g), end - start(g))))
+        def group(end: Column, last: Column) -> Column:
+            single = _single(_id(sorted_[end - 3]), _id(sorted_[end - 2]))
+            return F.when(end - last == 3, single).otherwise(_group(F.slice(sorted_, last + 1, end - last - 1)))
 
-        return _let(at, cut)
+        return _let(at, lambda at: F.transform(at, lambda end, g: group(end, F.when(g == 0, 0).otherwise(at[g - 1]))))
 
     def whole(groups: Column) -> Column:
         text = F.array_join(F.transform(groups, lambda g: g["text"]), ";")
