@@ -1,8 +1,8 @@
 """Alignment of two tokenizers' tokens by the byte places where both end.
 
 Python tokenises and does nothing else. It gives one row for each block of texts: the distinct pieces
-of the block (a blank and what follows it up to the next; no token of either tokenizer reaches over
-that border) as the ends and ids of their tokens, and of each text the places of its pieces. From
+of the block (a blank or line ends and what follows up to the next; no token of either tokenizer
+reaches over that border) as the ends and ids of their tokens, and of each text the places of its pieces. From
 there on all is array functions: the ends that both have cut the tokens of a piece into groups, a
 group's tokens are linked, and a text's groups are those of its pieces. So each distinct piece of a
 block is aligned once, however often it occurs.
@@ -30,17 +30,18 @@ from townlake.llm.common import stored
 #: Bits of a token id; ids must be below 2**ID_BITS - 1. Two ids and the times of a pair share 64 bits.
 ID_BITS = 17
 #: Bytes of texts that are tokenised, and whose pieces are aligned, together.
-BLOCK = 8 << 20
+BLOCK = 4 << 20
 #: Pieces whose tokens a Python worker remembers, and the longest of them.
-REMEMBERED, LONGEST_REMEMBERED = 400_000, 64
+REMEMBERED, LONGEST_REMEMBERED = 150_000, 64
 #: New pieces that the libraries are asked for in one call.
 TOGETHER = 500
 #: Pairs of ids up to which their counts are broadcast.
 MOST_BROADCAST = 2_000_000
 
-_SPACE = re.compile(r"\s")
-#: A text with a blank at an end or beside other white space is one piece.
-_UNUSUAL = re.compile(r"^ | $| \s|\s ")
+#: Line ends begin pieces of their own, as a blank does.
+_LINES = re.compile(r"\n+")
+#: A text with a blank beside other white space, or any at its start, is one piece.
+_UNUSUAL = re.compile(r"^\s| $| \s|\s ")
 
 
 def byte_level_table() -> dict[str, int]:
@@ -73,8 +74,9 @@ class Tokens:
         # Words can be tokenised alone only where no token holds a blank after another sign, white space aside.
         self.by_word = not any(t.decode("utf-8", "replace").strip() and b" " in t.lstrip(b" ") for t in (*self.a_bytes, *self.b_bytes))
         self.a_lengths, self.b_lengths = (np.array(list(map(len, x)), np.int64) for x in (self.a_bytes, self.b_bytes))
-        self.line_ends = [x.index(b"\n") if b"\n" in x else -1 for x in (self.a_bytes, self.b_bytes)]
-        self.known: dict[str, tuple[bytes, bytes, bytes] | None] = {}
+        #: Tokens by piece; what is asked for again moves from the older ones to the others before those are dropped.
+        self.known: dict[str, bytes | None] = {}
+        self.older: dict[str, bytes | None] = {}
 
     @classmethod
     def of(cls, a_path: str, b_path: str) -> Tokens:
@@ -86,81 +88,85 @@ class Tokens:
         piece = self.b.id_to_piece(i)
         return bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode()
 
-    def _coded(self, text: str, a_ids: list[int], b_ids: list[int]) -> tuple[bytes, bytes, bytes] | None:
-        """Token numbers (end, whether it is B's, id) and the ends of A and of B; None if the bytes differ."""
-        a, b = [self.a_bytes[i] for i in a_ids], [self.b_bytes[i] for i in b_ids]
-        if not (b"".join(a) == b"".join(b) == b" " + text.encode("utf-8", "surrogatepass")):
-            return None
-        a_ends, b_ends = (np.cumsum(list(map(len, x)), dtype=np.int64) for x in (a, b))
-        tokens = np.concatenate([token_number(a_ends, 0, np.array(a_ids)), token_number(b_ends, 1, np.array(b_ids))])
-        return tokens.tobytes(), a_ends.tobytes(), b_ends.tobytes()
-
-    def ask(self, pieces: list[str]) -> list[tuple[bytes, bytes, bytes] | None]:
-        """``_coded`` of each piece; the libraries are asked for new ones only, many at a time."""
+    def ask(self, pieces: list[str]) -> list[bytes | None]:
+        """The token numbers of each piece, A's and then B's; the libraries are asked for new ones only, many at a time.
+
+        None for a piece that the bytes of either side's tokens do not give back.
+        """
         if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = [p for p in pieces if p not in self.known]
-        plain = [p for p in new if len(p) <= LONGEST_REMEMBERED and not _SPACE.search(p)]
-        for k in range(0, len(plain), TOGETHER):
-            some = plain[k : k + TOGETHER]
-            coded = self._coded_together(some)
-            if coded is None:  # a piece among them whose bytes differ
-                coded = [self._alone(p) for p in some]
-            self.known.update(zip(some, coded, strict=True))
-        own = {p: self._alone(p) for p in new if p not in self.known}
-        self.known.update((p, x) for p, x in own.items() if len(p) <= LONGEST_REMEMBERED)
-        return [own[p] if p in own else self.known[p] for p in pieces]
-
-    def _alone(self, piece: str) -> tuple[bytes, bytes, bytes] | None:
-        return self._coded(piece, self.a.encode_batch_fast([" " + piece], add_special_tokens=False)[0].ids, self.b.encode(piece))
-
-    def _coded_together(self, pieces: list[str]) -> list[tuple[bytes, bytes, bytes]] | None:
-        """``_coded`` of pieces without white space, which line ends part; None if a line end or a byte is not where it should be."""
-        joined = "\n ".join(pieces)
-        whole = b" " + joined.encode("utf-8", "surrogatepass")
-        sides = []
+            self.older, self.known = self.known, {}
+        known, new = self.known, []
+        for p in pieces:
+            if p not in known:
+                if p in self.older:
+                    known[p] = self.older[p]
+                else:
+                    new.append(p)
+        long, found = [p for p in new if len(p) > LONGEST_REMEMBERED], {}
+        for some, into in ((long, found), ([p for p in new if len(p) <= LONGEST_REMEMBERED], known)):
+            for k in range(0, len(some), TOGETHER):
+                part = some[k : k + TOGETHER]
+                # None: there is a piece among them whose bytes differ.
+                into.update(zip(part, self._together(part) or [(self._together([p]) or [None])[0] for p in part], strict=True))
+        return [known[p] if p in known else found[p] for p in pieces]
+
+    def whole(self, text: str) -> bytes | None:
+        """The token numbers of a text that is one piece."""
+        surface = " " + text
+        found = self._numbers(surface, np.array([0, len(surface.encode("utf-8", "surrogatepass"))]))
+        return found[0] if found else None
+
+    def _together(self, pieces: list[str]) -> list[bytes] | None:
+        """The token numbers of pieces that are asked for as one text, after a word of no use."""
+        surfaces = [" a", *(p if p[:1] == "\n" else " " + p for p in pieces)]
+        bounds = np.cumsum([0, *(len(x.encode("utf-8", "surrogatepass")) for x in surfaces)])
+        found = self._numbers("".join(surfaces), bounds)
+        return found and found[1:]
+
+    def _numbers(self, surface: str, bounds: np.ndarray) -> list[bytes] | None:
+        """Token numbers of what lies between the byte places ``bounds``; None if bytes differ or a token lies over one."""
+        expected, sides = surface.encode("utf-8", "surrogatepass"), []
         for of_b, (ids, table, lengths) in enumerate((
-            (self.a.encode_batch_fast([" " + joined], add_special_tokens=False)[0].ids, self.a_bytes, self.a_lengths),
-            (self.b.encode(joined), self.b_bytes, self.b_lengths),
+            (self.a.encode_batch_fast([surface], add_special_tokens=False)[0].ids, self.a_bytes, self.a_lengths),
+            (self.b.encode(surface[1:]), self.b_bytes, self.b_lengths),
         )):
-            if b"".join(map(table.__getitem__, ids)) != whole:
+            if b"".join(map(table.__getitem__, ids)) != expected:
                 return None
             ids = np.array(ids, np.int64)
             ends = np.cumsum(lengths[ids])
-            parting = np.flatnonzero(ids == self.line_ends[of_b])
-            if len(parting) != len(pieces) - 1:
+            cuts = np.searchsorted(ends, bounds[1:])
+            if (ends[cuts] != bounds[1:]).any():
                 return None
-            bounds = np.r_[-1, parting, len(ids)]
-            counts = np.diff(bounds) - 1
-            kept = np.ones(len(ids), bool)
-            kept[parting] = False
-            own_ends = ends[kept] - np.repeat(np.r_[0, ends[parting]], counts)
-            at = (8 * np.r_[0, np.cumsum(counts)]).tolist()
-            sides.append((token_number(own_ends, of_b, ids[kept]).tobytes(), own_ends.tobytes(), list(zip(at, at[1:], strict=False))))
-        (a, a_ends, a_at), (b, b_ends, b_at) = sides
-        return [(a[i:j] + b[k:m], a_ends[i:j], b_ends[k:m]) for (i, j), (k, m) in zip(a_at, b_at, strict=True)]
+            at = np.r_[0, cuts + 1]
+            numbers = token_number(ends - np.repeat(bounds[:-1], np.diff(at)), of_b, ids).tobytes()
+            sides.append([numbers[i:j] for i, j in zip((8 * at).tolist(), (8 * at[1:]).tolist(), strict=False)])
+        return [a + b for a, b in zip(*sides, strict=True)]
 
 
 def token_number(end: np.ndarray, of_b: int, ids: np.ndarray) -> np.ndarray:
     return (end << (ID_BITS + 1)) | (of_b << ID_BITS) | ids
 
 
-def _lists(parts: list[bytes]) -> pa.ListArray:
-    sizes = np.array([len(x) for x in parts], np.int64) // 8
-    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(parts), np.int64)))
+def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(values))
 
 
 def tokenised_block(ids: pa.Array, texts: list[str], tokens: Tokens) -> pa.RecordBatch:
     """One row: ``pieces`` of a block of texts, and ``texts`` with their ids and the places of their pieces."""
     whole = [not tokens.by_word or bool(_UNUSUAL.search(t)) for t in texts]
-    words = pc.split_pattern(pa.array(["" if w else t for t, w in zip(texts, whole, strict=True)], pa.large_string()), " ")
+    parted = [_LINES.sub(r" \g<0>", t) if not w and "\n" in t else "" if w else t for t, w in zip(texts, whole, strict=True)]
+    words = pc.split_pattern(pa.array(parted, pa.large_string()), " ")
     coded = words.values.dictionary_encode()
     distinct = coded.dictionary.to_pylist()
-    own = [t for t, w in zip(texts, whole, strict=True) if w]
-    found = tokens.ask(distinct + own)
+    found = tokens.ask(distinct) + [tokens.whole(t) for t, w in zip(texts, whole, strict=True) if w]
     index, offsets = coded.indices.to_numpy(zero_copy_only=False).astype(np.int32), words.offsets.to_numpy()
     wrong = np.array([x is None for x in found], bool)
+    flat = np.frombuffer(b"".join([x or b"" for x in found]), np.int64)
+    sizes = np.array([len(x or b"") for x in found], np.int64) // 8
+    of_b = (flat >> ID_BITS & 1).astype(bool)
+    before = np.r_[0, np.cumsum(of_b)][np.r_[0, np.cumsum(sizes)]]
+    b_sizes = np.diff(before)
+    a_sizes = sizes - b_sizes
     places, later = [], len(distinct)
     for k, (text, w) in enumerate(zip(texts, whole, strict=True)):
         if w:
@@ -168,11 +174,10 @@ def tokenised_block(ids: pa.Array, texts: list[str], tokens: Tokens) -> pa.Recor
         else:
             of_text = index[offsets[k] : offsets[k + 1]]
         places.append(np.zeros(0, np.int32) if not text or wrong[of_text].any() else of_text)
-    a, b = (np.array([0 if x is None else len(x[k]) // 8 for x in found], np.int64) for k in (1, 2))
-    counts = [pa.array([int(n[p].sum()) for p in places], pa.int64()) for n in (a, b)]
-    offsets = np.cumsum([0, *map(len, places)]).astype(np.int32)
-    of_texts = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(places)))
-    parts = [_lists([b"" if x is None else x[k] for x in found]) for k in range(3)]
+    counts = [pa.array([int(n[p].sum()) for p in places], pa.int64()) for n in (a_sizes, b_sizes)]
+    of_texts = _lists(np.concatenate(places), np.array(list(map(len, places)), np.int64))
+    ends = flat >> (ID_BITS + 1)
+    parts = [_lists(flat, sizes), _lists(ends[~of_b], a_sizes), _lists(ends[of_b], b_sizes)]
     row = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
     pieces = pa.StructArray.from_arrays(parts, ["tokens", "a_ends", "b_ends"])
     return pa.RecordBatch.from_arrays([row(pieces), row(pa.StructArray.from_arrays([ids, *counts, of_texts], ["doc_id", "n_a", "n_b", "places"]))], ["pieces", "texts"])
@@ -254,14 +259,20 @@ def _single(a: Column, b: Column) -> Column:
     return F.struct(F.concat(a.cast("string"), F.lit("|"), b.cast("string")).alias("text"), F.array(_linked(a, b)).alias("links"))
 
 
+def _one_to_one(piece: Column) -> Column:
+    """The groups of a piece of which each token of A ends where one of B ends."""
+    n = F.size(piece["a_ends"])
+    links = F.zip_with(F.slice(piece["tokens"], 1, n), F.slice(piece["tokens"], n + 1, n), lambda a, b: _linked(_id(a), _id(b)))
+    form = lambda x: F.concat(_id(F.shiftright(x, ID_BITS)).cast("string"), F.lit("|"), _id(x).cast("string"))
+    return _let(links, lambda links: F.struct(n.cast("long").alias("n"), F.array_join(F.transform(links, form), ";").alias("text"), links.alias("links")))
+
+
 def _aligned(piece: Column) -> Column:
     """The groups of a piece: how many, their text form and their links.
 
     The ends that both have, as numbers that follow all tokens which end there, are sorted among the
     tokens: what lies between two of them is a group.
     """
-    common = F.array_intersect(piece["a_ends"], piece["b_ends"])
-    marks = F.transform(common, lambda e: F.shiftleft(e, ID_BITS + 1).bitwiseOR(F.lit(MARK).cast("long")))
     is_mark = lambda t: t.bitwiseAND(F.lit(MARK).cast("long")) == MARK
 
     def groups(sorted_: Column) -> Column:
@@ -277,8 +288,14 @@ def _aligned(piece: Column) -> Column:
         text = F.array_join(F.transform(groups, lambda g: g["text"]), ";")
         return F.struct(F.size(groups).cast("long").alias("n"), text.alias("text"), F.flatten(F.transform(groups, lambda g: g["links"])).alias("links"))
 
-    # A piece whose bytes differ has no tokens, and no text has it.
-    return _let(_let(F.sort_array(F.concat(piece["tokens"], marks)), lambda s: F.when(F.size(s) > 0, groups(s))), whole)
+    def of(common: Column) -> Column:
+        marks = F.transform(common, lambda e: F.shiftleft(e, ID_BITS + 1).bitwiseOR(F.lit(MARK).cast("long")))
+        both = (F.size(common) == F.size(piece["a_ends"])) & (F.size(common) == F.size(piece["b_ends"]))
+        mixed = _let(_let(F.sort_array(F.concat(piece["tokens"], marks)), groups), whole)
+        # A piece whose bytes differ has no tokens, and no text has it.
+        return F.when(both, _one_to_one(piece)).when(F.size(common) > 0, mixed)
+
+    return _let(F.array_intersect(piece["a_ends"], piece["b_ends"]), of)
 
 
 def align(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
