@@ -8,6 +8,7 @@ from townlake.llm.alignment import alignment_digests
 from townlake.llm.exact_dedup import exact_duplicates
 from townlake.llm.fill_middle import fill_in_middle_digests
 from townlake.llm.fingerprints import edited_fingerprints
+from townlake.llm.language import identify_language
 from townlake.llm.lm_scoring import score_documents
 from townlake.llm.mixing import mix_sources
 from townlake.llm.packing import pack_documents
@@ -73,6 +74,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(_documents(spark, sf_dir), _labels(spark, sf_dir))
 
 
+def op11_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_language(_documents(spark, sf_dir))
+
+
 def op12_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment_digests(_documents(spark, sf_dir), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
 
@@ -92,6 +97,7 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_shard": op9_shard,
     "op10_toxicity": op10_toxicity,
+    "op11_language": op11_language,
     "op12_align": op12_align,
     "op13_fill_middle": op13_fill_middle,
 }
