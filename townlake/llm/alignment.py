@@ -30,9 +30,9 @@ from townlake.llm.common import stored
 #: Bits of a token id; ids must be below 2**ID_BITS - 1. Two ids and the times of a pair share 64 bits.
 ID_BITS = 17
 #: Bytes of texts that are tokenised, and whose pieces are aligned, together.
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 #: Pieces whose tokens a Python worker remembers, and the longest of them.
-REMEMBERED, LONGEST_REMEMBERED = 150_000, 64
+REMEMBERED, LONGEST_REMEMBERED = 100_000, 64
 #: New pieces that the libraries are asked for in one call.
 TOGETHER = 500
 #: Pairs of ids up to which their counts are broadcast.
