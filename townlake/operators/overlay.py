@@ -10,7 +10,8 @@ from townlake.operators.spatial import box_overlaps
 from townlake.operators.tables import first_per_key
 
 
-def _bounded(rows: DataFrame, key: str) -> DataFrame:
+def bounded(rows: DataFrame, key: str) -> DataFrame:
+    """(key, rings, area, x0, y0, x1, y1): polygons with their bounds."""
     xs, ys = F.transform(F.flatten("rings"), lambda p: p["x"]), F.transform(F.flatten("rings"), lambda p: p["y"])
     area = F.aggregate("rings", F.lit(0.0), lambda s, ring: s + signed_area(ring))
     bounds = {"x0": F.array_min(xs), "y0": F.array_min(ys), "x1": F.array_max(xs), "y1": F.array_max(ys)}
@@ -23,7 +24,7 @@ def overlay(left: DataFrame, right: DataFrame, left_id: str, right_id: str, cell
     Candidates are those whose bounds overlap, found by grid cells of ``cell_size`` degrees; the
     shared area is exact, with holes and parts. The names of the ids must differ.
     """
-    pairs = box_overlaps(_bounded(left, left_id), _bounded(right, right_id), cell_size)
+    pairs = box_overlaps(bounded(left, left_id), bounded(right, right_id), cell_size)
     shared = pairs.withColumn("_shared", overlap_area(F.col("rings_l"), F.col("rings_r"))).where("_shared > 0")
     return shared.select(
         F.col("key_l").alias(left_id),

@@ -91,6 +91,38 @@ def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, firs
     )
 
 
+def nearest_outline(points: DataFrame, areas: DataFrame, point_id: str, area_id: str, first_metres: float = 1000.0) -> DataFrame:
+    """(point_id, area_id, distance_m): the area that a point is in, at 0, else the nearest outline; the lower id on ties.
+
+    Outlines are cut into pieces no longer than the radius that is searched, found by their middles and
+    measured one by one, so no outline is copied whole to anywhere. The radius doubles until each
+    point has found one; the last is without a bound. Distances are those of ``metres_to_edges``.
+    """
+    point = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    inside = areas_of_points(points, areas, point_id, area_id).select(point_id, area_id, F.lit(0.0).alias("distance_m"))
+    each = areas.select(area_id, F.explode(edges_of(F.col("rings"))).alias("e")).select(area_id, "e.*")
+    each = durable(each.withColumn("_long", distance_m(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))))
+    done = durable(inside)
+    open_, metres = durable(points.select(point_id, "lon", "lat").join(done.select(point_id), point_id, "left_anti")), first_metres
+    while not open_.isEmpty():
+        last = metres >= FARTHEST_M
+        n = F.greatest(F.lit(1), F.ceil(F.col("_long") / metres)).cast("int")
+        cut = each.withColumn("_n", n).withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+        at = lambda a, b, k: F.col(a) + (F.col(b) - F.col(a)) * k / F.col("_n")
+        ends = {"_ax": at("ax", "bx", F.col("_k")), "_ay": at("ay", "by", F.col("_k")), "_bx": at("ax", "bx", F.col("_k") + 1), "_by": at("ay", "by", F.col("_k") + 1)}
+        pieces = cut.select(area_id, *[c.alias(k) for k, c in ends.items()])
+        middles = pieces.withColumns({"lon": (F.col("_ax") + F.col("_bx")) / 2, "lat": (F.col("_ay") + F.col("_by")) / 2})
+        near = radius_join(open_, middles, 1.51 * metres).withColumn("distance_m", metres_to_edges(F.array(F.array(point("_ax", "_ay"), point("_bx", "_by"))), F.col("lon"), F.col("lat")))
+        found = near if last else near.where(F.col("distance_m") <= metres)
+        found = durable(found.groupBy(point_id).agg(F.min(F.struct("distance_m", area_id)).alias("best")).select(point_id, F.col(f"best.{area_id}").alias(area_id), F.col("best.distance_m").alias("distance_m")))
+        done = done.unionByName(found)
+        if last:
+            break
+        open_ = durable(open_.join(found.select(point_id), point_id, "left_anti"))
+        metres = min(2 * metres, FARTHEST_M)
+    return done
+
+
 def edges_of(rings: Column) -> Column:
     """The edges (ax, ay, bx, by) of a polygon's rings."""
 
