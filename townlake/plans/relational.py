@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from townlake.functions.values import share
 from townlake.operators.rollup import area_rollup
+from townlake.operators.selection import exact_percentiles
 from townlake.operators.tables import (
     first_per_key,
     long_form,
@@ -49,16 +50,13 @@ def latest_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 def price_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact medians of all and of open orders, at two levels."""
     orders = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    median = lambda x: F.round(F.percentile(x, 0.5), 2)
-    return area_rollup(
-        orders,
-        {"city": F.lit("all"), "segment": F.col("c_mktsegment")},
-        {
-            "orders": F.count("*"),
-            "median_price": median(F.col("o_totalprice")),
-            "median_open": median(F.when(F.col("o_orderstatus") == "O", F.col("o_totalprice"))),
-        },
-    )
+    levels = {"city": F.lit("all"), "segment": F.col("c_mktsegment")}
+    counts = area_rollup(orders, levels, {"orders": F.count("*")})
+    each = F.explode(F.array(*[F.struct(F.lit(kind).alias("area_kind"), key.alias("area_id")) for kind, key in levels.items()]))
+    facts = orders.select(each.alias("level"), "o_totalprice", "o_orderstatus").select("level.*", "o_totalprice", "o_orderstatus")
+    price = F.col("o_totalprice")
+    medians = exact_percentiles(facts, ["area_kind", "area_id"], {"price": price, "open": F.when(F.col("o_orderstatus") == "O", price)})
+    return counts.join(medians, ["area_kind", "area_id"]).select("area_kind", "area_id", "orders", F.round("price", 2).alias("median_price"), F.round("open", 2).alias("median_open"))
 
 
 def commonest_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,8 +101,8 @@ def two_level_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def orders_per_supplier_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct orders that touch any of the suppliers that a small part is bought from."""
-    calls = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part").where("p_size <= 2"), F.col("l_partkey") == F.col("p_partkey"))
+    """Distinct orders that touch any of the suppliers that a brand's parts are bought from."""
+    calls = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
     return set_counts(calls, calls, "p_brand", "l_suppkey", "l_orderkey")
 
 
@@ -223,7 +221,7 @@ FROM nation GROUP BY n_regionkey""",
 SELECT * FROM c WHERE parts > 1.1e0 * (SELECT avg(parts) FROM c) AND small > 0""",
     "two_level_totals": """WITH u AS (SELECT c_nationkey AS k, count(*) AS n FROM customer GROUP BY 1 UNION ALL SELECT s_nationkey, count(*) FROM supplier GROUP BY 1)
 SELECT n_regionkey, CAST(sum(n) AS BIGINT) AS n, max(n) AS most FROM u JOIN nation ON k = n_nationkey GROUP BY 1""",
-    "orders_per_supplier_set": """WITH c AS (SELECT p_brand, l_suppkey, l_orderkey FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size <= 2)
+    "orders_per_supplier_set": """WITH c AS (SELECT p_brand, l_suppkey, l_orderkey FROM lineitem JOIN part ON l_partkey = p_partkey)
 SELECT a.p_brand, count(DISTINCT b.l_orderkey) AS events FROM (SELECT DISTINCT p_brand, l_suppkey FROM c) a JOIN c b USING (l_suppkey) GROUP BY 1""",
     "share_of_total": """SELECT event_type, count(*) AS n, round(count(*) / CAST(sum(count(*)) OVER () AS DOUBLE), 4) AS part,
        row_number() OVER (ORDER BY count(*) DESC, event_type) AS place FROM events GROUP BY 1""",
