@@ -176,3 +176,18 @@ def test_a_hot_link_meets_its_counts_in_parts(spark):
     sizes = Counter(i % 8 for i in range(3000) if i % 3)
     most = {s for s, n in sizes.items() if n == max(sizes.values())}
     assert set(moves.values()) <= most and all(i % 3 for i in moves)
+
+
+def test_mix_keeps_columns_of_any_name(spark):
+    """Names that the mix uses itself come back as they were."""
+    from townlake.llm.mixing import mixed_documents
+
+    own = ["_size", "_name", "_taken", "_id", "_nth", "_words", "_first", "size", "name", "id", "taken", "nth", "words", "first", "new_text", "row", "key", "target", "source_size", "before"]
+    rows = [(i, " ".join(f"w{k}" for k in range(i % 7)), f"s{i % 3}", i % 7 * 3, *[f"{c}-{i}" for c in own]) for i in range(30)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars int, " + ", ".join(f"`{c}` string" for c in own))
+    got = mixed_documents(table)
+    plain = mixed_documents(table.select("doc_id", "text", "source", "n_chars"))
+    assert got.columns == table.columns
+    assert all(r[c] == f"{c}-{r.doc_id}" for r in got.collect() for c in own)
+    key = lambda df: sorted((r.doc_id, r.text, r.n_chars) for r in df.collect())
+    assert key(got) == key(plain)

@@ -94,39 +94,31 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
 
     The one row of a source at which its budget ends comes with its first words only, joined by
     spaces. Rows without words are kept once: they cost nothing. n_chars, where there is such a
-    column, counts the code points of the text returned.
+    column, counts the code points of the text returned. Columns may have any names.
     """
-    key = ["_id", "_name", "_size"]
-
-    def keyed(rows: DataFrame) -> DataFrame:
-        return rows.withColumns(
-            {
-                "_id": F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit("")),
-                "_name": F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")),
-            }
-        )
-
-    taken = keyed(mix_sources(docs).withColumnRenamed("size", "_size")).groupBy(*key).agg(
-        F.sort_array(F.collect_list("taken"), False).alias("_taken")
+    key = ["id", "name", "size"]
+    named = lambda doc_id, source: {"id": F.coalesce(F.concat(F.lit("="), doc_id.cast("string")), F.lit("")), "name": F.coalesce(F.concat(F.lit("="), source), F.lit(""))}
+    taken = mix_sources(docs.select("doc_id", "source", "text")).withColumns(named(F.col("doc_id"), F.col("source"))).groupBy(*key).agg(
+        F.sort_array(F.collect_list("taken"), False).alias("taken")
     )
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    # The row waits in a struct, so its names meet none of those made here.
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    text = F.col("row.text")
+    size = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
     repeats = Window.partitionBy(*key).orderBy(*key)
     rows = (
-        keyed(docs.withColumn("_size", size))
+        whole.withColumns({"size": size, **named(F.col("row.doc_id"), F.col("row.source"))})
         .join(taken, key)
-        .withColumn("_nth", F.row_number().over(repeats))
-        .withColumn("_words", F.element_at("_taken", F.col("_nth")))
+        .withColumn("nth", F.row_number().over(repeats))
+        .withColumn("words", F.element_at("taken", F.col("nth")))
     )
-    full = F.when(F.col("_size") == 0, F.lit(1)).otherwise(F.expr("_words div _size"))
-    rest = F.when(F.col("_size") == 0, F.lit(0)).otherwise(F.col("_words") % F.col("_size"))
+    full = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.expr("words div size"))
+    rest = F.when(F.col("size") == 0, F.lit(0)).otherwise(F.col("words") % F.col("size"))
     copies = F.concat(
         F.array_repeat(F.lit(-1).cast("long"), full.cast("int")),
         F.when(rest > 0, F.array(rest.cast("long"))).otherwise(F.array().cast("array<bigint>")),
     )
-    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})")), F.lit(1), F.col("_first").cast("int")), " ")
-    out = rows.withColumn("_first", F.explode(copies)).withColumn(
-        "text", F.when(F.col("_first") < 0, F.col("text")).otherwise(cut)
-    )
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_first") < 0, F.col("n_chars")).otherwise(F.length("text")))
-    return out.select(*docs.columns)
+    cut = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(f"({WORD})")), F.lit(1), F.col("first").cast("int")), " ")
+    out = rows.withColumn("first", F.explode(copies)).withColumn("new_text", F.when(F.col("first") < 0, text).otherwise(cut))
+    changed = {"text": F.col("new_text"), "n_chars": F.when(F.col("first") < 0, F.col("row.n_chars")).otherwise(F.length("new_text")) if "n_chars" in docs.columns else None}
+    return out.select(*[changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
