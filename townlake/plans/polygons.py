@@ -7,14 +7,17 @@ from pyspark.sql import functions as F
 
 from townlake.functions.arrangement import valid
 from townlake.functions.outlines import planar_area
+from townlake.operators.borders import simplified_together
 from townlake.operators.polygons import dissolved, intersections, with_proper_rings
 from townlake.operators.spatial import box_rings, nearest_outline
-from townlake.plans.tables import BOXES_SQL, BUILDINGS_SQL, boxes, buildings, table
+from townlake.plans.tables import BOXES_SQL, BUILDINGS_SQL, SOUTH, WEST, boxes, buildings, table
 
 #: A hole in each area, from its lower left corner: x and y of its own corners, in degrees.
 HOLE = (0.03, 0.03, 0.06, 0.05)
 #: How far zones lie to the north-east of areas.
 EAST, NORTH = 0.035, 0.025
+#: Bends up to which borders are made straight, in degrees.
+BEND = 0.0025
 #: A park in each area, from its lower left corner; parks whose area's key this divides are planned.
 PARK, PLANNED = (0.02, 0.02, 0.05, 0.045), 3
 
@@ -86,7 +89,23 @@ def nearest_park(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (zone_pieces, repaired_outlines, dissolved_regions, nearest_park)}
+def simplified_borders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A grid of areas whose common borders have a bend each, thinned together: points and size of each area."""
+    column, row = F.col("area") % 5, F.floor(F.col("area") / 5)
+    x, y = (lambda i: F.lit(WEST) + i * 0.09), (lambda j: F.lit(SOUTH) + j * 0.08)
+    upright = lambda i, j: (x(i) + (i * 7 + j * 3) % 5 * 0.001, y(j) + 0.04)
+    level = lambda i, j: (x(i) + 0.045, y(j) + (i * 3 + j * 7) % 5 * 0.001)
+    corner = lambda i, j: (x(i), y(j))
+    ring = _ring(
+        corner(column, row), level(column, row), corner(column + 1, row), upright(column + 1, row),
+        corner(column + 1, row + 1), level(column, row + 1), corner(column, row + 1), upright(column, row),
+    )
+    areas = boxes(spark, sf_dir).select("area", F.array(ring).alias("rings"))
+    thin = simplified_together(areas, "area", BEND)
+    return thin.select("area", F.size(F.get("rings", F.lit(0))).cast("long").alias("points"), _size(F.col("rings")))
+
+
+QUERIES = {f.__name__: f for f in (zone_pieces, repaired_outlines, dissolved_regions, nearest_park, simplified_borders)}
 
 
 def _overlap(a: str, b: str, low: str, high: str) -> str:
@@ -123,4 +142,8 @@ FROM (SELECT DISTINCT n_regionkey, x, x2, y, y2 FROM b JOIN xs ON x0 <= x AND x2
 )
 SELECT c_custkey, CASE WHEN a.m <= b.m + 300 THEN a.park ELSE b.park END AS park, a.m <= b.m + 300 AS existing,
        CAST(round(CASE WHEN a.m <= b.m + 300 THEN a.m ELSE b.m END) AS BIGINT) AS metres FROM n""",
+    "simplified_borders": """WITH n AS (SELECT n_nationkey AS area, n_nationkey % 5 AS i, n_nationkey // 5 AS j FROM nation),
+b AS (SELECT area, ((i + 1) * 7 + j * 3) % 5 AS east, (i * 7 + j * 3) % 5 AS west, (i * 3 + (j + 1) * 7) % 5 AS north, (i * 3 + j * 7) % 5 AS south FROM n),
+k AS (SELECT area, unnest([east, west, north, south]) AS bend, unnest([0.04e0, -0.04e0, 0.045e0, -0.045e0]) AS part FROM b)
+SELECT area, 5 + count(*) FILTER (bend > 2) AS points, round((0.0072e0 + sum(CASE WHEN bend > 2 THEN part * bend * 0.001e0 ELSE 0e0 END)) * 1e6, 3) AS size FROM k GROUP BY 1""",
 }
