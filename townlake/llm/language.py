@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -80,24 +80,45 @@ class WordGrams:
         self.known: dict[str, np.ndarray] = {}
         self.chars = 0
 
-    def features(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """The distinct buckets of a text's n-grams, in order, and how often each occurs."""
-        counts = Counter(words_of(text))
+    def learn(self, words: Iterable[str]) -> None:
+        """Those of all words that some texts have, which are asked for next."""
         if len(self.known) > REMEMBERED or self.chars > REMEMBERED_CHARS:
             self.known, self.chars = {}, 0
-        new = [w for w in counts if w not in self.known]
+        new = list({w for w in words if w not in self.known})
         if new:
             buckets, sizes = grams(new)
-            self.known.update(zip(new, np.split(buckets, np.cumsum(sizes)[:-1]), strict=True))
+            buckets, at = buckets.astype(np.int32), np.r_[0, np.cumsum(sizes)].tolist()
+            self.known.update((w, buckets[a:b]) for w, a, b in zip(new, at, at[1:], strict=False))
             self.chars += sum(map(len, new))
+
+    def of(self, counts: Counter) -> list[np.ndarray]:
+        return [self.known[w] for w in counts]
+
+    def features(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct buckets of a text's n-grams, in order, and how often each occurs."""
+        counts = Counter(words_of(text))
+        self.learn(counts)
         if not counts:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        parts = [self.known[w] for w in counts]
+        parts = self.of(counts)
         times = np.repeat(np.fromiter(counts.values(), np.int64, len(counts)), [len(p) for p in parts])
-        buckets, place = np.unique(np.concatenate(parts), return_inverse=True)
+        buckets, place = np.unique(np.concatenate(parts).astype(np.int64), return_inverse=True)
         return buckets, np.bincount(place, weights=times, minlength=len(buckets)).astype(np.int64)
 
 
+def count_documents(batches: Iterator[pa.RecordBatch]) -> tuple[int, np.ndarray]:
+    """How many texts there are, and in how many of them an n-gram of each bucket occurs."""
+    words, n, texts = WordGrams(), np.zeros(BUCKETS, np.int64), 0
+    for batch in batches:
+        texts += len(batch)
+        for k in range(0, len(batch), BLOCK):
+            found = [set(words_of(t or "")) for t in batch.column(0).slice(k, BLOCK).to_pylist()]
+            words.learn(w for own in found for w in own)
+            for own in filter(None, found):
+                n[np.concatenate(words.of(own))] += 1  # a bucket counts once, however often it is there
+    return texts, n
+
+
 class Learner:
     """Multinomial logistic regression by follow-the-regularised-leader with an elastic net."""
 
@@ -181,16 +202,15 @@ class Scorer:
         if len(self.place) > REMEMBERED or self.chars > REMEMBERED_CHARS:
             self._forget()
         some, out = np.zeros(len(texts), bool), np.zeros((len(texts), len(self.model.names)))
-        for k, text in enumerate(texts):
-            counts = Counter(words_of(text))
-            if not counts:
-                continue
-            new = [w for w in counts if w not in self.place]
-            if new:
-                self._learn(new)
-            at = np.fromiter(map(self.place.__getitem__, counts), np.int64, len(counts))
-            times = np.fromiter(counts.values(), np.float64, len(counts))
-            some[k], out[k] = True, times @ self.sums[at] / (times @ self.sizes[at]) + self.model.intercepts
+        found = [Counter(words_of(text)) for text in texts]
+        new = list({w for counts in found for w in counts if w not in self.place})
+        if new:
+            self._learn(new)
+        for k, counts in enumerate(found):
+            if counts:
+                at = np.fromiter(map(self.place.__getitem__, counts), np.int64, len(counts))
+                times = np.fromiter(counts.values(), np.float64, len(counts))
+                some[k], out[k] = True, times @ self.sums[at] / (times @ self.sizes[at]) + self.model.intercepts
         return some, out
 
     def __call__(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
@@ -208,11 +228,7 @@ def document_frequencies(docs: DataFrame) -> DataFrame:
     """(bucket, n): in how many texts of ``docs`` (text) an n-gram of each bucket occurs; bucket -1 has the number of texts."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, n, texts = WordGrams(), np.zeros(BUCKETS, np.int64), 0
-        for batch in batches:
-            texts += len(batch)
-            for text in batch.column(0).to_pylist():
-                n[words.features(text or "")[0]] += 1
+        texts, n = count_documents(batches)
         found = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, found]), pa.array(np.r_[texts, n[found]])], ["bucket", "n"])
 
