@@ -34,7 +34,7 @@ def distance_m(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column
     plane = F.sqrt(north * north + east * east)
     half = lambda a: F.pow(F.sin(F.radians(a) / 2), F.lit(2.0))
     chord = half(lat2 - lat1) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * half(apart)
-    sphere = 2 * MEAN_RADIUS_M * F.asin(F.sqrt(F.least(F.lit(1.0), chord)))
+    sphere = 2 * MEAN_RADIUS_M * F.asin(F.sqrt(F.when(chord > 1, 1.0).otherwise(chord)))
     return F.when((plane <= NEAR_M) & (F.greatest(F.abs(lat1), F.abs(lat2)) <= NEAR_POLE), plane).otherwise(sphere)
 
 

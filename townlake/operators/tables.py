@@ -88,3 +88,17 @@ def set_counts(members: DataFrame, events: DataFrame, member: str, place: str, e
 def long_form(rows: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     """(key, indicator, value): one row for each of ``columns`` that is not null."""
     return rows.unpivot(key, [F.col(c).cast("double").alias(c) for c in columns], "indicator", "value").where("value is not null")
+
+
+def defined_values(rows: DataFrame, definitions: DataFrame, key: str, properties: str) -> DataFrame:
+    """(key, indicator, value): what ``definitions`` (indicator, field, factor, base) say of each row's ``properties``.
+
+    Properties are a map of texts. A value is its field times its factor, by the base if one is named; fields
+    that are no number, and bases that are none or 0, give no row. One scan, whatever the number
+    of definitions: rows are unfolded and meet them by name.
+    """
+    number = lambda c: c.try_cast("double")
+    unfolded = rows.select(key, properties, F.explode(F.map_entries(properties)).alias("_e")).select(key, properties, F.col("_e.key").alias("field"), number(F.col("_e.value")).alias("_v"))
+    met = unfolded.join(definitions, "field")
+    base = F.when(F.col("base").isNull(), F.lit(1.0)).otherwise(F.nullif(number(F.try_element_at(properties, F.col("base"))), F.lit(0.0)))
+    return met.withColumn("value", F.col("_v") * F.col("factor") / base).where("value is not null").select(key, "indicator", "value")
