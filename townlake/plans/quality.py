@@ -1,4 +1,4 @@
-"""Data-quality rules: each is a query of its own, all share one form."""
+"""Data-quality rules in one form: those on the same rows share one pass, the others are queries of their own."""
 
 from __future__ import annotations
 
@@ -30,67 +30,24 @@ def customer_without_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _found(customer.join(orders, F.col("c_custkey") == F.col("o_custkey"), "left_anti").where("c_acctbal < 0"), F.col("c_custkey"), "no orders, balance below zero")
 
 
-@rule
-def shipped_before_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
-    early = items.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).where("l_shipdate < o_orderdate")
-    counts = early.groupBy("o_orderkey").agg(F.count("*").alias("n"))
-    return _found(counts, F.col("o_orderkey"), F.col("n"), " items shipped before the order")
-
-
 @rule
 def name_used_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
     twice = table(spark, sf_dir, "part").groupBy("p_name").agg(F.count("*").alias("n"), F.min("p_partkey").alias("first")).where("n > 1")
     return _found(twice, F.col("first"), F.col("n"), " parts are named ", F.col("p_name"))
 
 
-@rule
-def price_far_from_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sums = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.max("l_extendedprice").alias("dearest"))
-    orders = table(spark, sf_dir, "orders").join(sums, F.col("o_orderkey") == F.col("l_orderkey"))
-    return _found(orders.where(F.col("dearest") > F.col("o_totalprice")), F.col("o_orderkey"), "an item costs more than the order")
-
-
 @rule
 def order_of_unknown_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders, customer = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
     return _found(orders.join(customer, F.col("o_custkey") == F.col("c_custkey"), "left_anti"), F.col("o_orderkey"), "customer ", F.col("o_custkey"), " is not known")
 
 
-@rule
-def item_of_unknown_part(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
-    lost = items.join(part, F.col("l_partkey") == F.col("p_partkey"), "left_anti").groupBy("l_partkey").agg(F.count("*").alias("n"))
-    return _found(lost, F.col("l_partkey"), F.col("n"), " items of a part that is not known")
-
-
 @rule
 def nation_without_supplier(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation, supplier = table(spark, sf_dir, "nation"), table(spark, sf_dir, "supplier")
     return _found(nation.join(supplier, F.col("n_nationkey") == F.col("s_nationkey"), "left_anti"), F.col("n_name"), "no supplier")
 
 
-@rule
-def items_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.max("l_linenumber").alias("last"))
-    return _found(lines.where("n != last"), F.col("l_orderkey"), F.col("n"), " items, numbered up to ", F.col("last"))
-
-
-@rule
-def status_against_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    states = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.min("l_linestatus").alias("low"), F.max("l_linestatus").alias("high"))
-    orders = table(spark, sf_dir, "orders").join(states, F.col("o_orderkey") == F.col("l_orderkey"))
-    whole = (F.col("low") == F.col("high")) & (F.col("low") != F.col("o_orderstatus")) & F.col("o_orderstatus").isin("F", "O")
-    return _found(orders.where(whole), F.col("o_orderkey"), "order ", F.col("o_orderstatus"), ", items ", F.col("low"))
-
-
-@rule
-def price_per_unit_differs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    unit = F.round(F.col("l_extendedprice") / F.col("l_quantity"), 2)
-    spread = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.min(unit).alias("low"), F.max(unit).alias("high"))
-    return _found(spread.where("high > 1.5 * low"), F.col("l_partkey"), "dearest over half as much again as the cheapest")
-
-
 @rule
 def type_spelled_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.regexp_replace(F.lower("p_type"), r"[^\p{L}\p{N}]+", "")
@@ -104,10 +61,49 @@ def value_out_of_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _found(odd, F.col("event_type"), F.col("n"), " values below 0 or above 250")
 
 
+def _together(facts: DataFrame, checks: dict[str, tuple[Column, Column, list[Column | str]]]) -> DataFrame:
+    """(issue, entity, detail) of rules on the same rows: each is a condition, an entity and the parts of a detail."""
+    issues = []
+    for name, (condition, entity, detail) in checks.items():
+        parts = [F.lit(d) if isinstance(d, str) else F.coalesce(d.cast("string"), F.lit("")) for d in detail]
+        issues.append(F.when(condition, F.struct(F.lit(name).alias("issue"), entity.cast("string").alias("entity"), F.concat(*parts).alias("detail"))))
+    return facts.select(F.inline(F.filter(F.array(*issues), lambda i: i.isNotNull())))
+
+
+def order_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four rules on an order and its items, of one pass over both."""
+    items, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    met = items.join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    facts = met.groupBy("l_orderkey").agg(
+        F.count("*").alias("n"), F.max("l_linenumber").alias("last"), F.max("l_extendedprice").alias("dearest"), F.min("l_linestatus").alias("low"), F.max("l_linestatus").alias("high"),
+        F.count_if(F.col("l_shipdate") < F.col("o_orderdate")).alias("early"), F.max("o_totalprice").alias("price"), F.max("o_orderstatus").alias("status"),
+    )
+    c, key = F.col, F.col("l_orderkey")
+    whole = (c("low") == c("high")) & (c("low") != c("status")) & c("status").isin("F", "O")
+    return _together(facts, {
+        "shipped_before_ordered": (c("early") > 0, key, [c("early"), " items shipped before the order"]),
+        "price_far_from_sum": (c("dearest") > c("price"), key, ["an item costs more than the order"]),
+        "items_missing": (c("n") != c("last"), key, [c("n"), " items, numbered up to ", c("last")]),
+        "status_against_items": (whole, key, ["order ", c("status"), ", items ", c("low")]),
+    })
+
+
+def item_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two rules on the items of a part, of one pass."""
+    unit = F.round(F.col("l_extendedprice") / F.col("l_quantity"), 2)
+    items = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.count("*").alias("n"), F.min(unit).alias("low"), F.max(unit).alias("high"))
+    facts = items.join(table(spark, sf_dir, "part").select("p_partkey"), F.col("l_partkey") == F.col("p_partkey"), "left")
+    c, key = F.col, F.col("l_partkey")
+    return _together(facts, {
+        "item_of_unknown_part": (c("p_partkey").isNull(), key, [c("n"), " items of a part that is not known"]),
+        "price_per_unit_differs": (c("high") > 1.5 * c("low"), key, ["dearest over half as much again as the cheapest"]),
+    })
+
+
 def quality_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All issues found, as (issue, entity, detail)."""
-    found = [find(spark, sf_dir).select(F.lit(name).alias("issue"), "entity", "detail") for name, find in RULES.items()]
-    return reduce(DataFrame.unionByName, found)
+    alone = [find(spark, sf_dir).select(F.lit(name).alias("issue"), "entity", "detail") for name, find in RULES.items()]
+    return reduce(DataFrame.unionByName, [*alone, order_issues(spark, sf_dir), item_issues(spark, sf_dir)])
 
 
 QUERIES = {"quality_issues": quality_issues}
