@@ -11,7 +11,7 @@ from townlake.functions import arrangement
 from townlake.functions.geo import distance_m
 from townlake.functions.shapes import metres_to_edges
 from townlake.operators import polygons
-from townlake.operators.spatial import in_rings, nearest, nearest_k, nearest_outline
+from townlake.operators.spatial import in_rings, lines_of_points, nearest, nearest_k, nearest_outline
 from tests.test_shapes import square, star
 
 RINGS = "array<array<struct<x: double, y: double>>>"
@@ -199,3 +199,11 @@ def test_distances_have_no_gap_between_ellipsoid_and_sphere(spark):
     rows = spark.createDataFrame([(lat, lat + d) for lat in (0.0, 42.5, 84.0) for d in (0.895, 0.905)], "a double, b double")
     for r in rows.withColumn("m", distance_m(F.lit(20.0), F.col("a"), F.lit(20.0), F.col("b"))).collect():
         assert r.m == pytest.approx((r.b - r.a) * 111_195, rel=0.006)
+
+
+def test_lines_in_blocks_are_as_long_as_whole_ones(spark):
+    rng = random.Random(3)
+    points = [(rng.choice("ab"), i * 7, 23 + rng.random(), 42 + rng.random()) for i in range(300)] + [("c", 5, 1.0, 2.0), ("a", 4, None, 2.0), (None, 1, 1.0, 1.0), (None, 2, 1.0, 1.1)]
+    table = spark.createDataFrame(points, "line string, n long, lon double, lat double").repartition(4)
+    whole, parts = ({r.line: (round(r.metres, 3), r.points, r.west, r.north) for r in lines_of_points(table, "line", "n", block).collect()} for block in (10**6, 50))
+    assert whole == parts and whole["c"][:2] == (0, 1) and whole[None][1] == 2 and whole["a"][0] > 1e6

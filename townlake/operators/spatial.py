@@ -123,6 +123,28 @@ def nearest_outline(points: DataFrame, areas: DataFrame, point_id: str, area_id:
     return done
 
 
+def lines_of_points(points: DataFrame, line: str, order: str, block: int = 10_000) -> DataFrame:
+    """(line, metres, points, west, east, south, north): the way through each line's points by the whole number ``order``.
+
+    Points are measured within blocks of ``block`` numbers; then the blocks' ends are joined up, one row
+    a block. No line is held as a whole. Points without a place are left out; of equal numbers the
+    westernmost comes first.
+    """
+    placed = points.where("lon is not null and lat is not null").select(line, order, "lon", "lat", F.floor(F.col(order) / block).alias("_block"))
+    before = lambda c, w: F.lag(c).over(w)
+    within = Window.partitionBy(line, "_block").orderBy(order, "lon", "lat")
+    steps = placed.withColumn("_m", distance_m(before("lon", within), before("lat", within), F.col("lon"), F.col("lat")))
+    at, place = F.struct(order, "lon", "lat"), F.struct("lon", "lat")
+    blocks = steps.groupBy(line, "_block").agg(
+        F.sum("_m").alias("_m"), F.count("*").alias("points"), F.min_by(place, at).alias("_first"), F.max_by(place, at).alias("_last"),
+        F.min("lon").alias("west"), F.max("lon").alias("east"), F.min("lat").alias("south"), F.max("lat").alias("north"),
+    )
+    last = F.lag("_last").over(Window.partitionBy(line).orderBy("_block"))
+    joined = blocks.withColumn("_to", last).withColumn("_gap", distance_m(F.col("_to.lon"), F.col("_to.lat"), F.col("_first.lon"), F.col("_first.lat")))
+    metres = F.sum(F.coalesce("_m", F.lit(0.0)) + F.coalesce("_gap", F.lit(0.0))).alias("metres")
+    return joined.groupBy(line).agg(metres, F.sum("points").alias("points"), F.min("west").alias("west"), F.max("east").alias("east"), F.min("south").alias("south"), F.max("north").alias("north"))
+
+
 def edges_of(rings: Column) -> Column:
     """The edges (ax, ay, bx, by) of a polygon's rings."""
 

@@ -8,9 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from townlake.functions.outlines import cut_to_box, geometry_kind, is_simple, planar_area, point_on_surface, points_of, wkt
-from townlake.functions.shapes import length_m
 from townlake.operators.overlay import overlay
-from townlake.operators.spatial import areas_of_points, box_rings, nearest_k
+from townlake.operators.spatial import areas_of_points, box_rings, lines_of_points, nearest_k
 from townlake.plans.tables import BOXES_SQL, BUILDINGS_SQL, FACILITIES_SQL, boxes, buildings, facilities, metres_sql
 
 #: Half the width and half the height of a hexagon, in degrees.
@@ -60,13 +59,9 @@ def hexagon_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def nation_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The extent of each nation's buildings and the length of the line through them in the order of their keys."""
-    homes = buildings(spark, sf_dir)
-    point = F.struct("c_custkey", F.col("lon").alias("x"), F.col("lat").alias("y"))
-    lines = homes.groupBy("c_nationkey").agg(
-        F.array_sort(F.collect_list(point)).alias("line"), F.min("lon").alias("west"), F.max("lon").alias("east"), F.min("lat").alias("south"), F.max("lat").alias("north")
-    )
+    lines = lines_of_points(buildings(spark, sf_dir), "c_nationkey", "c_custkey")
     extent = [F.round(c, 6).alias(c) for c in ("west", "east", "south", "north")]
-    return lines.select("c_nationkey", F.round(length_m(F.col("line"))).cast("long").alias("metres"), F.size("line").cast("long").alias("points"), *extent)
+    return lines.select("c_nationkey", F.round("metres").cast("long").alias("metres"), "points", *extent)
 
 
 def three_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
