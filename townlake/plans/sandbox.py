@@ -19,6 +19,10 @@ MOST_FEATURES, MOST_BYTES = 5_000, 8_000_000
 _DENIED = re.compile(r"(?i)\b(java_method|reflect|try_reflect|input_file_name|input_file_block_start|input_file_block_length|version|current_user|session_user)\(")
 
 
+#: A session has one setting of what a query may read; it is changed for one query at a time, while that is analysed.
+_ANALYSING = threading.Lock()
+
+
 class Refused(ValueError):
     """A text that is not one query over the registered tables."""
 
@@ -32,6 +36,10 @@ class _Sandboxed:
     def __enter__(self) -> DataFrame:
         if not self.query:
             raise Refused("the query is empty")
+        with _ANALYSING:
+            return self._analysed()
+
+    def _analysed(self) -> DataFrame:
         setting = "spark.sql.runSQLOnFiles"
         before = self.spark.conf.get(setting, "true")
         self.spark.conf.set(setting, "false")  # files are no tables, however they are written
