@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from townlake.operators.checkpoints import durable, shared_folder
 
-__all__ = ["SPACES", "WORD", "durable", "lower_ascii", "running_sums", "session", "shared_folder", "stored", "text_or_empty", "without_spaces"]
+__all__ = ["SPACES", "WORD", "durable", "give_back_memory", "lower_ascii", "running_sums", "session", "shared_folder", "stored", "text_or_empty", "without_spaces"]
 
 #: The white space that separates words, as characters and as the pattern of a word.
 SPACES = " \t\n\x0b\x0c\r"
@@ -28,6 +31,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return session(df).read.parquet(path)
 
 
+def give_back_memory() -> None:
+    """Return to the system what a Python worker no longer uses: the tasks of earlier stages ran in the same process."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

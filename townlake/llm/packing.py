@@ -49,9 +49,10 @@ class TokenBytes:
     of texts in one call; a block's ids are then gathered from those of its distinct pieces.
     """
 
-    _made: dict[str, TokenBytes] = {}
+    _made: dict[tuple[str, int], TokenBytes] = {}
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, remembered: int = REMEMBERED) -> None:
+        self.remembered = remembered
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -62,10 +63,10 @@ class TokenBytes:
         self.known = [dict(x) for x in self.fresh]
 
     @classmethod
-    def of(cls, path: str) -> TokenBytes:
-        if path not in cls._made:
-            cls._made[path] = cls(path)
-        return cls._made[path]
+    def of(cls, path: str, remembered: int = REMEMBERED) -> TokenBytes:
+        if (path, remembered) not in cls._made:
+            cls._made[path, remembered] = cls(path, remembered)
+        return cls._made[path, remembered]
 
     def _encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
@@ -100,7 +101,7 @@ class TokenBytes:
     def _of_pieces(self, pieces: list[str]) -> list[bytes]:
         """The ids of pieces between blanks: a word, or lines' last and first words, or a text's first."""
         for held, fresh in zip(self.known, self.fresh, strict=True):
-            if len(held) > REMEMBERED:
+            if len(held) > self.remembered:
                 held.clear()
                 held.update(fresh)
         bare, after_blank = self.known
@@ -265,7 +266,7 @@ def _blocks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.slice(a, b - a)
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, remembered: int = REMEMBERED) -> DataFrame:
     """One row per placed piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A document is the ids of its whole text (null: empty) and then id 0, so an empty text is one
@@ -278,7 +279,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = TokenBytes.of(tokenizer_path)
+        tokens = TokenBytes.of(tokenizer_path, remembered)
         packer = Packer(capacity, TaskContext.get().partitionId() << 33)
 
         def placed() -> pa.RecordBatch:
