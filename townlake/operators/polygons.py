@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,12 +30,26 @@ def intersections(left: DataFrame, right: DataFrame, left_id: str, right_id: str
     return made.select(F.col("key_l").alias(left_id), F.col("key_r").alias(right_id), rings_of(F.col("_pieces")).alias("rings"))
 
 
+def once_per_shape(rows: DataFrame, made: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``rows`` with the columns that ``made`` adds to (shape), the distinct ones of their ``rings``, dealt out to all tasks."""
+    shapes = rows.select(F.col("rings").alias("shape")).distinct().repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    found = made(shapes).withColumnRenamed("shape", "_of")
+    return rows.join(found, F.col("rings").eqNullSafe(F.col("_of"))).drop("_of")
+
+
 def with_proper_rings(rows: DataFrame) -> DataFrame:
-    """``rows`` with ``was_valid``, and with ``rings`` mended where they were not proper; null rings become none."""
+    """``rows`` with ``was_valid``, and with ``rings`` mended where they were not proper; null rings become none.
+
+    Rows with equal rings share the work.
+    """
     none = F.array().cast("array<array<struct<x: double, y: double>>>")
-    judged = rows.withColumn("was_valid", valid(F.col("rings"))).withColumn("_rings", F.coalesce("rings", none))
-    mended = judged.withColumn("_pieces", repaired(F.when(F.col("was_valid"), none).otherwise(F.col("_rings"))))
-    return mended.withColumn("rings", F.when(F.col("was_valid"), F.col("rings")).otherwise(rings_of(F.col("_pieces")))).drop("_pieces", "_rings")
+
+    def mended(shapes: DataFrame) -> DataFrame:
+        judged = shapes.withColumn("was_valid", valid(F.col("shape"))).withColumn("_pieces", F.coalesce("shape", none))
+        judged = judged.withColumn("_pieces", repaired(F.when(F.col("was_valid"), none).otherwise(F.col("_pieces"))))
+        return judged.select("shape", "was_valid", F.when(F.col("was_valid"), F.col("shape")).otherwise(rings_of(F.col("_pieces"))).alias("_mended"))
+
+    return once_per_shape(rows, mended).withColumn("rings", F.col("_mended")).drop("_mended")
 
 
 def _place(low: Column, high: Column, reach: float) -> Column:
@@ -82,4 +98,4 @@ def dissolved(rows: DataFrame, keys: list[str]) -> DataFrame:
     return state.select(*[F.col(n).alias(k) for n, k in zip(names, keys, strict=True)], rings_of(F.col("shape")).alias("rings"))
 
 
-__all__ = ["PIECES", "dissolved", "intersections", "with_proper_rings"]
+__all__ = ["PIECES", "dissolved", "intersections", "once_per_shape", "with_proper_rings"]

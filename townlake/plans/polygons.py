@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from townlake.functions.arrangement import valid
 from townlake.functions.outlines import planar_area
 from townlake.operators.borders import simplified_together
-from townlake.operators.polygons import dissolved, intersections, with_proper_rings
+from townlake.operators.polygons import dissolved, intersections, once_per_shape, with_proper_rings
 from townlake.operators.spatial import box_rings, nearest_outline
 from townlake.plans.tables import BOXES_SQL, BUILDINGS_SQL, SOUTH, WEST, boxes, buildings, table
 
@@ -63,8 +63,12 @@ def repaired_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     outside = _ring((x0 + 2, y0), (x0 + 2, y1), (x1 + 2, y1), (x1 + 2, y0))
     kind = F.col("p_partkey") % 4
     rings = F.when(kind == 0, F.array(box)).when(kind == 1, F.array(bow_tie)).when(kind == 2, F.array(spike)).otherwise(F.array(box, outside))
-    mended = with_proper_rings(rows.withColumn("rings", rings))
-    return mended.select("p_partkey", "was_valid", F.round(planar_area(F.col("rings")) * 1e6, 3).alias("size"), valid(F.col("rings")).alias("valid"))
+
+    def judged(shapes: DataFrame) -> DataFrame:
+        mended = with_proper_rings(shapes.withColumn("rings", F.col("shape")))
+        return mended.select("shape", "was_valid", _size(F.col("rings")), valid(F.col("rings")).alias("valid"))
+
+    return once_per_shape(rows.select("p_partkey", rings.alias("rings")), judged).select("p_partkey", "was_valid", "size", "valid")
 
 
 def dissolved_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
