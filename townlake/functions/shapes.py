@@ -71,14 +71,27 @@ def metres_to_edges(rings: Column, lon: Column, lat: Column) -> Column:
     east = F.radians(F.lit(1.0)) * SEMI_MAJOR_M / F.sqrt(w) * F.cos(F.radians(lat))
     north = F.radians(F.lit(1.0)) * SEMI_MAJOR_M * (1 - ECCENTRICITY_2) / (w * F.sqrt(w))
 
-    def apart(e: Column) -> Column:
-        ax, ay = (e["a"]["x"] - lon) * east, (e["a"]["y"] - lat) * north
-        dx, dy = (e["b"]["x"] - e["a"]["x"]) * east, (e["b"]["y"] - e["a"]["y"]) * north
-        long2 = dx * dx + dy * dy
-        t = F.when(long2 > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), -(ax * dx + ay * dy) / F.nullif(long2, F.lit(0.0))))).otherwise(0.0)
-        return F.sqrt((ax + t * dx) * (ax + t * dx) + (ay + t * dy) * (ay + t * dy))
-
-    return F.array_min(F.transform(F.flatten(F.transform(rings, edges)), apart))
+    # Each step is a list of its own, so that what is used twice is worked out once.
+    def seen(p: Column) -> Column:
+        def vector(e: Column) -> Column:
+            ax, ay = (e["a"]["x"] - p["lon"]) * p["east"], (e["a"]["y"] - p["lat"]) * p["north"]
+            dx, dy = (e["b"]["x"] - e["a"]["x"]) * p["east"], (e["b"]["y"] - e["a"]["y"]) * p["north"]
+            return F.struct(ax.alias("ax"), ay.alias("ay"), dx.alias("dx"), dy.alias("dy"))
+
+        def foot(v: Column) -> Column:
+            ax, ay, dx, dy = (v[c] for c in ("ax", "ay", "dx", "dy"))
+            long2 = dx * dx + dy * dy
+            t = F.when(long2 > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), -(ax * dx + ay * dy) / F.nullif(long2, F.lit(0.0))))).otherwise(0.0)
+            return F.struct(v.alias("v"), t.alias("t"))
+
+        def apart(f: Column) -> Column:
+            x, y = f["v"]["ax"] + f["t"] * f["v"]["dx"], f["v"]["ay"] + f["t"] * f["v"]["dy"]
+            return F.sqrt(x * x + y * y)
+
+        return F.array_min(F.transform(F.transform(F.transform(F.flatten(F.transform(rings, edges)), vector), foot), apart))
+
+    place = F.struct(lon.alias("lon"), lat.alias("lat"), east.alias("east"), north.alias("north"))
+    return F.get(F.transform(F.array(place), seen), F.lit(0))
 
 
 def rings_of_geojson(geometry: Column) -> Column:
