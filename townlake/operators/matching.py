@@ -132,11 +132,12 @@ def numbers_of(text: Column, longest: int = 200) -> Column:
     return F.array_distinct(F.flatten(F.transform(parts, of_part)))
 
 
-def nearest_of_key(left: DataFrame, right: DataFrame, left_id: str, right_id: str, key: str, kind: str, most: int = 10_000) -> DataFrame:
+def nearest_of_key(left: DataFrame, right: DataFrame, left_id: str, right_id: str, key: str, kind: str, most: int = 100) -> DataFrame:
     """(left_id, right_id, agrees, distance_m): of the right rows with the same ``key`` the one of the same kind, then the nearest.
 
     Rows without a place come after those with one, then the lowest right id. A key of at most ``most``
-    right rows is a join; within a larger one places are searched by cells in growing rings.
+    right rows is a join; within a larger one places are searched by cells in growing rings, once for
+    rows of one place, key and kind. So a left row meets few right ones, however many share its key.
     """
     theirs = right.select(F.col(right_id), F.col(key).alias("_key"), F.col(kind).alias("_kind"), F.col("lon").alias("_lon"), F.col("lat").alias("_lat"))
     counts = durable(theirs.groupBy("_key").agg(F.count("*").alias("_n")))
@@ -151,9 +152,9 @@ def nearest_of_key(left: DataFrame, right: DataFrame, left_id: str, right_id: st
         return found
     many = theirs.join(large, "_key")
     open_ = durable(mine.join(large, "_key"))
-    placed = many.where("_lon is not null and _lat is not null").select(right_id, F.col("_key").alias("_key2"), "_kind", F.col("_lon").alias("lon"), F.col("_lat").alias("lat"))
+    placed = many.where("_lon is not null and _lat is not null").select(right_id, "_key", "_kind", F.col("_lon").alias("lon"), F.col("_lat").alias("lat"))
     for same, fits in ((True, agrees), (False, F.lit(True))):
-        at = nearest_k(open_.where("lon is not null and lat is not null"), placed, left_id, right_id, 1, 1000.0, (F.col("_key") == F.col("_key2")) & fits)
+        at = nearest_k(open_.where("lon is not null and lat is not null"), placed, left_id, right_id, 1, 1000.0, fits, ([kind], ["_kind"]), ["_key"])
         near = at.select(left_id, right_id, F.lit(same).alias("agrees"), "distance_m")
         # Without a place on either side, the lowest id: one right row a key.
         least = many.groupBy("_key", *(["_kind"] if same else [])).agg(F.min(right_id).alias(right_id))

@@ -46,43 +46,57 @@ def needs_load(catalog: DataFrame, status: DataFrame, key: str, compared: Sequen
     return catalog.join(known, same, "left_anti")
 
 
-#: Places of a set up to which events are counted by place and pair of places.
-FEW_PLACES = 12
+#: Places of an event, and of a set, up to which pairs of them are looked at; pairs that are sent to every task, at most.
+FEW_PLACES, SENT_PAIRS = 12, 2_000_000
+
+
+def _pairs_of(places: str) -> Column:
+    """The pairs (_a, _b) of a sorted list, the lesser first."""
+    later = lambda a, i: F.transform(F.slice(places, i + 2, F.size(places)), lambda b: F.struct(a.alias("_a"), b.alias("_b")))
+    return F.inline(F.flatten(F.transform(places, later)))
 
 
 def set_counts(members: DataFrame, events: DataFrame, member: str, place: str, event: str, by: Sequence[str] = ()) -> DataFrame:
     """(member, *by, events): distinct events at any of a member's places, for each kind ``by`` of events.
 
     ``members`` has (member, place), ``events`` (place, event, *by). Members with the same set of places
-    share one count: only distinct sets meet the events, however many members have them. In a set of
-    few places the places' own counts are added up, less one for each further place of an event, so
-    only events at two of its places are looked at; a set of many places meets all its events.
+    share one count. In a set with fewer pairs of places than calls the places' own counts are added up, less
+    one for each further place of an event: of events at a few places only the pairs that some set holds
+    are looked at, events at many places meet the sets of each. A set of more pairs meets all its calls.
     """
     sets = durable(
         members.select(member, place).distinct().groupBy(member).agg(F.array_sort(F.collect_list(place)).alias("_places"))
-        .withColumn("_set", F.sha2(F.to_json("_places"), 256))
-    )
-    kinds = durable(sets.groupBy("_set").agg(F.first("_places").alias("_places")))
-    calls = durable(events.select(place, event, *by).distinct())
-    held = calls.groupBy(place, *by).agg(F.count("*").alias("_n"))
-
-    few = kinds.where(F.size("_places") <= FEW_PLACES)
-    sums = few.select("_set", F.explode("_places").alias(place)).join(held, place).groupBy("_set", *by).agg(F.sum("_n").alias("_sum"))
-    later = lambda a, i: F.transform(F.slice("_places", i + 2, F.size("_places")), lambda b: F.struct(a.alias("_a"), b.alias("_b")))
-    pairs = few.select("_set", F.inline(F.flatten(F.transform("_places", later))))
-    both = (
-        pairs.select("_a", "_b").distinct()
-        .join(calls.select(F.col(place).alias("_a"), event, *by), "_a")
-        .join(calls.select(F.col(place).alias("_b"), event, *by), ["_b", event, *by])
+        .withColumn("_same", F.sha2(F.to_json("_places"), 256))
     )
+    kinds = durable(sets.groupBy("_same").agg(F.first("_places").alias("_places")).withColumn("_set", F.monotonically_increasing_id()))
+    # Dealt by event: distinct rows, counts and lists of an event need no further shuffle.
+    calls = events.select(place, event, *by).repartition(event).distinct()
+    held = durable(calls.groupBy(place, *by).agg(F.count("*").alias("_n")))
+    sums = durable(kinds.select("_set", F.explode("_places").alias(place)).join(held, place).groupBy("_set", *by).agg(F.sum("_n").alias("_sum")))
+    size = F.size("_places").cast("long")
+    chosen = kinds.join(sums.groupBy("_set").agg(F.sum("_sum").alias("_calls")), "_set")
+    few_pairs = size * (size - 1) / 2 <= F.greatest(F.col("_calls"), F.lit(FEW_PLACES * (FEW_PLACES - 1) // 2))
+    chosen = durable(chosen.withColumn("_few", few_pairs))
+
+    few = chosen.where("_few")
+    pairs = few.select("_set", _pairs_of("_places"))
+    wanted = durable(pairs.select("_a", "_b").distinct())
+    counted = calls.withColumn("_m", F.count("*").over(Window.partitionBy(event, *by))).where("_m > 1")
+    lists = counted.where(F.col("_m") <= FEW_PLACES).groupBy(event, *by).agg(F.array_sort(F.collect_list(place)).alias("_at"))
+    both = lists.select(event, *by, _pairs_of("_at")).join(F.broadcast(wanted) if wanted.count() <= SENT_PAIRS else wanted, ["_a", "_b"], "left_semi")
     # An event at k places of a set is at k (k - 1) / 2 of its pairs.
-    met = pairs.join(both, ["_a", "_b"]).groupBy("_set", event, *by).agg(F.count("*").alias("_pairs"))
-    further = met.groupBy("_set", *by).agg(F.sum(F.round((F.sqrt(1 + 8 * F.col("_pairs")) - 1) / 2).cast("long")).alias("_further"))
-    small = sums.join(further, ["_set", *by], "left").select("_set", *by, (F.col("_sum") - F.coalesce("_further", F.lit(0))).alias("events"))
-
-    many = kinds.where(F.size("_places") > FEW_PLACES).select("_set", F.explode("_places").alias(place))
-    large = many.join(calls, place).select("_set", event, *by).distinct().groupBy("_set", *by).agg(F.count("*").alias("events"))
-    return sets.join(small.unionByName(large), "_set").select(member, *by, "events")
+    met = both.join(pairs, ["_a", "_b"]).groupBy("_set", event, *by).agg(F.count("*").alias("_pairs"))
+    further = met.select("_set", *by, (F.round((F.sqrt(1 + 8 * F.col("_pairs")) - 1) / 2)).cast("long").alias("_k"))
+    long = counted.where(F.col("_m") > FEW_PLACES).join(few.select("_set", F.explode("_places").alias(place)), place)
+    further = further.unionByName(long.groupBy("_set", event, *by).agg((F.count("*") - 1).alias("_k")).select("_set", *by, "_k"))
+    further = further.groupBy("_set", *by).agg(F.sum("_k").alias("_further"))
+    found = sums.join(few.select("_set"), "_set").join(further, ["_set", *by], "left").select("_set", *by, (F.col("_sum") - F.coalesce("_further", F.lit(0))).alias("events"))
+
+    many = chosen.where("not _few")
+    if not many.isEmpty():
+        at = many.select("_set", F.explode("_places").alias(place))
+        found = found.unionByName(at.join(calls, place).select("_set", event, *by).distinct().groupBy("_set", *by).agg(F.count("*").alias("events")))
+    return sets.join(kinds.select("_same", "_set"), "_same").join(found, "_set").select(member, *by, "events")
 
 
 def long_form(rows: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:

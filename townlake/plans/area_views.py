@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from townlake.functions.geo import distance_m
 from townlake.functions.values import rounded_metres, share
+from townlake.operators.reach import events_in_reach
 from townlake.operators.rollup import area_rollup
 from townlake.operators.selection import exact_percentiles
 from townlake.operators.spatial import areas_of_points, box_rings, radius_join
-from townlake.operators.tables import set_counts
 from townlake.plans.tables import BOXES_SQL, BUILDINGS_SQL, FACILITIES_SQL, boxes, buildings, facilities, metres_sql, table
 
 #: Windows of transit: name, kind of day, first and last hour (that one excluded). Fixed values.
@@ -46,11 +46,10 @@ def area_transit_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shares of residents with a stop in reach and with frequent trips in five windows, against another source, and the median peak."""
     homes = _residents(spark, sf_dir)
     stops = facilities(spark, sf_dir).select(F.col("s_suppkey").alias("stop_id"), "lon", "lat")
-    near = radius_join(homes.select("c_custkey", "lon", "lat"), stops, REACH_M + 1).where(rounded_metres(F.col("distance_m")) <= REACH_M).select("c_custkey", "stop_id")
-    counted = set_counts(near, _window_trips(spark, sf_dir), "c_custkey", "stop_id", "trip", ["window"])
+    near = rounded_metres(F.col("distance_m")) <= REACH_M
+    counted, reached = events_in_reach(homes, stops, _window_trips(spark, sf_dir), "c_custkey", "stop_id", "trip", REACH_M + 1, ["window"], near)
     rate = lambda name, hours: F.max(F.when(F.col("window") == name, F.round(F.col("events") / hours, 1))).alias(name)
     rates = counted.groupBy("c_custkey").agg(*[rate(name, b - a) for name, _, a, b in WINDOWS])
-    reached = near.groupBy("c_custkey").agg(F.count("*").alias("stops"))
     facts = homes.join(reached, "c_custkey", "left").join(rates, "c_custkey", "left")
     facts = facts.withColumns({"stops": F.coalesce("stops", F.lit(0)), **{name: F.coalesce(name, F.lit(0.0)) for name, *_ in WINDOWS}})
     people = F.sum("people")
@@ -69,10 +68,10 @@ def area_transit_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 def agreement_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How another source's judgement agrees with the nearest facility that exists, in six classes by area, with shares of residents."""
     homes = _residents(spark, sf_dir).where("served is not null")
-    places = facilities(spark, sf_dir).select("s_suppkey", "lon", "lat")
-    pairs = radius_join(homes.select("c_custkey", "lon", "lat"), places, FAR_M)
-    found = pairs.groupBy("c_custkey").agg(F.min(F.when(F.col("s_suppkey") % 2 == 0, F.col("distance_m"))).alias("m"), F.min("distance_m").alias("any_m"))
-    facts = homes.join(found, "c_custkey", "left")
+    places = facilities(spark, sf_dir).groupBy("lon", "lat").agg(F.bool_or(F.col("s_suppkey") % 2 == 0).alias("exists"))
+    pairs = radius_join(homes.select("lon", "lat").distinct(), places, FAR_M)
+    found = pairs.groupBy("lon", "lat").agg(F.min(F.when(F.col("exists"), F.col("distance_m"))).alias("m"), F.min("distance_m").alias("any_m"))
+    facts = homes.join(found, ["lon", "lat"], "left")
     ours = F.coalesce(F.col("m") <= NEAR_M, F.lit(False))
     kind = (
         F.when(F.col("served") & ours, "both").when(~F.col("served") & ~ours, "neither").when(~F.col("served"), "ours_only")

@@ -67,8 +67,8 @@ def nation_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def three_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three nearest facilities of each building that are of its own region's class and not in debt."""
     places = facilities(spark, sf_dir).where("s_acctbal > 0").select("s_suppkey", (F.col("s_nationkey") % 5).alias("class"), "lon", "lat")
-    homes = buildings(spark, sf_dir).select("c_custkey", F.col("n_regionkey"), "lon", "lat")
-    found = nearest_k(homes, places, "c_custkey", "s_suppkey", 3, 2000.0, F.col("class") == F.col("n_regionkey"))
+    homes = buildings(spark, sf_dir).select("c_custkey", F.col("n_regionkey").cast(dict(places.dtypes)["class"]).alias("class"), "lon", "lat")
+    found = nearest_k(homes, places, "c_custkey", "s_suppkey", 3, 2000.0, on=["class"])
     return found.select("c_custkey", "s_suppkey", F.col("place").cast("long").alias("place"), F.round("distance_m").cast("long").alias("distance_m"))
 
 

@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from townlake.functions.clock import local_time, service_day
-from townlake.operators.spatial import radius_join
-from townlake.operators.tables import set_counts
+from townlake.operators.reach import events_in_reach
 from townlake.operators.temporal import expand_timetable, in_windows
 from townlake.plans.tables import (
     BUILDINGS_SQL,
@@ -54,10 +53,9 @@ def window_departures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def trips_near_buildings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trips that call within 1.5 km of each building, each trip once however many stops it has there."""
-    pairs = radius_join(
-        buildings(spark, sf_dir).select("c_custkey", "lon", "lat"), facilities(spark, sf_dir).select(F.col("s_suppkey").alias("stop_id"), "lon", "lat"), 1500.0
-    )
-    return set_counts(pairs, _calls(spark, sf_dir), "c_custkey", "stop_id", "trip_id").withColumnRenamed("events", "trips")
+    homes, stops = buildings(spark, sf_dir).select("c_custkey", "lon", "lat"), facilities(spark, sf_dir).select(F.col("s_suppkey").alias("stop_id"), "lon", "lat")
+    trips, _ = events_in_reach(homes, stops, _calls(spark, sf_dir), "c_custkey", "stop_id", "trip_id", 1500.0)
+    return trips.withColumnRenamed("events", "trips")
 
 
 def service_days(spark: SparkSession, sf_dir: str) -> DataFrame:
