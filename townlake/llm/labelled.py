@@ -1,4 +1,4 @@
-"""A bounded, repeatable sample of labelled documents to fit a classifier on."""
+"""Labelled documents to fit a classifier on: all of them, or a bounded, repeatable sample."""
 
 from __future__ import annotations
 
@@ -13,6 +13,24 @@ def held_out(modulus: int, remainder: int):
 
 #: Bytes of the texts of a sample, at most: they go to the driver.
 MOST_BYTES = 64 << 20
+#: Labels up to which they are sent to every task; more are joined.
+MOST_SENT = 1_000_000
+
+
+def known_labels(labels: DataFrame, label: str, modulus: int, remainder: int) -> DataFrame:
+    """(doc_id, label) of the rows that are not held out; nulls are left out, a document with two labels has the smaller one."""
+    return (
+        labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~held_out(modulus, remainder))
+        .groupBy("doc_id")
+        .agg(F.min(label).cast("int").alias("label"))
+    )
+
+
+def labelled_documents(docs: DataFrame, labels: DataFrame, label: str, modulus: int, remainder: int, also: tuple[str, ...] = (), most_sent: int = MOST_SENT) -> DataFrame:
+    """(doc_id, text, label) and the columns ``also`` of all documents with a label, without held-out rows."""
+    known = known_labels(labels, label, modulus, remainder)
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *also)
+    return texts.join(F.broadcast(known) if known.count() <= most_sent else known, "doc_id")
 
 
 def labelled_sample(
@@ -25,11 +43,7 @@ def labelled_sample(
     those that do not fit are left out. Null ids and null labels are left out; a repeated label
     counts once, a document with two labels has the smaller one.
     """
-    known = (
-        labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~held_out(modulus, remainder))
-        .groupBy("doc_id")
-        .agg(F.min(label).cast("int").alias("label"))
-    )
+    known = known_labels(labels, label, modulus, remainder)
     counts = {int(r["label"]): r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     order = F.md5(F.col("doc_id").cast("string"))
     chosen = None
