@@ -146,3 +146,9 @@ def test_tokens_by_piece_are_those_of_whole_texts(text):
             (got_b if t >> alignment.ID_BITS & 1 else got_a).append(t & alignment.ID_MASK)
     assert (got_a, got_b) == ([i for i, _ in left], [i for i, _ in right])
     assert (of_text["n_a"], of_text["n_b"]) == (len(left), len(right))
+
+
+def test_a_text_looks_its_pieces_up_once(spark):
+    docs = spark.createDataFrame([(1, "a few words")], "doc_id long, text string")
+    found = alignment.align(docs, queries.tokenizer_path(), queries.tokenizer_path("piece_bpe_32k.model"))
+    assert found._jdf.queryExecution().analyzed().toString().count(".places") == 1

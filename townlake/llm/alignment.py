@@ -311,12 +311,15 @@ def align(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     blocks = tokenised(docs, a_path, b_path)
 
     def of_text(text: Column, pieces: Column) -> Column:
-        mine = lambda take: F.transform(text["places"], lambda k: take(pieces[k]))
-        n_groups = F.aggregate(mine(lambda p: p["n"]), F.lit(0).cast("long"), lambda s, n: s + n)
-        return F.struct(
-            text["doc_id"].alias("doc_id"), text["n_a"].alias("n_a"), text["n_b"].alias("n_b"), n_groups.alias("n_groups"),
-            F.array_join(mine(lambda p: p["text"]), ";").alias("groups"), F.flatten(mine(lambda p: p["links"])).alias("links"),
-        )
+        def of_pieces(mine: Column) -> Column:
+            n_groups = F.aggregate(mine["n"], F.lit(0).cast("long"), lambda s, n: s + n)
+            return F.struct(
+                text["doc_id"].alias("doc_id"), text["n_a"].alias("n_a"), text["n_b"].alias("n_b"), n_groups.alias("n_groups"),
+                F.array_join(mine["text"], ";").alias("groups"), F.flatten(mine["links"]).alias("links"),
+            )
+
+        # A text's pieces are looked up once; what is taken of them are fields of that list.
+        return _let(F.transform(text["places"], lambda k: pieces[k]), of_pieces)
 
     found = _let(F.transform("pieces", _aligned), lambda pieces: F.transform("texts", lambda t: of_text(t, pieces)))
     return blocks.select(F.inline(found))
