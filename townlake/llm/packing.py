@@ -23,6 +23,8 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from townlake.llm.common import give_back_memory
+
 CAPACITY = 1024
 END = b"\0\0\0\0"
 #: Chunks whose ids a Python worker remembers.
@@ -257,28 +259,30 @@ class Packer:
         self.sequence += 1
 
 
-def _blocks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """The rows of a batch, some megabytes of text at a time."""
+def _blocks(batch: pa.RecordBatch, most: int = BLOCK) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch, about ``most`` bytes of text at a time."""
     size = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
-    block = (np.cumsum(size) - size) // BLOCK
+    block = (np.cumsum(size) - size) // most
     starts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]) if len(batch) else []
     for a, b in zip(starts, [*starts[1:], len(batch)], strict=True):
         yield batch.slice(a, b - a)
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, remembered: int = REMEMBERED) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, remembered: int = REMEMBERED, block: int = BLOCK) -> DataFrame:
     """One row per placed piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A document is the ids of its whole text (null: empty) and then id 0, so an empty text is one
     id. Sequences hold ``capacity`` ids; the last ids of each task make sequences of a power of
     two. Repeated rows and rows without doc_id are documents of their own. Sequence ids are unique
-    over tasks and agree when a task runs again; an empty table gives no rows.
+    over tasks and agree when a task runs again; an empty table gives no rows. ``remembered`` and ``block``
+    (bytes tokenised together) bound a worker's memory and change no row.
     """
     narrow = docs.select("doc_id", "text")
     kind = pa.string() if narrow.schema["doc_id"].dataType.simpleString() == "string" else pa.int64()
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back_memory()
         tokens = TokenBytes.of(tokenizer_path, remembered)
         packer = Packer(capacity, TaskContext.get().partitionId() << 33)
 
@@ -289,7 +293,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
             return pa.RecordBatch.from_arrays(arrays, names)
 
         for batch in batches:
-            for part in _blocks(batch):
+            for part in _blocks(batch, block):
                 texts = [t or "" for t in part.column(1).to_numpy(zero_copy_only=False)]
                 for doc, ids in zip(part.column(0).to_pylist(), tokens.block(texts), strict=True):
                     packer.add(doc, ids + END)
