@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from townlake.llm.common import session
+from townlake.llm.common import give_back_memory, session
 from townlake.llm.labelled import held_out, labelled_sample
 
 #: Labelled documents of each class that the space and the votes are fitted on.
@@ -151,7 +151,10 @@ def fit(texts: list[str], good: np.ndarray, class_counts: dict[int, int], seed:
 def fitted(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> QualityModel | None:
     sample, counts = labelled_sample(docs, labels, "quality", 4, 2, per_class)
     rows = sorted(sample.select("doc_id", "text", "label").collect())
-    return fit([r["text"] for r in rows], np.array([r["label"] for r in rows], np.int64), counts)
+    model = fit([r["text"] for r in rows], np.array([r["label"] for r in rows], np.int64), counts)
+    del rows
+    give_back_memory()
+    return model
 
 
 def with_scores(docs: DataFrame, model: QualityModel | None) -> DataFrame:
