@@ -48,3 +48,22 @@ def test_many_labels_are_joined(many):
     _, docs, labels = many
     sent, joined = (labelled.labelled_documents(docs, labels, "toxic", 5, 0, most_sent=n).orderBy("doc_id").collect() for n in (1000, 10))
     assert sent == joined and len(sent) > 300
+
+
+def test_only_moved_rows_are_sent_and_the_mean_is_that_of_whole_networks(spark):
+    rng = random.Random(8)
+    words = [f"word{i}" for i in range(3000)]
+    rows = [(i % 2, i, " ".join(rng.choices(words, k=120) + ["vileword"] * (i % 3 == 0)), int(i % 3 == 0)) for i in range(60)]
+    counted = toxicity.documents_with(*toxicity.numbered([toxicity.plain_words(r[2]) for r in rows]))
+    start = toxicity.initial_model(counted, np.random.default_rng(10))
+    sums = 0
+    for group in (0, 1):
+        own = sorted((r for r in rows if r[0] == group), key=lambda r: r[1])
+        model = toxicity.trained(start, [r[2] for r in own], np.array([r[3] for r in own]), np.random.default_rng([10, group]), 1)
+        moved = toxicity._fixed(model) - toxicity._fixed(start)
+        assert len(toxicity.moved_rows(moved)[0]) < 0.7 * len(moved)
+        sums = sums + toxicity._fixed(model) * len(own)
+    mean = toxicity._of_flat(sums / len(rows) / toxicity.FIXED, start)
+    grouped = spark.createDataFrame(rows, "group int, doc_id long, text string, label int")
+    found = toxicity.averaged(grouped, spark.sparkContext.broadcast(start), 1)
+    assert (found.embedding == mean.embedding).all() and (found.weights == mean.weights).all() and found.bias == mean.bias

@@ -311,22 +311,32 @@ def _of_flat(flat: np.ndarray, like: ConvModel) -> ConvModel:
     return ConvModel(like.rows, take(like.embedding), [take(x) for x in like.filters], [take(x) for x in like.biases], take(like.weights), float(flat[at]))
 
 
+def _fixed(model: ConvModel) -> np.ndarray:
+    return np.rint(_flat(model) * FIXED).astype(np.int64)
+
+
+def moved_rows(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows that training has moved, and their places: words that no filter took leave an embedding's rows as they are."""
+    at = np.flatnonzero(sums.any(1))
+    return at, sums[at]
+
+
 def averaged(grouped: DataFrame, start: Broadcast, epochs: int) -> ConvModel | None:
     """The mean of the networks that groups of documents make of ``start``, each by its documents; None without any.
 
-    ``grouped`` has (group, doc_id, text, label). A task holds one group's texts and the sum of its networks;
-    Spark adds the sums up, row by row of the embedding.
+    ``grouped`` has (group, doc_id, text, label). A task holds one group's texts and the sum of what its networks
+    differ by from ``start``; Spark adds the sums up, row by row of the embedding. Rows without a difference are not sent.
     """
     names = [f"v{i}" for i in range(DIMENSIONS)]
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, documents, held, last = None, 0, [], None
+        total, documents, held, last, before = None, 0, [], None, _fixed(start.value)
 
         def learn() -> None:
             nonlocal total, documents
             rng = np.random.default_rng([10, last])
             model = trained(start.value, [t for t, _ in held], np.array([x for _, x in held], np.int64), rng, epochs)
-            sums = np.rint(_flat(model) * FIXED).astype(np.int64) * len(held)
+            sums = (_fixed(model) - before) * len(held)
             total = sums if total is None else total + sums
             documents += len(held)
 
@@ -341,15 +351,21 @@ def averaged(grouped: DataFrame, start: Broadcast, epochs: int) -> ConvModel | N
             learn()
             # Row -1 has how many documents these are.
             yield pa.RecordBatch.from_arrays([pa.array([-1]), *(pa.array([documents]) for _ in names)], ["at", *names])
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), *(pa.array(total[:, i]) for i in range(DIMENSIONS))], ["at", *names])
+            at, sums = moved_rows(total)
+            yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(sums[:, i]) for i in range(DIMENSIONS))], ["at", *names])
 
     dealt = grouped.repartition("group").sortWithinPartitions("group", "doc_id", "text", "label").select("group", "text", "label")
     schema = "at long, " + ", ".join(f"{n} long" for n in names)
     rows = dealt.mapInArrow(train, schema).groupBy("at").agg(*[F.sum(n).alias(n) for n in names])
     table = rows.toArrow()  # as many rows as the embedding has, and a few
     found = np.stack([table["at"].to_numpy(), *(table[n].to_numpy() for n in names)], axis=1)
+    if not len(found):
+        return None
     found = found[np.argsort(found[:, 0])]
-    return _of_flat(found[1:, 1:] / found[0, 1] / FIXED, start.value) if len(found) else None
+    documents, sums = found[0, 1], _fixed(start.value)
+    sums *= documents
+    sums[found[1:, 0]] += found[1:, 1:]
+    return _of_flat(sums / documents / FIXED, start.value)
 
 
 def language_thresholds(apart: DataFrame, model: Broadcast) -> dict[str, float]:
